@@ -12,6 +12,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +21,19 @@ from pyspark.sql import functions as F
 _SCRATCH: dict[str, list[str]] = {}
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package where it lies on a shared path."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def doc_texts(docs: DataFrame) -> DataFrame:
     """Only what the per-document operators need."""
+    importable(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

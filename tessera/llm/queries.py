@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import op5_token_counts, op8_byte_bpe
+from . import op2_license_scan, op4_quality_rules, op5_token_counts, op6_decontamination, op8_byte_bpe, op10_pii
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan.query,
+    "op4_quality_rules": op4_quality_rules.query,
     "op5_token_counts": op5_token_counts.query,
+    "op6_decontamination": op6_decontamination.query,
     "op8_byte_bpe": op8_byte_bpe.query,
+    "op10_pii": op10_pii.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": op2_license_scan.oracle_sql(), "op6_decontamination": op6_decontamination.oracle_sql()}
