@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op2_license_scan, op4_quality_rules, op5_token_counts, op6_decontamination, op8_byte_bpe, op10_pii
+from . import op2_license_scan, op4_quality_rules, op5_token_counts, op6_decontamination, op8_byte_bpe, op9_near_dedup, op10_pii
 
 QUERIES = {
     "op2_license_scan": op2_license_scan.query,
@@ -10,7 +10,8 @@ QUERIES = {
     "op5_token_counts": op5_token_counts.query,
     "op6_decontamination": op6_decontamination.query,
     "op8_byte_bpe": op8_byte_bpe.query,
+    "op9_near_dedup": op9_near_dedup.query,
     "op10_pii": op10_pii.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": op2_license_scan.oracle_sql(), "op6_decontamination": op6_decontamination.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": op2_license_scan.oracle_sql(), "op6_decontamination": op6_decontamination.oracle_sql(), "op9_near_dedup": op9_near_dedup.oracle_sql()}
