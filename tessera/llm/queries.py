@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op2_license_scan, op4_quality_rules, op5_token_counts, op6_decontamination, op8_byte_bpe, op9_near_dedup, op10_pii
+from . import op2_license_scan, op3_substring_dedup, op4_quality_rules, op5_token_counts, op6_decontamination, op8_byte_bpe, op9_near_dedup, op10_pii
 
 QUERIES = {
     "op2_license_scan": op2_license_scan.query,
+    "op3_substring_dedup": op3_substring_dedup.query,
     "op4_quality_rules": op4_quality_rules.query,
     "op5_token_counts": op5_token_counts.query,
     "op6_decontamination": op6_decontamination.query,
