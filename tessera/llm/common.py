@@ -8,6 +8,7 @@ only look at the columns they name, so extra columns never clash.
 from __future__ import annotations
 
 import atexit
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -56,20 +57,33 @@ def _remove(spark: SparkSession, paths: list[str]) -> None:
         pass
 
 
+def keep_scratch(spark: SparkSession, path: str) -> None:
+    """Delete path when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = []
+        atexit.register(_remove, spark, _SCRATCH[app])
+    _SCRATCH[app].append(path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: it cuts the lineage,
     survives the loss of executors and is computed once for several readers."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tessera-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    app = spark.sparkContext.applicationId
-    if app not in _SCRATCH:
-        _SCRATCH[app] = []
-        atexit.register(_remove, spark, _SCRATCH[app])
-    _SCRATCH[app].append(path)
+    keep_scratch(spark, path)
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more;
+    it does so when the driver collects garbage, which small drivers seldom do."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession, df: DataFrame) -> None:
     """Drop a materialized table that nothing reads any more."""
     for f in df.inputFiles()[:1]:

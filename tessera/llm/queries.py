@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op2_license_scan, op3_substring_dedup, op4_quality_rules, op5_token_counts, op6_decontamination, op8_byte_bpe, op9_near_dedup, op10_pii
+from . import op1_line_dedup, op2_license_scan, op3_substring_dedup, op4_quality_rules, op5_token_counts, op6_decontamination, op8_byte_bpe, op9_near_dedup, op10_pii
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup.query,
     "op2_license_scan": op2_license_scan.query,
     "op3_substring_dedup": op3_substring_dedup.query,
     "op4_quality_rules": op4_quality_rules.query,
