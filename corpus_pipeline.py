@@ -1,19 +1,48 @@
-"""Corpus preparation: five stages, each one operator of tessera.llm."""
+"""Corpus preparation: five stages, each one operator of tessera.llm.
+
+Every stage takes all that its predecessor kept; between stages the documents
+are a written table.  Null texts count as empty and stay; an empty table passes
+through all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import common, op1_line_dedup, op6_decontamination, op7_toxicity, op8_byte_bpe, op9_near_dedup
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model rejects go."""
+    return op7_toxicity.accepted(docs, common.table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of lines that are alike, the first stays; documents stay, shorter."""
+    return op1_line_dedup.line_dedup(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the least doc_id."""
+    return op9_near_dedup.kept_documents(docs)
+
 
-from tessera.llm import common, op8_byte_bpe
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark windows cover to a twentieth or more go; others stay as they are."""
+    carried = op6_decontamination.contamination(docs.withColumn("_text", F.col("text")), common.table(spark, sf_dir, "benchmark"), carry=[c for c in docs.columns if c != "text"] + ["_text"])
+    kept = carried.where(~F.col("contaminated"))
+    return kept.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, and digests that show the round trip."""
     import public_tokenizers as P
 
     return op8_byte_bpe.encode_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
-STAGES = [("byte_bpe", encode)]
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("byte_bpe", byte_bpe)]
 
 #: SQL can express neither the toxicity model nor byte-pair merges.
 ORACLE_SQL = None

@@ -252,6 +252,13 @@ def near_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def kept_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """docs without those that are not their component's least doc_id; same
+    columns.  Rows that repeat a doc_id stay or go together."""
+    gone = near_components(docs, size, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(common.table(spark, sf_dir, "documents"), size=2)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_line_dedup, op2_license_scan, op3_substring_dedup, op4_quality_rules, op5_token_counts, op6_decontamination, op8_byte_bpe, op9_near_dedup, op10_pii
+from . import op1_line_dedup, op2_license_scan, op3_substring_dedup, op4_quality_rules, op5_token_counts, op6_decontamination, op7_toxicity, op8_byte_bpe, op9_near_dedup, op10_pii
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules.query,
     "op5_token_counts": op5_token_counts.query,
     "op6_decontamination": op6_decontamination.query,
+    "op7_toxicity": op7_toxicity.query,
     "op8_byte_bpe": op8_byte_bpe.query,
     "op9_near_dedup": op9_near_dedup.query,
     "op10_pii": op10_pii.query,
