@@ -9,10 +9,12 @@
    cut into runs of FAN; each member is paired with its run's head, and the
    heads, run by run, likewise.  Pairs are verified on full sets.
 4. Linked pairs give components (large-star / small-star).  A bucket whose
-   members still lie in several components is taken up again: members of
-   different components are paired, until nothing unverified is left.  Inside a
-   component nothing need be compared, so near copies of one text cost about as
-   many verifications as there are copies.
+   members still lie in several components is taken up again: for TURNS turns,
+   members outside its largest component meet the NEXT others after them; then all
+   pairs across components are taken up.  Of those, sizes and signatures of SKETCH
+   further minima, a bit each, pass on what may reach the threshold (a pair at the
+   threshold is lost once in 10^7), so texts just short of it don't each meet
+   thousands of near copies.  Inside a component nothing need be compared.
 
 Verification moves compressed texts of candidates only, each head to at most
 FAN members a bucket.  Null and empty texts and those without words have an
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components, salted_join
 
-SHINGLE, PERCENT, BANDS, ROWS, FAN = 5, 80, 36, 5, 64
+SHINGLE, PERCENT, BANDS, ROWS, FAN, NEXT, TURNS, SKETCH = 5, 80, 36, 5, 64, 4, 1, 4096
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -155,14 +157,76 @@ def run_pairs(batches):
     yield _pairs(a, b)
 
 
-def cross_pairs(batches):
-    """Pairs of members of a bucket that lie in different components."""
+def some_cross_pairs(batches, turn: int):
+    """Of a bucket whose members lie in several components: each member outside the
+    largest one with the NEXT after it, in an order drawn anew each turn, that lie in
+    other components than its own."""
     got = grouped(batches)
     if got is None:
         return
     key, doc, comp = got
-    order = np.lexsort((comp, key))
+    order = np.lexsort((mix(doc.view(np.uint64) * M1 + mix(key.view(np.uint64) + np.uint64(turn))), key))
     key, doc, comp = key[order], doc[order], comp[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    bucket = np.cumsum(new) - 1
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(key)))
+    by = np.lexsort((comp, bucket))
+    edge = np.concatenate([[True], (comp[by][1:] != comp[by][:-1]) | (bucket[by][1:] != bucket[by][:-1])])
+    share = np.empty(len(key), dtype=np.int64)
+    share[by] = np.diff(np.append(np.flatnonzero(edge), len(key)))[np.cumsum(edge) - 1]
+    largest = np.maximum.reduceat(share, start) if len(start) else share
+    # of equally large components, none counts as the largest
+    open_ = np.flatnonzero((share < largest[bucket]) | (2 * share <= size[bucket]))
+    a, b = [], []
+    for k in range(1, NEXT + 1):
+        i = open_[k < size[bucket[open_]]]
+        at = start[bucket[i]]
+        j = at + (i - at + k) % size[bucket[i]]
+        i, j = i[comp[i] != comp[j]], j[comp[i] != comp[j]]
+        a.append(doc[i])
+        b.append(doc[j])
+    yield _pairs(a, b)
+
+
+def bit_sketch(hashes: np.ndarray) -> np.ndarray:
+    """One bit of each of SKETCH minima: two texts' bits agree in (1 + J) / 2 of them."""
+    a, b = _functions(SKETCH)
+    low = np.full(SKETCH, 0xFFFFFFFF, dtype=np.uint32)
+    x = (hashes >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(x), 256):
+        np.minimum(low, (x[i : i + 256, None] * a + b).min(axis=0), out=low)
+    return np.packbits((low & 1).astype(np.uint8)).view(np.uint64)
+
+
+def most_differing(percent: int) -> int:
+    """Bits that a pair at the threshold differs in at most, but for one pair in 10^7."""
+    p = (1 - percent / 100) / 2
+    return int(SKETCH * p + 5.2 * (SKETCH * p * (1 - p)) ** 0.5) + 1
+
+
+def sketches(texts: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(doc, n, sketch) of docs."""
+
+    def made(batches):
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            sets = [shingle_set(z.decompress(t), size) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([bit_sketch(x).tobytes() for x in sets], pa.binary())], names=["doc", "n", "sketch"])
+
+    return texts.join(docs.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "z").mapInArrow(made, "doc long, n long, sketch binary")
+
+
+def cross_pairs(batches, percent: int):
+    """All pairs of members of a bucket that lie in different components and whose
+    sizes and signatures allow the similarity.  Columns: key, doc, component, n, sketch."""
+    parts = [[*(b.column(i).to_numpy() for i in range(4)), np.frombuffer(b"".join(b.column(4).to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1)] for b in batches if b.num_rows]
+    if not parts:
+        return
+    key, doc, comp, n, sketch = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((comp, key))
+    key, doc, comp, n, sketch = (x[order] for x in (key, doc, comp, n, sketch))
+    most = most_differing(percent)
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     a, b, held = [], [], 0
     for s, e in zip(start.tolist(), np.append(start[1:], len(key)).tolist(), strict=True):
@@ -172,9 +236,11 @@ def cross_pairs(batches):
         while at < e:  # a component against all later ones, a member at a time
             stop = at + int(np.searchsorted(comp[at:e], comp[at], side="right"))
             for i in range(at, stop) if stop < e else ():
-                b.append(doc[stop:e])
-                a.append(np.full(e - stop, doc[i]))
-                held += e - stop
+                fits = 100 * np.minimum(n[i], n[stop:e]) >= percent * np.maximum(n[i], n[stop:e])
+                can = doc[stop:e][fits & (np.bitwise_count(sketch[i] ^ sketch[stop:e]).sum(axis=1, dtype=np.int64) <= most)]
+                b.append(can)
+                a.append(np.full(len(can), doc[i]))
+                held += len(can)
                 if held >= 1 << 20:
                     yield _pairs(a, b)
                     a, b, held = [], [], 0
@@ -233,16 +299,24 @@ def near_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     texts = common.materialize(packed_texts(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     links, tried = common.materialize(verify(pairs, texts, size, percent), "links"), pairs
     shared = common.materialize(members.join(ids.withColumnRenamed("doc_id", "doc"), "doc", "left_semi").select("key", "doc"), "shared")
+    turn = 0
     while True:
         comps = components(links, "near")
         labelled = shared.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
         split = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
         again = salted_join(labelled, split.withColumn("_open", F.lit(1)), "key", "inner").select("key", "doc", "component")
-        fresh = common.materialize(bucketed(again, cross_pairs).join(tried, ["u", "v"], "left_anti"), "fresh")
-        if fresh.isEmpty():
+        last = turn >= TURNS
+        if last:
+            again = common.materialize(again, "open")
+            drawn = common.materialize(sketches(texts, again.select("doc").distinct(), size), "sketches")
+            again = again.join(drawn, "doc").select("key", "doc", "component", "n", "sketch")
+        pairing = (lambda b: cross_pairs(b, percent)) if last else (lambda b, t=turn: some_cross_pairs(b, t))
+        fresh = common.materialize(bucketed(again, pairing).join(tried, ["u", "v"], "left_anti"), "fresh")
+        found = common.materialize(verify(fresh, texts, size, percent), "found")
+        links, tried, turn = links.union(found), tried.union(fresh), turn + 1
+        if last:  # components only grow, so nothing that lies across them is untried now
+            comps = comps if found.isEmpty() else components(links, "near")
             break
-        found = verify(fresh, texts, size, percent)
-        links, tried = common.materialize(links.union(found), "links"), tried.union(fresh)
     named = classes.select("fp1", "fp2", F.col("rep").alias("node")).join(comps, "node", "left")
     named = named.select("fp1", "fp2", F.coalesce("component", "node").alias("component"))
     rows_ = sig.select("doc_id", "n", "fp1", "fp2")
