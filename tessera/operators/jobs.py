@@ -35,7 +35,7 @@ def outstanding(log: DataFrame) -> DataFrame:
 
 def counts(log: DataFrame) -> DataFrame:
     """backlog, failing (outstanding with failures) and abandoned."""
-    now = fold(log).agg(F.count("*").alias("backlog"), F.count_if("failures > 0").alias("failing"))
+    now = fold(log).agg(F.count("*").alias("backlog"), F.expr("count_if(failures > 0)").alias("failing"))
     return now.crossJoin(F.broadcast(log.agg(F.count_if(F.col("kind") == "abandoned").alias("abandoned"))))
 
 

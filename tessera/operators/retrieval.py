@@ -132,7 +132,7 @@ def topic_boost(scored: DataFrame, bridge: DataFrame, anchors: int = TOPIC_ANCHO
     top = scored.orderBy(F.desc("score"), "ins_seq").limit(anchors).select(F.col("id").alias("event_id"), F.col("score").alias("_score"))
     topics = bridge.join(F.broadcast(top), "event_id").groupBy("entity_id").agg(F.max("_score").alias("_score"))
     best = bridge.join(F.broadcast(topics), "entity_id").groupBy(F.col("event_id").alias("id")).agg(F.max("_score").alias("_score"))
-    boost = F.least(F.lit(TOPIC_CAP), TOPIC_RATE * F.col("_score"))
+    boost = F.when(F.col("_score").isNotNull(), F.least(F.lit(TOPIC_CAP), TOPIC_RATE * F.col("_score")))  # least skips nulls
     return scored.join(best, "id", "left").withColumn("topic_boost", F.coalesce(boost, F.lit(0.0))).drop("_score")
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import share_package
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,7 +42,7 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
 
     def part(divisor: int, op: str, at: int) -> DataFrame:
-        return e.where(F.col("event_id") % divisor == 0).select((F.col("event_id") * (2 if at == 0 else 1) + F.lit(at) * F.lit(1_000_000_000)).alias("seq"), F.lit(op).alias("op"), F.col("event_id").alias("rid"), F.concat_ws(":", "event_type", F.lit(at)).alias("payload"))
+        return e.where(F.col("event_id") % divisor == 0).select((F.col("event_id") * (2 if at == 0 else 1) + F.lit(at * 1_000_000_000).cast("long")).alias("seq"), F.lit(op).alias("op"), F.col("event_id").alias("rid"), F.concat_ws(":", "event_type", F.lit(at)).alias("payload"))
 
     parts = [part(1, "event.add", 0), part(5, "event.add", 2), part(7, "event.delete", 4), part(35, "event.add", 6)]
     out = parts[0]
@@ -66,6 +69,7 @@ BRIDGE_SQL = """br AS (SELECT l_orderkey * 8 + l_linenumber AS event_id, 'p' ||
 
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    share_package(spark)
     return spark.createDataFrame(rows, schema)
 
 

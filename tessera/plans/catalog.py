@@ -238,7 +238,7 @@ def journal_replay_live(spark, d):
 @query(f"WITH {A.JOURNAL_SQL}, l AS (SELECT rid, arg_max(op, seq) AS op FROM j GROUP BY rid) SELECT (SELECT count(*) FROM j) AS records, (SELECT count(*) FROM l WHERE op = 'event.add') AS live, (SELECT count(*) FROM l WHERE op <> 'event.add') AS gone")
 def journal_compact_counts(spark, d):
     last = A.journal(spark, d).groupBy("rid").agg(F.count("*").alias("n"), F.max_by("op", "seq").alias("op"))
-    return last.agg(F.sum("n").alias("records"), F.count_if("op = 'event.add'").alias("live"), F.count_if("op <> 'event.add'").alias("gone"))
+    return last.agg(F.sum("n").alias("records"), F.expr("count_if(op = 'event.add')").alias("live"), F.expr("count_if(op <> 'event.add')").alias("gone"))
 
 
 LINES = [
@@ -354,7 +354,7 @@ SELECT event_id AS id, round(least(1.8, 0.25 * max(s)), 6) AS boost FROM br JOIN
 def shared_topic_boost(spark, d):
     l = T(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_extendedprice") / 10000).alias("score"))
     out = retrieval.topic_boost(l.withColumn("ins_seq", F.col("id")), A.orders_bridge(spark, d))
-    return out.where("topic_boost > 0").select("id", F.round("topic_boost", 6).alias("boost"))
+    return out.where("topic_boost > 0").select("id", F.round("topic_boost", 6).alias("boost")).distinct()
 
 
 @query("""WITH s AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, length(text) / 100.0 AS score FROM conversations), a AS (SELECT * FROM s ORDER BY score DESC, id LIMIT 5),
@@ -410,11 +410,11 @@ EXPRESSIONS = [
 ]
 
 
-@query(f"SELECT expr, CAST(at AS TIMESTAMP) AS at, precision FROM {A.values_sql(EXPRESSIONS, 'expr, at, precision')}")
+@query(f"SELECT expr, CAST(t AS TIMESTAMP) AS resolved, precision FROM {A.values_sql(EXPRESSIONS, 'expr, t, precision')}")
 def time_expr_resolve(spark, d):
     rows = A.values(spark, [(e,) for e, _, _ in EXPRESSIONS], "expr string")
     got = timeexpr.resolve_column(F.col("expr"), F.lit(BASE).cast("timestamp"))
-    return rows.select("expr", got.alias("r")).select("expr", F.col("r.time").cast("timestamp_ntz").alias("at"), "r.precision")
+    return rows.select("expr", got.alias("r")).select("expr", F.col("r.time").cast("timestamp_ntz").alias("resolved"), "r.precision")
 
 
 FACTS = [(1, "we met on 2023-05-17 or so", "2023-05-17"), (2, "She left last Fri, they say", "last friday"), (3, "two days ago it rained", "two days ago"), (4, "in room 2023", "room 2023"), (5, "nothing here", None), (6, "the week before 9 June 2023 was dry", "the week before 9 june 2023")]
@@ -433,15 +433,15 @@ def query_to_operator(spark, d):
     return A.values(spark, [(q, temporal.resolve_query(q, dt.datetime(2026, 9, 1, 12)).mode) for q, _ in ASKED], "q string, mode string")
 
 
-@query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS next, CAST(CAST(o_orderdate AS DATE) - INTERVAL 1 MONTH AS DATE) AS prev FROM orders")
+@query("SELECT o_orderkey, CAST(CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS next, CAST(CAST(CAST(o_orderdate AS DATE) - INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS prev FROM orders")
 def month_shift_clamp(spark, d):
     day = F.col("o_orderdate").cast("date")
-    return T(spark, d, "orders").select("o_orderkey", F.add_months(day, 1).alias("next"), F.add_months(day, -1).alias("prev"))
+    return T(spark, d, "orders").select("o_orderkey", F.add_months(day, 1).cast("string").alias("next"), F.add_months(day, -1).cast("string").alias("prev"))
 
 
-@query("SELECT o_orderkey, CAST(make_date(year(o_orderdate) + 1, month(o_orderdate), 1) + CAST(day(o_orderdate) - 1 AS INTEGER) AS DATE) AS next FROM orders")
+@query("SELECT o_orderkey, CAST(make_date(year(o_orderdate) + 1, month(o_orderdate), 1) + CAST(day(o_orderdate) - 1 AS INTEGER) AS VARCHAR) AS next FROM orders")
 def year_shift_overflow(spark, d):
-    return T(spark, d, "orders").select("o_orderkey", timeexpr.year_shift(F.col("o_orderdate").cast("date"), 1).alias("next"))
+    return T(spark, d, "orders").select("o_orderkey", timeexpr.year_shift(F.col("o_orderdate").cast("date"), 1).cast("string").alias("next"))
 
 
 # ---- conflicts and resolution ----------------------------------------------
@@ -578,13 +578,13 @@ def abandoned_retention(spark, d):
 
 # ---- extraction -----------------------------------------------------------
 
-REPLIES = [(1, "Output:\nPERSON|Ann|Annie, _|likes|tea|yesterday|Ann likes green tea|_|SPEECH\nT2|OBJECT|Tea|||  |_|short\n<CONCEPT>Music|x|PREDICATE|OBJECT|_|Music calms people down\n\nRows: 3"), (2, "no rows\nALIEN|x|y\nPERSON||a|b\nperson|Bob")]
+REPLIES = [(1, "Output:\nPERSON|Ann|Annie, _|likes|tea|yesterday|Ann likes green tea|_|SPEECH\nT2|OBJECT|Tea|||  |_|short\nCONCEPT<Music>|x|PREDICATE|OBJECT|_|Music calms people down\n\nRows: 3"), (2, "no rows\nALIEN|x|y\nPERSON||a|b\nperson|Bob")]
 PARSED = [(1, "PERSON", "Ann", "Annie", "likes", "tea", "yesterday", "Ann likes green tea", True), (1, "OBJECT", "Tea", "", "", "", "", "short", False), (1, "CONCEPT", "Music", "x", "", "", "", "Music calms people down", False), (2, "PERSON", "Bob", "", "", "", "", "", False)]
 
 
 @query(f"SELECT id, entity_type, canonical, aliases, predicate, object, time_expr, fact, speech_act FROM {A.values_sql(PARSED, 'id, entity_type, canonical, aliases, predicate, object, time_expr, fact, speech_act')}")
 def pipe_row_parse(spark, d):
-    out = extraction.parse_rows(A.values(spark, [(i, r.replace("<CONCEPT>Music", "<CONCEPT>|Music")) for i, r in REPLIES], "id long, reply string"))
+    out = extraction.parse_rows(A.values(spark, REPLIES, "id long, reply string"))
     return out.select("id", "entity_type", "canonical", F.array_join("aliases", ",").alias("aliases"), "predicate", "object", "time_expr", "fact", "speech_act")
 
 

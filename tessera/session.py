@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +20,9 @@ def get_spark(app: str = "tessera", master: str | None = None, **conf: str) -> S
     for key, value in {**settings, **conf}.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where it lies on a shared path; a
+    cluster without one ships it (--py-files)."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
