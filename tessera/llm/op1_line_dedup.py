@@ -2,8 +2,10 @@
 
 Lines are keyed by a 64-bit hash and collapsed to distinct ones, with the place
 of their first occurrence.  Distinct lines are exploded into SHINGLE-byte
-shingles and reduced to BANDS x ROWS minima: each hash function is a rotation of
-a shingle's hash, xored with a mask.  Lines that share a band key are paired
+shingles and reduced to BANDS x ROWS minima: each hash function is the shingle's
+hash xored with a mask, so its minimum is the shingle nearest to that mask, any
+of the line's being as likely; masks lie far apart, so the minima are
+independent.  Lines that share a band key are paired
 with the bucket's least line and with the one before them, pairs are verified by
 the exact Jaccard similarity of their shingle sets, and verified pairs are
 joined by a distributed union-find (components).  Of each component, and of each
@@ -43,10 +45,6 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return rows.where(F.trim("line") != "").select("doc", "mark", "line_no", "line", F.xxhash64("line").alias("id"), place.cast("decimal(38,0)").alias("place"))
 
 
-def rotated(x: Column, by: int) -> Column:
-    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by)) if by else x
-
-
 def _mask(j: int) -> int:
     """A fixed 64-bit mask for function j, from the golden-ratio sequence."""
     x = (j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
@@ -60,7 +58,7 @@ def band_rows(lines: DataFrame) -> DataFrame:
     exploded = exploded.select("id", "b", F.explode(F.expr(f"sequence(1, octet_length(b) - {SHINGLE - 1})")).alias("i"))
     hashed = exploded.select("id", F.xxhash64(F.expr(f"substring(b, i, {SHINGLE})")).alias("h"))
     total = BANDS * ROWS
-    minima = [F.min(rotated(F.col("h"), 64 * j // total).bitwiseXOR(F.lit(_mask(j)))).alias(f"m{j}") for j in range(total)]
+    minima = [F.min(F.col("h").bitwiseXOR(F.lit(_mask(j)))).alias(f"m{j}") for j in range(total)]
     signed = hashed.groupBy("id").agg(*minima)
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
     return signed.select("id", F.explode(F.array(*keys)).alias("key"))
