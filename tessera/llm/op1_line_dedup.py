@@ -73,8 +73,11 @@ def candidate_pairs(bands: DataFrame) -> DataFrame:
 
 
 def shingles(line: Column) -> Column:
+    """The line's distinct shingles, as numbers: on strings of eight bytes, xxHash64
+    is one to one (each of its steps can be undone), so equal numbers are equal
+    shingles and the similarity is exact."""
     b = line.cast("binary")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(line) - SHINGLE + 1, F.lit(1))), lambda i: F.hex(F.substring(b, i, F.lit(SHINGLE)))))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.octet_length(line) - SHINGLE + 1), lambda i: F.xxhash64(F.substring(b, i, F.lit(SHINGLE)))))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
