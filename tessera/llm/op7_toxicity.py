@@ -223,8 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][f] for f in names], pa.int64()), pa.array([seen[0][f] for f in names], pa.int64())], names=["f", "a", "b"])
 
     sums = texts.mapInArrow(counted, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (F.lit(pos + 0.5) - F.col("a"))) - F.log((F.col("b") + 0.5) / (F.lit(neg + 0.5) - F.col("b")))
-    z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
+    # pooled two-proportion statistic of the shares of toxic and of other documents that hold the feature
+    share = (F.col("a") + F.col("b")) / F.lit(pos + neg)
+    spread = F.sqrt(share * (1 - share) * F.lit(1 / pos + 1 / neg))
+    z = F.when(spread > 0, (F.col("a") / F.lit(pos) - F.col("b") / F.lit(neg)) / spread).otherwise(0.0)
     chosen = [r["f"] for r in sums.where("a >= 4").withColumn("z", z).where(F.col("z") > LEAST_Z).orderBy(F.desc("z"), "f").limit(most).collect()]
     if not chosen:
         return none
