@@ -12,6 +12,7 @@ import gc
 import hashlib
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -119,16 +120,28 @@ def rows(batches: Iterator[pa.RecordBatch], cap: int = 8 << 20) -> Iterator[tupl
             yield ids[start:], texts[start:]
 
 
+_MEMOS: list[weakref.ref] = []
+
+
 class Memo(dict):
     """dict that computes a missing value; emptied when it has `most` entries,
     so a worker's memory stays bounded whatever the vocabulary."""
 
-    def __init__(self, compute, most: int = 600_000):
+    def __init__(self, compute, most: int = 400_000, owner: str = ""):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.owner = compute, most, owner
+        _MEMOS.append(weakref.ref(self, _MEMOS.remove))
 
     def __missing__(self, key):
         if len(self) >= self.most:
             self.clear()
         value = self[key] = self.compute(key)
         return value
+
+
+def claim(owner: str) -> None:
+    """A worker serves one operator after another: empty what the others remember."""
+    for ref in list(_MEMOS):
+        memo = ref()
+        if memo is not None and memo.owner != owner:
+            memo.clear()

@@ -44,8 +44,8 @@ class CountTransducer:
             raise ValueError("pieces of this model cross word starts; words are not macro-transitions")
         self.inside = inside
         self.longest = max(map(len, self.score))
-        self.segments = common.Memo(self.merge, 600_000)
-        self.words = common.Memo(lambda w: self.run(MARK + w), 600_000)
+        self.segments = common.Memo(self.merge, 400_000, "op5")
+        self.words = common.Memo(lambda w: self.run(MARK + w), 500_000, "op5")
 
     def run(self, text: str) -> int:
         """Read text from the initial state and close its last segment."""
@@ -155,6 +155,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = TOKEN_LIMIT) ->
     """One row per row of docs: bytes, tokens, and whether tokens exceed limit."""
 
     def counted(batches):
+        common.claim("op5")
         count = transducer(model_path).count
         for ids, texts in common.rows(batches):
             n = [count(t.decode("utf-8", "replace")) for t in texts]

@@ -223,6 +223,7 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
         sent = spark.sparkContext.broadcast(block)
 
         def searched(batches, sent=sent, key=key, last=last):
+            common.claim("op6")
             found = _windows(key, window, _Held(sent.value))
             for batch in batches:
                 columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}

@@ -90,6 +90,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     """Counts over all documents; at most SIZE^3 sums reach the driver."""
 
     def counted(batches):
+        common.claim("op7")
         for _, texts in common.rows(batches):
             total = np.zeros(SIZE**3, dtype=np.int64)
             for t in texts:
@@ -167,7 +168,7 @@ class Scorer:
             self.restorer = Restorer(CharacterModel(self.counts))
             known = self.weights
             # most words have no selected feature
-            self.words = common.Memo(lambda token: tuple(f for f in features_of(self.restorer.word(token)) if f in known), 800_000)
+            self.words = common.Memo(lambda token: tuple(f for f in features_of(self.restorer.word(token)) if f in known), 400_000, "op7")
         found = {f for f in document_features(text, self.restorer, self.words) if f in self.weights}
         x = self.bias + sum(self.weights[f] for f in sorted(found))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
@@ -213,8 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
         return none
 
     def counted(batches):
+        common.claim("op7")
         restorer = Restorer(CharacterModel(counts))
-        words = common.Memo(lambda token: tuple(features_of(restorer.word(token))), 300_000)
+        words = common.Memo(lambda token: tuple(features_of(restorer.word(token))), 200_000, "op7")
         for batch in batches:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -234,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
 
     def marked(batches):
         restorer = Restorer(CharacterModel(counts))
-        words = common.Memo(lambda token: tuple(f for f in features_of(restorer.word(token)) if f in at), 300_000)
+        words = common.Memo(lambda token: tuple(f for f in features_of(restorer.word(token)) if f in at), 300_000, "op7")
         for batch in batches:
             found = [sorted(at[f] for f in document_features(t or "", restorer, words) if f in at) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "x"])
@@ -258,6 +260,7 @@ def score_documents(docs: DataFrame, scorer: Scorer, keep: list[str] | None = No
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def scored(batches):
+        common.claim("op7")
         model = sent.value
         for batch in batches:
             s = [model.score(t) for t in batch.column(0).to_pylist()]

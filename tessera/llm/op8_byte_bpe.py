@@ -39,7 +39,7 @@ class ByteBPE:
         self.table = [b""] * size
         for piece, rank in ranks.items():
             self.table[rank] = piece
-        self.memo = common.Memo(self.packed, 1_000_000)
+        self.memo = common.Memo(self.packed, 700_000, "op8")
 
     def merge(self, piece: bytes) -> list[int]:
         get, n, longest = self.ranks.get, len(piece), self.longest
@@ -137,6 +137,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
 
     def encoded(batches):
+        common.claim("op8")
         bpe = codec(path, pattern)
         for ids, texts in common.rows(batches):
             out = [bpe.encode(t.decode("utf-8", "replace")) for t in texts]

@@ -47,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @functools.cache
 def _word_hash() -> common.Memo:
-    return common.Memo(xxhash.xxh64_intdigest, 800_000)
+    return common.Memo(xxhash.xxh64_intdigest, 600_000, "op9")
 
 
 def shingle_set(data: bytes, size: int) -> np.ndarray:
@@ -87,6 +87,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n, fp1, fp2 (the set's fingerprint) and bands of every row."""
 
     def made(batches):
+        common.claim("op9")
         for ids, texts in common.rows(batches):
             n, fp1, fp2, keys, seen = [], [], [], [], {}
             for t in texts:
@@ -270,8 +271,9 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     """The pairs whose full sets reach the similarity."""
 
     def checked(batches):
+        common.claim("op9")
         z = zstandard.ZstdDecompressor()
-        sets = common.Memo(lambda packed: shingle_set(z.decompress(packed), size), 256)
+        sets = common.Memo(lambda packed: shingle_set(z.decompress(packed), size), 256, "op9")
         for batch in batches:
             good = [similar(sets[a], sets[b], percent) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
