@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import temporal, text, timeexpr, vectors
-from ..operators import conflict, evaluation, extraction, graph, jobs, rerank, retrieval
+from ..operators import conflict, evaluation, extraction, graph, jobs, models, rerank, retrieval
 from ..sources import profiles
 from . import adapters as A
 
@@ -693,6 +693,47 @@ def near_dup_lines(spark, d):
     return close.select(F.col("doc_id").alias("a"), "b")
 
 
+# ---- models, caches, budgets ------------------------------------------------
+
+
+@query("""WITH d AS (SELECT user_id, lower(event_type || event_id % 9) AS text, CASE event_id % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'OBJECT' ELSE 'CONCEPT' END AS label, event_id % 4 AS c, event_id, (event_id * 7919 % 100003) / 100003.0 AS score FROM events),
+b AS (SELECT user_id, text, arg_max(label, score) AS label, max(score) AS score FROM d WHERE c <> 3 AND score >= 0.5 GROUP BY ALL)
+SELECT user_id, text, label, round(CAST(score AS DOUBLE), 6) AS score FROM b QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, text) <= 40""")
+def detector_filter(spark, d):
+    i = F.col("event_id")
+    label = F.when(i % 4 == 0, "per").when(i % 4 == 1, "prod").when(i % 4 == 2, "misc").otherwise("time")
+    seen = T(spark, d, "events").select("user_id", F.concat("event_type", i % 9).alias("text"), label.alias("label"), (i * 7919 % 100003 / 100003.0).alias("score"))
+    found = models.mentions(seen, "user_id", {"PER": "PERSON", "PROD": "OBJECT", "MISC": "CONCEPT"})
+    return found.select("user_id", "text", "label", F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 10 = 0 OR vec_id % 10 = 1")
+def stale_vectors(spark, d):
+    short = F.when(F.col("vec_id") % 10 == 1, F.slice("embedding", 1, 16)).otherwise(F.col("embedding"))
+    e = T(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 10 != 0, short).alias("v"))
+    return e.where(models.stale_vector(F.col("v"), 64)).select("vec_id")
+
+
+@query(r"SELECT c_custkey, c_custkey % 2 = 0 AS hit FROM customer")
+def query_cache(spark, d):
+    c = T(spark, d, "customer").select("c_custkey", "c_name")
+    cache = c.where("c_custkey % 2 = 0").select(F.lower("c_name").alias("key"), F.lit("x").alias("value"))
+    hits, misses = models.cached(c.withColumn("c_name", F.upper("c_name")), "c_name", cache)
+    return hits.select("c_custkey", F.lit(True).alias("hit")).union(misses.select("c_custkey", F.lit(False).alias("hit")))
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 2 = 0 THEN floor((o_orderkey % 5000) * 3.0) ELSE o_orderkey % 5000 END AS BIGINT) AS budget, CAST(floor(60 * (1 + 0.2 * (2 * ((o_orderkey % 10) / 10.0) - 1)) + 0.5) AS BIGINT) AS delay FROM orders")
+def budgets_and_delays(spark, d):
+    k = F.col("o_orderkey")
+    budget = models.max_tokens(k % 5000, F.lit(models.HEADROOM), k % 2 == 0)
+    return T(spark, d, "orders").select("o_orderkey", budget.cast("long").alias("budget"), models.retry_delay(F.lit(60), (k % 10) / 10.0).alias("delay"))
+
+
+@query(f"WITH {A.EVENTS_SQL} SELECT id, round(value * CASE WHEN speech_act THEN 0.3 ELSE 1.0 END, 6) AS score FROM ev")
+def speech_discount(spark, d):
+    return A.events(spark, d).select("id", F.round(F.col("value") * retrieval.speech_factor(F.col("speech_act")), 6).alias("score"))
+
+
 # ---- order-dependent and streaming operators: tests hold them to plain versions
 
 
