@@ -48,7 +48,8 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def _remove(spark: SparkSession, paths: list[str]) -> None:
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that this package wrote."""
     try:
         jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for p in paths:
@@ -63,7 +64,7 @@ def keep_scratch(spark: SparkSession, path: str) -> None:
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
         _SCRATCH[app] = []
-        atexit.register(_remove, spark, _SCRATCH[app])
+        atexit.register(remove, spark, _SCRATCH[app])
     _SCRATCH[app].append(path)
 
 
@@ -90,7 +91,7 @@ def release(spark: SparkSession, df: DataFrame) -> None:
     for f in df.inputFiles()[:1]:
         folder = f.rsplit("/", 1)[0]
         if "/tessera-" in folder:
-            _remove(spark, [folder])
+            remove(spark, [folder])
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

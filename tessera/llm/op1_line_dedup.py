@@ -106,7 +106,10 @@ def keepers(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     placed = lines.select("id", "first", "n").join(comps.withColumnRenamed("node", "id"), "id", "left").where("n > 1 OR component IS NOT NULL")
     placed = placed.select("id", F.coalesce("component", "id").alias("component"), "first")
     best = placed.groupBy("component").agg(F.min("first").alias("keep"))
-    return common.materialize(salted_join(placed, best, "component", "inner").select("id", "keep"), "line-keepers")
+    kept = common.materialize(salted_join(placed, best, "component", "inner").select("id", "keep"), "line-keepers")
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files are deleted apart
+    common.remove(spark, [path])
+    return kept
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

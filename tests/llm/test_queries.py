@@ -1,0 +1,44 @@
+"""Registered queries against their SQL, and the pipeline as a whole."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+import duckdb
+import pandas as pd
+import pytest
+
+import corpus_pipeline
+from tessera.llm import op9_near_dedup, queries
+
+DATA = Path("/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, name):
+    c = duckdb.connect()
+    for p in DATA.glob("*.parquet"):
+        c.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
+    got, want = queries.QUERIES[name](spark, str(DATA)).toPandas(), c.execute(queries.ORACLE_SQL[name]).df()
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols
+    a, b = (f[cols].sort_values("doc_id").reset_index(drop=True).astype(object) for f in (got, want))
+    assert a.where(a.notna(), None).equals(b.where(b.notna(), None)) or pd.testing.assert_frame_equal(a.where(a.notna(), None), b.where(b.notna(), None), check_dtype=False) is None
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_pipeline(spark):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "byte_bpe"]
+    docs = spark.read.parquet(str(DATA / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(DATA))
+        assert out.columns == docs.columns
+        assert out.select("doc_id").exceptAll(docs.select("doc_id")).count() == 0
+        if name == "near_dedup":
+            near = op9_near_dedup.near_components(docs)
+            assert out.count() == near.where("kept").count()
+            assert op9_near_dedup.near_components(out).where("NOT kept").count() == 0
+        docs = out.persist()
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(DATA))
+    assert last.count() == docs.count() and {"doc_id", "ids", "n_tokens"} <= set(last.columns)
