@@ -80,19 +80,21 @@ def detect(new: DataFrame, events: DataFrame, adjudicate: Callable[[list[tuple[s
 def merge_candidates(mentions: DataFrame, entities: DataFrame, with_vectors: bool = False) -> DataFrame:
     """(mention, entity_id, score, rank), at most MERGE_TOP a mention: 1 where a name
     contains the other, 0.9 for a shared word of three letters or more, else the
-    cosine from MERGE_COSINE.  Words and trigrams are equi-keys of two joins; only
-    the optional vectors compare a batch's mentions with all entities."""
+    cosine from MERGE_COSINE.  Shared words are an equi-join; only
+    the optional vectors compare a batch's mentions with all entities.  Containment
+    and vectors have no equi-key: the mentions, one batch's and so bounded by it, are
+    broadcast to the entities."""
     m = mentions.select(F.col("name").alias("mention"), norm_name(F.col("name")).alias("mn"), *([F.col("embedding").alias("mv")] if with_vectors else []))
     e = entities.select(F.col("id").alias("entity_id"), norm_name(F.col("canonical_name")).alias("en"), *([F.col("embedding").alias("ev")] if with_vectors else []))
 
     def long_words(c):
         return F.array_distinct(F.filter(words_of(c), lambda w: F.length(w) >= 3))
 
-    contains = m.join(F.broadcast(e), F.contains(F.col("mn"), F.col("en")) | F.contains(F.col("en"), F.col("mn"))).select("mention", "entity_id", F.lit(1.0).alias("score"))
+    contains = e.join(F.broadcast(m), F.contains(F.col("mn"), F.col("en")) | F.contains(F.col("en"), F.col("mn"))).select("mention", "entity_id", F.lit(1.0).alias("score"))
     shared = m.select("mention", F.explode(long_words(F.col("mn"))).alias("w")).join(e.select("entity_id", F.explode(long_words(F.col("en"))).alias("w")), "w").select("mention", "entity_id", F.lit(0.9).alias("score"))
     found = contains.union(shared)
     if with_vectors:
-        close = m.join(F.broadcast(e), (F.size("mv") == F.size("ev")) & (vectors.cosine(F.col("mv"), F.col("ev")) >= MERGE_COSINE))
+        close = e.join(F.broadcast(m), (F.size("mv") == F.size("ev")) & (vectors.cosine(F.col("mv"), F.col("ev")) >= MERGE_COSINE))
         found = found.union(close.select("mention", "entity_id", vectors.cosine(F.col("mv"), F.col("ev")).alias("score")))
     best = found.groupBy("mention", "entity_id").agg(F.max("score").alias("score"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("mention").orderBy(F.desc("score"), "entity_id"))).where(F.col("rank") <= MERGE_TOP)

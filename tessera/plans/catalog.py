@@ -447,13 +447,13 @@ def year_shift_overflow(spark, d):
 # ---- conflicts and resolution ----------------------------------------------
 
 FACT = "'user ' || subject || ' ' || predicate || ' value'"
-PRED_SQL = f"{A.EVENTS_SQL}, p AS (SELECT n.id AS new_id, o.id AS old_id FROM ev n JOIN ev o ON n.subject = o.subject AND o.ins_seq < n.ins_seq AND n.predicate = o.predicate AND n.id % 50 = 0 WHERE NOT n.speech_act AND NOT o.speech_act)"
+PRED_SQL = f"{A.EVENTS_SQL}, p AS (SELECT n.id AS new_id, o.id AS old_id FROM ev n JOIN ev o ON n.subject = o.subject AND o.ins_seq < n.ins_seq AND n.predicate = o.predicate WHERE NOT n.speech_act AND NOT o.speech_act)"
 
 
 def conflicts(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The graph, the batch of new events (every fiftieth id stands for a turn's), pairs."""
+    """The graph, the new events (all of them, as after a bulk load), pairs."""
     e = A.events(spark, d).withColumns({"tokens": F.array("predicate"), "normalized_text": F.concat(F.lit("user "), "subject", F.lit(" "), "predicate"), "superseded_by": F.when(F.col("id") % 9 == 0, F.col("id") + 1)})
-    return e, e.where("id % 50 = 0"), conflict.predecessors(e.where("id % 50 = 0"), e)
+    return e, e, conflict.predecessors(e, e)
 
 
 @query(f"WITH {PRED_SQL} SELECT new_id, count(*) AS n, min(old_id) AS first, max(old_id) AS last FROM p GROUP BY new_id")
@@ -480,16 +480,16 @@ def mark_propagation(spark, d):
     return graph.mark_superseded(e, marks).select("id", "superseded_by")
 
 
-@query("""WITH n AS (SELECT p_partkey AS id, regexp_extract_all(lower(p_name), '[a-z]+') AS w, lower(p_name) AS nm FROM part WHERE p_partkey <= 400), m AS (SELECT s_suppkey AS mid, lower(s_name) AS mn, regexp_extract_all(lower(s_name), '[a-z]+') AS mw FROM supplier),
-c AS (SELECT mid, id, 1.0 AS score FROM m, n WHERE contains(mn, nm) OR contains(nm, mn) UNION ALL SELECT mid, id, 0.9 FROM m, n WHERE len(list_intersect(list_filter(mw, lambda x: length(x) >= 3), list_filter(w, lambda x: length(x) >= 3))) > 0),
-b AS (SELECT mid, id, max(score) AS score FROM c GROUP BY ALL) SELECT mid AS mention, id AS entity_id, round(CAST(score AS DOUBLE), 6) AS score, row_number() OVER (PARTITION BY mid ORDER BY score DESC, id) AS rank FROM b QUALIFY rank <= 5""")
+@query("""WITH n AS (SELECT min(p_partkey) AS id, lower(p_name) AS nm, regexp_extract_all(lower(p_name), '[a-z]+') AS w FROM part GROUP BY p_name), m0 AS (SELECT DISTINCT p_type || ' ' || split_part(p_name, ' ', 2) AS mention FROM part), m AS (SELECT mention, lower(mention) AS mn, regexp_extract_all(lower(mention), '[a-z]+') AS mw FROM m0),
+c AS (SELECT mention, id, 1.0 AS score FROM m, n WHERE contains(mn, nm) OR contains(nm, mn) UNION ALL SELECT mention, id, 0.9 FROM m, n WHERE len(list_intersect(list_filter(mw, lambda x: length(x) >= 3), list_filter(w, lambda x: length(x) >= 3))) > 0),
+b AS (SELECT mention, id, max(score) AS score FROM c GROUP BY ALL) SELECT mention, id AS entity_id, round(CAST(score AS DOUBLE), 6) AS score, row_number() OVER (PARTITION BY mention ORDER BY score DESC, id) AS rank FROM b QUALIFY rank <= 5""")
 def merge_blocking_top5(spark, d):
-    """Suppliers as mentions against the catalogue's first 400 parts, which stand for
-    the entity table of that size; the operator itself takes whole tables."""
-    m = T(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
-    e = T(spark, d, "part").where("p_partkey <= 400").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("canonical_name"))
+    """Kinds of parts as a batch of mentions against the names of all parts."""
+    p = T(spark, d, "part")
+    m = p.select(F.concat("p_type", F.lit(" "), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("name")).distinct()
+    e = p.groupBy(F.col("p_name").alias("canonical_name")).agg(F.min("p_partkey").alias("id"))
     found = conflict.merge_candidates(m, e)
-    return found.join(m.withColumnRenamed("name", "mention"), "mention").select(F.col("k").alias("mention"), "entity_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return found.select("mention", "entity_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {A.EVENTS_SQL}, k AS (SELECT *, row_number() OVER (ORDER BY value DESC, id) AS pos FROM ev QUALIFY pos <= 200),
@@ -683,14 +683,14 @@ def corpus_features(spark, d):
     return T(spark, d, "documents").select("doc_id", *[f[k].cast("long").alias(k) for k in ("chars", "digits", "versions", "identifiers")])
 
 
-@query("WITH n AS (SELECT source, doc_id, list_distinct(regexp_extract_all(lower(left(text, 400)), '[a-z]+')) AS w FROM documents WHERE length(text) < 600) SELECT a.doc_id AS a, b.doc_id AS b FROM n a JOIN n b ON a.source = b.source AND a.doc_id < b.doc_id WHERE len(a.w) > 0 AND len(list_intersect(a.w, b.w)) >= 0.85 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))")
+@query("WITH n AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations) SELECT conv_id, a.turn AS a, b.turn AS b FROM n a JOIN n b USING (conv_id) WHERE a.turn < b.turn AND len(a.w) > 0 AND len(list_intersect(a.w, b.w)) >= 0.15 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))")
 def near_dup_lines(spark, d):
-    """Short facts of a source whose token sets agree to 0.85; the facts' own
-    length bound (400 of under 600 characters) is the operator's, a line's size."""
-    n = T(spark, d, "documents").where(F.length("text") < 600).select("source", "doc_id", F.array_distinct(text.words_of(F.substring("text", 1, 400))).alias("w"))
-    b = n.select("source", F.col("doc_id").alias("b"), F.col("w").alias("bw"))
-    close = n.join(b, "source").where((F.col("doc_id") < F.col("b")) & (F.size("w") > 0) & (text.jaccard(F.col("w"), F.col("bw")) >= rerank.NEAR_DUP))
-    return close.select(F.col("doc_id").alias("a"), "b")
+    """Turns of a conversation whose token sets agree to 0.15 (these texts hold no
+    nearer ones); a group is one conversation, so pairs stay within its length."""
+    n = T(spark, d, "conversations").select("conv_id", "turn", F.array_distinct(text.words_of(F.col("text"))).alias("w"))
+    b = n.select("conv_id", F.col("turn").alias("b"), F.col("w").alias("bw"))
+    close = n.join(b, "conv_id").where((F.col("turn") < F.col("b")) & (F.size("w") > 0) & (text.jaccard(F.col("w"), F.col("bw")) >= 0.15))
+    return close.select("conv_id", F.col("turn").alias("a"), "b")
 
 
 # ---- models, caches, budgets ------------------------------------------------
