@@ -206,27 +206,30 @@ def most_differing(percent: int) -> int:
     return int(SKETCH * p + 5.2 * (SKETCH * p * (1 - p)) ** 0.5) + 1
 
 
-def sketches(texts: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(doc, n, sketch) of docs."""
+def sketches(texts: DataFrame, docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
+    """(doc, n, sketch, bands) of docs."""
 
     def made(batches):
         z = zstandard.ZstdDecompressor()
         for batch in batches:
             sets = [shingle_set(z.decompress(t), size) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([bit_sketch(x).tobytes() for x in sets], pa.binary())], names=["doc", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([bit_sketch(x).tobytes() for x in sets], pa.binary()), pa.array([band_keys(x, bands, rows).tobytes() for x in sets], pa.binary())], names=["doc", "n", "sketch", "bands"])
 
-    return texts.join(docs.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "z").mapInArrow(made, "doc long, n long, sketch binary")
+    return texts.join(docs.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "z").mapInArrow(made, "doc long, n long, sketch binary, bands binary")
 
 
 def cross_pairs(batches, percent: int):
     """All pairs of members of a bucket that lie in different components and whose
-    sizes and signatures allow the similarity.  Columns: key, doc, component, n, sketch."""
-    parts = [[*(b.column(i).to_numpy() for i in range(4)), np.frombuffer(b"".join(b.column(4).to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1)] for b in batches if b.num_rows]
+    sizes and signatures allow the similarity, each in the first bucket of theirs
+    only.  Columns: key, doc, component, n, sketch, bands."""
+    packed = lambda c, rows: np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64).reshape(rows, -1)
+    parts = [[*(b.column(i).to_numpy() for i in range(4)), packed(b.column(4), b.num_rows), packed(b.column(5), b.num_rows)] for b in batches if b.num_rows]
     if not parts:
         return
-    key, doc, comp, n, sketch = (np.concatenate(c) for c in zip(*parts, strict=True))
+    key, doc, comp, n, sketch, bands = (np.concatenate(c) for c in zip(*parts, strict=True))
     order = np.lexsort((comp, key))
-    key, doc, comp, n, sketch = (x[order] for x in (key, doc, comp, n, sketch))
+    key, doc, comp, n, sketch, bands = (x[order] for x in (key, doc, comp, n, sketch, bands))
+    place = np.argmax(bands == key.view(np.uint64)[:, None], axis=1)  # the band of the bucket
     most = most_differing(percent)
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     a, b, held = [], [], 0
@@ -238,6 +241,7 @@ def cross_pairs(batches, percent: int):
             stop = at + int(np.searchsorted(comp[at:e], comp[at], side="right"))
             for i in range(at, stop) if stop < e else ():
                 fits = 100 * np.minimum(n[i], n[stop:e]) >= percent * np.maximum(n[i], n[stop:e])
+                fits &= ~(bands[i, : place[i]] == bands[stop:e, : place[i]]).any(axis=1)  # met in an earlier band
                 can = doc[stop:e][fits & (np.bitwise_count(sketch[i] ^ sketch[stop:e]).sum(axis=1, dtype=np.int64) <= most)]
                 b.append(can)
                 a.append(np.full(len(can), doc[i]))
@@ -310,8 +314,8 @@ def near_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         last = turn >= TURNS
         if last:
             again = common.materialize(again, "open")
-            drawn = common.materialize(sketches(texts, again.select("doc").distinct(), size), "sketches")
-            again = again.join(drawn, "doc").select("key", "doc", "component", "n", "sketch")
+            drawn = common.materialize(sketches(texts, again.select("doc").distinct(), size, bands, rows), "sketches")
+            again = again.join(drawn, "doc").select("key", "doc", "component", "n", "sketch", "bands")
         pairing = (lambda b: cross_pairs(b, percent)) if last else (lambda b, t=turn: some_cross_pairs(b, t))
         fresh = common.materialize(bucketed(again, pairing).join(tried, ["u", "v"], "left_anti"), "fresh")
         found = common.materialize(verify(fresh, texts, size, percent), "found")

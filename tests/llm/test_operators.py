@@ -293,9 +293,14 @@ def test_cross_pairs_find_every_pair():
     shared = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
     sets = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, 10, dtype=np.uint64)])) for _ in range(20)]
     sk = [op9_near_dedup.bit_sketch(s).tobytes() for s in sets]
-    batch = pa.RecordBatch.from_arrays([pa.array([1] * 20), pa.array(range(20)), pa.array(range(20)), pa.array([len(s) for s in sets]), pa.array(sk, pa.binary())], names=["key", "doc", "component", "n", "sketch"])
-    got = pa.Table.from_batches(op9_near_dedup.cross_pairs([batch], 80))
-    assert got.num_rows == 190
+    bands = np.array([[1, 5, 2]] * 20, dtype=np.uint64)
+    bands[7, 0] = 9
+
+    def found(key):
+        cols = [pa.array([key] * 20), pa.array(range(20)), pa.array(range(20)), pa.array([len(s) for s in sets]), pa.array(sk, pa.binary()), pa.array([b.tobytes() for b in bands], pa.binary())]
+        return pa.Table.from_batches(op9_near_dedup.cross_pairs([pa.RecordBatch.from_arrays(cols, names=["key", "doc", "component", "n", "sketch", "bands"])], 80))
+
+    assert found(5).num_rows == 19 and found(2).num_rows == 0  # other pairs met in the first band
 
 
 BASE_TEXTS = ["a@b.c x@y.co.uk @z.w u@v", "1.2.3.4 256.1.1.1 001.2.3.4.5.6.7.8", "4111 1111 1111 1111 and 4111111111111112 4111-1111-1111-1111-9", "+1 (743) 555-3824 +12 +1234567890123456", "a@b.c@d.e", "é é@x.y a.@-.b", "1" * 5000 + " " + "a" * 5000, "+1 " + " " * 500]
