@@ -8,9 +8,10 @@ of the line's being as likely; masks lie far apart, so the minima are
 independent.  Lines that share a band key are paired
 with the bucket's least line and with the one before them, pairs are verified by
 the exact Jaccard similarity of their shingle sets, and verified pairs are
-joined by a distributed union-find (components).  Of each component, and of each
-line that occurs more than once, the first occurrence (doc_id, line number)
-stays.
+joined by a distributed union-find (components).  Buckets whose members still lie
+in several components are taken up again: all their pairs across components are
+verified too.  Of each component, and of each line that occurs more than once,
+the first occurrence (doc_id, line number) stays.
 
 At the threshold of 0.8 a pair shares a band with probability 0.985, at 0.9
 with 0.9998.  Lines of fewer than SHORT bytes are compared exactly only; blank
@@ -35,6 +36,7 @@ from .components import components, salted_join
 
 SHINGLE, BANDS, ROWS, PERCENT, SHORT = 8, 8, 4, 80, 24
 LAST = (1 << 63) - 1
+SALTS = 8
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -64,14 +66,32 @@ def band_rows(lines: DataFrame) -> DataFrame:
     return signed.select("id", F.explode(F.array(*keys)).alias("key"))
 
 
-def candidate_pairs(bands: DataFrame) -> DataFrame:
-    """Members of a bucket with its least member and with the one before."""
+def buckets(bands: DataFrame) -> DataFrame:
+    """(key, id, head, before) of the members of every bucket of two or more: its
+    least member, and the one before (none for the least itself)."""
     bucket = Window.partitionBy("key").orderBy("id")
-    held = bands.select("id", F.first("id").over(bucket).alias("head"), F.lag("id").over(bucket).alias("before")).where("before IS NOT NULL")
-    pairs = held.select(F.explode(F.array_distinct(F.array("head", "before"))).alias("u"), F.col("id").alias("v"))
+    held = bands.select("key", "id", F.first("id").over(bucket).alias("head"), F.lag("id").over(bucket).alias("before"), F.lead("id").over(bucket).alias("after"))
+    return held.where("before IS NOT NULL OR after IS NOT NULL").drop("after")
+
+
+def candidate_pairs(held: DataFrame) -> DataFrame:
+    """Members of a bucket with its least member and with the one before."""
+    pairs = held.where("before IS NOT NULL").select(F.explode(F.array_distinct(F.array("head", "before"))).alias("u"), F.col("id").alias("v"))
     return pairs.where("u <> v").distinct()
 
 
+def cross_pairs(held: DataFrame, comps: DataFrame, tried: DataFrame) -> DataFrame:
+    """All untried pairs of members of a bucket that lie in different components.
+    The join streams and spills; a bucket's rows are dealt over salts."""
+    labelled = held.select("key", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    split = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    again = common.materialize(salted_join(labelled, split, "key", "inner"), "line-open")
+    left = again.select("key", F.col("id").alias("x"), F.col("component").alias("cx"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    right = again.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    pairs = left.join(right.hint("merge"), ["key", "salt"]).where("cx < cy").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+    return pairs.join(tried, ["u", "v"], "left_anti")
+
+
 def shingles(line: Column) -> Column:
     """The line's distinct shingles, as numbers: on strings of eight bytes, xxHash64
     is one to one (each of its steps can be undone), so equal numbers are equal
@@ -100,9 +120,14 @@ def keepers(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     common.keep_scratch(spark, path)
     common.tidy(spark)
     lines = spark.table(name)
-    pairs = common.materialize(candidate_pairs(band_rows(lines)), "line-pairs")
+    held = common.materialize(buckets(band_rows(lines)), "line-buckets")
+    pairs = common.materialize(candidate_pairs(held), "line-pairs")
     links = common.materialize(verified(pairs, lines, percent), "line-links")
     comps = components(links, "line-components")
+    fresh = common.materialize(cross_pairs(held, comps, pairs), "line-cross-pairs")
+    found = common.materialize(verified(fresh, lines, percent), "line-cross-links")
+    if not found.isEmpty():  # components only grow, so nothing that lies across them is untried now
+        comps = components(links.union(found), "line-components")
     placed = lines.select("id", "first", "n").join(comps.withColumnRenamed("node", "id"), "id", "left").where("n > 1 OR component IS NOT NULL")
     placed = placed.select("id", F.coalesce("component", "id").alias("component"), "first")
     best = placed.groupBy("component").agg(F.min("first").alias("keep"))

@@ -92,6 +92,59 @@ def test_line_dedup_joins_near_lines(spark):
     assert got == {1: line, 2: "other words", 3: "quite another line, which has nothing in common with the first one at all"}
 
 
+def line_components(lines: list[str], size: int = 8) -> set[frozenset]:
+    """Groups of lines linked at 0.8, by all pairs."""
+    sets = [{x[i : i + size] for i in range(len(x) - size + 1)} for x in (line.encode() for line in lines)]
+    root = list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    groups: dict = {}
+    for i in range(len(lines)):
+        groups.setdefault(find(i), set()).add(lines[i])
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_line_dedup_pairs_all_of_a_hot_bucket(spark):
+    # one bucket of twelve lines in id order: twins never stand side by side, nor with the least
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common_part = word(110)
+    lines = []
+    for _ in range(6):
+        own = word(50)
+        lines += [common_part + own, common_part + own[:-1] + "#"]
+    ids = {i: x for i, x in enumerate(lines[0::2] + lines[1::2])}
+    frame = spark.createDataFrame([(i, x) for i, x in ids.items()], "id long, line string")
+    held = op1_line_dedup.buckets(spark.createDataFrame([(i, 1) for i in ids], "id long, key long"))
+    tried = op1_line_dedup.candidate_pairs(held)
+    links = op1_line_dedup.verified(tried, frame, 80)
+    more = op1_line_dedup.verified(op1_line_dedup.cross_pairs(held, components(links), tried), frame, 80)
+    got = {frozenset((ids[r["u"]], ids[r["v"]])) for r in links.union(more).collect()}
+    assert got == line_components(lines) and len(got) == 6
+
+
+def test_line_dedup_finds_twins_in_a_hot_template(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common_part = word(120)
+    lines = []
+    for _ in range(250):
+        own = word(30)
+        lines += [common_part + own, common_part + own[:-8] + word(8)]
+    out = op1_line_dedup.line_dedup(table(spark, list(enumerate(lines)), 2))
+    kept = sum(r["text"] != "" for r in out.collect())
+    assert kept == len(line_components(lines))
+
+
 def test_license_scan(spark, docs):
     text = "MIT License and mit  license\nReleased under the MIT license.\nGNU General Public License\nThis work is licensed under the GNU General Public License, version 3."
     got = results(op2_license_scan.license_scan(table(spark, [(1, text), (2, "permit license"), (3, None), (4, "apache\nLICENSE")])))
