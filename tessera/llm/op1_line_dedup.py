@@ -2,10 +2,9 @@
 
 Lines are keyed by a 64-bit hash and collapsed to distinct ones, with the place
 of their first occurrence.  Distinct lines are exploded into SHINGLE-byte
-shingles and reduced to BANDS x ROWS minima: each hash function is the shingle's
-hash xored with a mask, so its minimum is the shingle nearest to that mask, any
-of the line's being as likely; masks lie far apart, so the minima are
-independent.  Lines that share a band key are paired
+shingles and reduced to BANDS x ROWS minima of hash functions: the shingle's hash,
+xored with a mask and hashed again, gives two of them, so which shingle is least
+in one says nothing about another.  Lines that share a band key are paired
 with the bucket's least line and with the one before them, pairs are verified by
 the exact Jaccard similarity of their shingle sets, and verified pairs are
 joined by a distributed union-find (components).  Buckets whose members still lie
@@ -13,8 +12,8 @@ in several components are taken up again: all their pairs across components are
 verified too.  Of each component, and of each line that occurs more than once,
 the first occurrence (doc_id, line number) stays.
 
-At the threshold of 0.8 a pair shares a band with probability 0.985, at 0.9
-with 0.9998.  Lines of fewer than SHORT bytes are compared exactly only; blank
+At the threshold of 0.8 a pair shares no band with probability 3 x 10^-6, at 0.9
+with 10^-11.  Lines of fewer than SHORT bytes are compared exactly only; blank
 lines always stay.  The distinct lines are written once, bucketed by their key,
 so that neither the signatures nor the verification shuffles text again.
 
@@ -34,7 +33,7 @@ from pyspark.sql import Window
 from . import common
 from .components import components, salted_join
 
-SHINGLE, BANDS, ROWS, PERCENT, SHORT = 8, 8, 4, 80, 24
+SHINGLE, BANDS, ROWS, PERCENT, SHORT = 8, 24, 4, 80, 24
 LAST = (1 << 63) - 1
 SALTS = 8
 
@@ -48,7 +47,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def _mask(j: int) -> int:
-    """A fixed 64-bit mask for function j, from the golden-ratio sequence."""
+    """A fixed 64-bit mask for hash j, from the golden-ratio sequence."""
     x = (j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
     x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
     return (x ^ x >> 27) - (1 << 63)
@@ -59,9 +58,12 @@ def band_rows(lines: DataFrame) -> DataFrame:
     exploded = lines.where(F.octet_length("line") >= SHORT).select("id", F.col("line").cast("binary").alias("b"))
     exploded = exploded.select("id", "b", F.explode(F.expr(f"sequence(1, octet_length(b) - {SHINGLE - 1})")).alias("i"))
     hashed = exploded.select("id", F.xxhash64(F.expr(f"substring(b, i, {SHINGLE})")).alias("h"))
-    total = BANDS * ROWS
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(_mask(j)))).alias(f"m{j}") for j in range(total)]
-    signed = hashed.groupBy("id").agg(*minima)
+    # each hash is mixed anew and gives two functions, its halves
+    drawn = hashed.select("id", *[F.xxhash64(F.col("h").bitwiseXOR(F.lit(_mask(j)))).alias(f"x{j}") for j in range(BANDS * ROWS // 2)])
+    minima = []
+    for j in range(BANDS * ROWS // 2):
+        minima += [F.min(F.shiftrightunsigned(f"x{j}", 32)).alias(f"m{2 * j}"), F.min(F.col(f"x{j}").bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"m{2 * j + 1}")]
+    signed = drawn.groupBy("id").agg(*minima)
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
     return signed.select("id", F.explode(F.array(*keys)).alias("key"))
 

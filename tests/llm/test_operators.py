@@ -145,6 +145,20 @@ def test_line_dedup_finds_twins_in_a_hot_template(spark):
     assert kept == len(line_components(lines))
 
 
+def test_line_dedup_bands_find_pairs_at_the_threshold(spark):
+    # 40 shingles a line, 32 of them in its twin: similarity 0.8
+    rng = random.Random(13)
+    rows = []
+    for i in range(1200):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(47))
+        rows += [(2 * i, line), (2 * i + 1, line[:39])]
+    bands = op1_line_dedup.band_rows(spark.createDataFrame(rows, "id long, line string").repartition(2, "id"))
+    keys: dict = {}
+    for r in bands.collect():
+        keys.setdefault(r["id"], set()).add(r["key"])
+    assert sum(not keys[2 * i] & keys[2 * i + 1] for i in range(1200)) == 0
+
+
 def test_license_scan(spark, docs):
     text = "MIT License and mit  license\nReleased under the MIT license.\nGNU General Public License\nThis work is licensed under the GNU General Public License, version 3."
     got = results(op2_license_scan.license_scan(table(spark, [(1, text), (2, "permit license"), (3, None), (4, "apache\nLICENSE")])))
