@@ -13,8 +13,8 @@ verified too.  Of each component, and of each line that occurs more than once,
 the first occurrence (doc_id, line number) stays.
 
 At the threshold of 0.8 a pair shares no band with probability 3 x 10^-6, at 0.9
-with 10^-11.  Lines of fewer than SHORT bytes are compared exactly only; blank
-lines always stay.  The distinct lines are written once, bucketed by their key,
+with 10^-11.  Lines of fewer than SHORT bytes have no shingle and are compared exactly
+only; blank lines always stay.  The distinct lines are written once, bucketed by their key,
 so that neither the signatures nor the verification shuffles text again.
 
 Null and empty texts have one blank line.  Rows without doc_id come after all
@@ -33,7 +33,8 @@ from pyspark.sql import Window
 from . import common
 from .components import components, salted_join
 
-SHINGLE, BANDS, ROWS, PERCENT, SHORT = 8, 24, 4, 80, 24
+SHINGLE, BANDS, ROWS, PERCENT = 8, 24, 4, 80
+SHORT = SHINGLE
 LAST = (1 << 63) - 1
 SALTS = 8
 
@@ -102,13 +103,19 @@ def shingles(line: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.octet_length(line) - SHINGLE + 1), lambda i: F.xxhash64(F.substring(b, i, F.lit(SHINGLE)))))
 
 
+def let(value: Column, body) -> Column:
+    """body of value, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     right = pairs.join(lines.select(F.col("id").alias("v"), F.col("line").alias("lv")), "v")
     both = right.join(lines.select(F.col("id").alias("u"), F.col("line").alias("lu")), "u")
-    close = both.where(100 * F.least(F.octet_length("lu"), F.octet_length("lv")) >= (percent - 10) * F.greatest(F.octet_length("lu"), F.octet_length("lv")))
-    sets = close.select("u", "v", shingles(F.col("lu")).alias("a"), shingles(F.col("lv")).alias("b"))
-    common_ = F.size(F.array_intersect("a", "b"))
-    return sets.where(100 * common_ >= percent * (F.size("a") + F.size("b") - common_)).select("u", "v")
+    a, b = (lambda s: F.size(s["a"])), (lambda s: F.size(s["b"]))
+    fits = lambda s: 100 * F.least(a(s), b(s)) >= percent * F.greatest(a(s), b(s))
+    reaches = lambda s: let(F.size(F.array_intersect(s["a"], s["b"])), lambda n: 100 * n >= percent * (a(s) + b(s) - n))
+    sets = F.struct(shingles(F.col("lu")).alias("a"), shingles(F.col("lv")).alias("b"))
+    return both.where(let(sets, lambda s: F.when(fits(s), reaches(s)).otherwise(F.lit(False)))).select("u", "v")
 
 
 def keepers(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -159,6 +159,15 @@ def test_line_dedup_bands_find_pairs_at_the_threshold(spark):
     assert sum(not keys[2 * i] & keys[2 * i + 1] for i in range(1200)) == 0
 
 
+def test_line_dedup_verifies_sets_not_lengths(spark):
+    lines = ["=" * 40, "=" * 100, "ha " * 12, "ha " * 40, "sixteen bytes, 1", "sixteen bytes, ", "a longer line that is alike in nothing"]
+    frame = spark.createDataFrame(list(enumerate(lines)), "id long, line string").repartition(2, "id")
+    held = op1_line_dedup.buckets(op1_line_dedup.band_rows(frame))
+    pairs = op1_line_dedup.candidate_pairs(held)
+    links = {frozenset((lines[r["u"]], lines[r["v"]])) for r in op1_line_dedup.verified(pairs, frame, 80).collect()}
+    assert links == {g for g in line_components(lines) if len(g) > 1} and len(links) == 3
+
+
 def test_license_scan(spark, docs):
     text = "MIT License and mit  license\nReleased under the MIT license.\nGNU General Public License\nThis work is licensed under the GNU General Public License, version 3."
     got = results(op2_license_scan.license_scan(table(spark, [(1, text), (2, "permit license"), (3, None), (4, "apache\nLICENSE")])))
