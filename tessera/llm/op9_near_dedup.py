@@ -190,14 +190,19 @@ def some_cross_pairs(batches, turn: int):
     yield _pairs(a, b)
 
 
+@functools.cache
+def _seeds() -> np.ndarray:
+    return np.random.default_rng(20_240_301).integers(0, 1 << 64, SKETCH, dtype=np.uint64)
+
+
 def bit_sketch(hashes: np.ndarray) -> np.ndarray:
-    """One bit of each of SKETCH minima: two texts' bits agree in (1 + J) / 2 of them."""
-    a, b = _functions(SKETCH)
-    low = np.full(SKETCH, 0xFFFFFFFF, dtype=np.uint32)
-    x = (hashes >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(x), 256):
-        np.minimum(low, (x[i : i + 256, None] * a + b).min(axis=0), out=low)
-    return np.packbits((low & 1).astype(np.uint8)).view(np.uint64)
+    """One bit of each of SKETCH minima: two texts' bits agree in (1 + J) / 2 of them.
+    Each function mixes the shingles anew, so that which shingle is least in it, and
+    the bit of that one, are drawn apart from all others, however small the set."""
+    low = np.full(SKETCH, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    for i in range(0, len(hashes), 64):
+        np.minimum(low, mix(mix(hashes[i : i + 64, None] ^ _seeds()) * M1).min(axis=0), out=low)
+    return np.packbits((low & np.uint64(1)).astype(np.uint8)).view(np.uint64)
 
 
 def most_differing(percent: int) -> int:

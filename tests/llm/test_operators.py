@@ -168,6 +168,16 @@ def test_line_dedup_verifies_sets_not_lengths(spark):
     assert links == {g for g in line_components(lines) if len(g) > 1} and len(links) == 3
 
 
+@pytest.mark.parametrize(("shared", "one", "two"), [(8, 1, 1), (12, 3, 0), (16, 2, 2), (36, 9, 0)])
+def test_near_dedup_sketch_keeps_small_sets(shared, one, two):
+    rng = np.random.default_rng(shared)
+    most = op9_near_dedup.most_differing(80)
+    for _ in range(400):
+        x = rng.integers(0, 1 << 64, shared + one + two, dtype=np.uint64)
+        a, b = op9_near_dedup.bit_sketch(x[: shared + one]), op9_near_dedup.bit_sketch(np.concatenate([x[:shared], x[shared + one :]]))
+        assert np.bitwise_count(a ^ b).sum(dtype=np.int64) <= most
+
+
 def test_license_scan(spark, docs):
     text = "MIT License and mit  license\nReleased under the MIT license.\nGNU General Public License\nThis work is licensed under the GNU General Public License, version 3."
     got = results(op2_license_scan.license_scan(table(spark, [(1, text), (2, "permit license"), (3, None), (4, "apache\nLICENSE")])))
