@@ -5,7 +5,8 @@ obfuscated (letters mixed with look-alike signs, letters repeated, words spelled
 with spaces or separators) become a lattice: every sign may stand for itself, for
 the letters it resembles, or for nothing where it separates or repeats.  Viterbi
 finds the letters that the channel's costs and the language model like best; the
-restored words replace the token.
+restored words replace the token.  Tokens and spelled-out runs are decoded whole,
+however long; a run counts as one word and as the words it falls into.
 
 A logistic model scores the restored words and their openings.  It is fitted on
 at most SAMPLE labelled documents of either label with the smallest hash of
@@ -63,27 +64,39 @@ class CharacterModel:
         tri = (c + 5 * bi[None]) / (c.sum(axis=2, keepdims=True) + 5)
         self.log = np.log(tri).tolist()
 
-    def decode(self, token: str) -> str:
-        """The best letters for an obfuscated token (Viterbi over the lattice)."""
-        states = {(0, 0): (0.0, "")}  # last two symbols -> best score and letters
+    def decode(self, token: str, breaks: bool = False) -> str:
+        """The best letters for an obfuscated token (Viterbi over the lattice); with
+        breaks, a separator may also end a word, which a space then shows."""
+        states = {(0, 0): (0.0, None)}  # last two symbols -> best score and letters, linked from the last
         last = ""
         for sign in token:
-            options = [(sign, 0.0)] if sign in SYMBOL else []
-            options += [(c, SUBSTITUTE) for c in LOOKALIKE.get(sign, "")]
+            options = [(sign, SYMBOL[sign], 0.0)] if sign in SYMBOL else []
+            options += [(c, SYMBOL[c], SUBSTITUTE) for c in LOOKALIKE.get(sign, "")]
             skip = SEPARATE if sign in SEPARATORS else COLLAPSE if sign == last and sign in SYMBOL else None
             if not options and skip is None:
                 skip = SUBSTITUTE
+            if breaks and sign in SEPARATORS:
+                options.append((" ", 0, 0.0))
             fresh: dict = {}
             for (a, b), (score, letters) in states.items():
                 if skip is not None and score + skip > fresh.get((a, b), (-math.inf,))[0]:
                     fresh[a, b] = (score + skip, letters)
-                for c, cost in options:
-                    s = SYMBOL[c]
+                for c, s, cost in options:
                     total = score + cost + self.log[a][b][s]
                     if total > fresh.get((b, s), (-math.inf,))[0]:
-                        fresh[b, s] = (total, letters + c)
+                        fresh[b, s] = (total, (letters, c))
             states, last = fresh, sign
-        return max((score + self.log[a][b][0], letters) for (a, b), (score, letters) in states.items())[1]
+        ends = [(score + self.log[a][b][0], letters) for (a, b), (score, letters) in states.items()]
+        best = max(score for score, _ in ends)
+        return max(unlinked(letters) for score, letters in ends if score == best)
+
+
+def unlinked(letters: tuple | None) -> str:
+    out = []
+    while letters is not None:
+        letters, c = letters
+        out.append(c)
+    return "".join(reversed(out))
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -117,14 +130,16 @@ class Restorer:
         """A token without its edge punctuation, restored if it looks obfuscated."""
         core = token.strip(EDGE)
         outer = token.strip(".,;:?\"'[]{}<>#*%&-_~`=/\\")
-        if 2 < len(outer) <= 32 and MIXED.search(outer):
+        if 2 < len(outer) and MIXED.search(outer):
             inner = outer.rstrip("!") if not SIGN.search(outer.rstrip("!")) else outer
             if SIGN.search(inner) or REPEATED.search(inner):
                 return self.model.decode(inner)
         return core
 
     def spelled(self, text: str) -> list[str]:
-        return [self.model.decode(m.group()[:64]) for m in SPELLED.finditer(text)]
+        """Every spelled-out run as one word, and the words it falls into."""
+        runs = [m.group() for m in SPELLED.finditer(text)]
+        return [w for run in runs for w in dict.fromkeys([self.model.decode(run), *self.model.decode(run, True).split()])]
 
 
 def features_of(word: str) -> list[str]:

@@ -178,6 +178,16 @@ def test_near_dedup_sketch_keeps_small_sets(shared, one, two):
         assert np.bitwise_count(a ^ b).sum(dtype=np.int64) <= most
 
 
+def test_toxicity_restores_long_runs_and_tokens(spark):
+    plain = "you are an idiot and he is not " * 50
+    restorer = op7_toxicity.Restorer(op7_toxicity.CharacterModel(op7_toxicity.trigram_counts(table(spark, [(1, plain)]))))
+    assert restorer.word("idi" + "o" * 60 + "t") == "idiot"
+    run = " ".join("heisnotyouareandheisnotandyouareanidiot")
+    assert len(run) > 64 and "idiot" in restorer.spelled(run)
+    assert restorer.spelled("i d i o t") == ["idiot"]
+    assert len(restorer.spelled(" ".join("you" * 4000))[0]) > 6000
+
+
 def test_license_scan(spark, docs):
     text = "MIT License and mit  license\nReleased under the MIT license.\nGNU General Public License\nThis work is licensed under the GNU General Public License, version 3."
     got = results(op2_license_scan.license_scan(table(spark, [(1, text), (2, "permit license"), (3, None), (4, "apache\nLICENSE")])))
