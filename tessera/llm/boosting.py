@@ -65,11 +65,13 @@ class Boosted:
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> "Boosted":
         """Isotonic regression of held-out labels on the margin."""
-        m = self.margin(x)
-        order = np.argsort(m, kind="stable")
+        return self.calibrate_counts(self.margin(x), y, np.ones(len(y)))
+
+    def calibrate_counts(self, margins: np.ndarray, positive: np.ndarray, count: np.ndarray) -> "Boosted":
+        """The same where each margin stands for count labels, positive of which are 1."""
         blocks: list[list[float]] = []  # [mean, weight, margin]
-        for i in order:
-            blocks.append([float(y[i]), 1.0, float(m[i])])
+        for i in np.argsort(margins, kind="stable"):
+            blocks.append([float(positive[i] / count[i]), float(count[i]), float(margins[i])])
             while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
                 b, a = blocks.pop(), blocks.pop()
                 w = a[1] + b[1]
@@ -78,8 +80,9 @@ class Boosted:
             self.knots = (np.array([k[2] for k in blocks]), np.array([(k[0] * k[1] + 0.5) / (k[1] + 1) for k in blocks]))
         return self
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        if not len(x):
-            return np.zeros(0)
-        at = np.minimum(np.searchsorted(self.knots[0], self.margin(x), side="left"), len(self.knots[1]) - 1)
+    def calibrated(self, margins: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.knots[0], margins, side="left"), len(self.knots[1]) - 1)
         return self.knots[1][at]
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return self.calibrated(self.margin(x)) if len(x) else np.zeros(0)

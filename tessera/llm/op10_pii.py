@@ -6,13 +6,16 @@ long digit groups, spelled-out addresses, and long mixed tokens.  Boosted trees
 score them by format and context; isotonic calibration on held-out candidates
 turns scores into probabilities, and the redaction threshold per kind is the
 lowest that reaches `precision` there (no threshold: the kind adds nothing).
+Calibration and thresholds count the held-out candidates of all documents; a kind
+with fewer than FEW of them takes the threshold of all kinds together.  Spelled-out
+addresses are always positive, so their threshold is 0.
 
 The trees learn from validators and key words, not from hand labels: a
 candidate that a base validator accepts, or that an assignment to a secret-like
 name or a well-known key prefix introduces, is positive; the others are
 negative.  They are fitted on the candidates of at most `sample_docs` documents
 with the smallest hash of doc_id, at most `sample_rows` of them, a documented
-bound; scoring covers whole texts of all documents.
+bound; calibration and scoring cover whole texts of all documents.
 
 Null and empty texts have no spans.  Repeated rows each return a row.  An empty
 table fits no trees and returns no rows.
@@ -31,6 +34,7 @@ from . import common
 from .boosting import Boosted
 
 SAMPLE_DOCS, SAMPLE_ROWS, PRECISION = 4000, 20_000, 0.9
+STEPS, FEW = 64, 20
 BASE = ("email", "ip", "card", "phone")
 MORE = ("contact", "number", "secret")
 
@@ -151,6 +155,10 @@ class Redactor:
         return sorted(out)
 
 
+def is_held(doc_id: int) -> bool:
+    return hash((doc_id, 7)) % 3 == 0
+
+
 def sampled_candidates(docs: DataFrame, sample_docs: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, weak labels, fold) of a bounded sample; fold 1 is for calibration."""
     picked = docs.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
@@ -172,21 +180,58 @@ def sampled_candidates(docs: DataFrame, sample_docs: int, sample_rows: int) -> t
     got = found.orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start").limit(sample_rows).collect()
     got.sort(key=lambda r: (r["doc_id"], r["start"], r["x"]))
     x = np.array([r["x"] for r in got], dtype=np.float64).reshape(len(got), FEATURES)
-    return x, np.array([r["label"] for r in got], dtype=np.float64), np.array([hash((r["doc_id"], 7)) % 3 == 0 for r in got], dtype=bool)
+    return x, np.array([r["label"] for r in got], dtype=np.float64), np.array([is_held(r["doc_id"]) for r in got], dtype=bool)
+
+
+def score_histogram(docs: DataFrame, trees: Boosted) -> np.ndarray:
+    """Rows (kind, margin, positive, count) over the held-out candidates of all
+    documents; margins are rounded up to 1/STEPS, so few rows reach the driver."""
+
+    def counted(batches):
+        for ids, texts in common.rows(batches):
+            xs, ys = [], []
+            for i, t in zip(ids, texts, strict=True):
+                if not is_held(i):
+                    continue
+                text = t.decode("utf-8", "replace")
+                found = candidates(text)
+                base = base_spans(text) if found else []
+                xs += [features(text, *c) for c in found]
+                ys += [weak_label(text, base, *c) for c in found]
+            x = np.array(xs, dtype=np.float64).reshape(len(xs), FEATURES)
+            bins = np.ceil(trees.margin(x) * STEPS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int64)), pa.array(bins), pa.array(np.array(ys, dtype=np.int64))], names=["kind", "bin", "label"])
+
+    made = docs.where("doc_id IS NOT NULL").mapInArrow(counted, "kind long, bin long, label long")
+    got = made.groupBy("kind", "bin").agg(F.sum("label").alias("positive"), F.count("*").alias("n")).orderBy("kind", "bin").collect()
+    return np.array([(r["kind"], r["bin"] / STEPS, r["positive"], r["n"]) for r in got], dtype=np.float64).reshape(len(got), 4)
+
+
+def lowest(p: np.ndarray, positive: np.ndarray, count: np.ndarray, precision: float) -> float | None:
+    for t in np.unique(p):
+        if positive[p >= t].sum() >= precision * count[p >= t].sum():
+            return max(0.5, float(t))
+    return None
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION) -> Redactor:
-    x, y, held = sampled_candidates(common.doc_texts(docs), sample_docs, sample_rows)
-    if len(y) < 20 or not held.any() or y[~held].min(initial=1) == y[~held].max(initial=0):
+    docs = common.doc_texts(docs)
+    x, y, held = sampled_candidates(docs, sample_docs, sample_rows)
+    if len(y) < 20 or y[~held].min(initial=1) == y[~held].max(initial=0):
         return Redactor()
-    trees = Boosted().fit(x[~held], y[~held]).calibrate(x[held], y[held])
-    p, thresholds = trees.probability(x[held]), {}
+    trees = Boosted().fit(x[~held], y[~held])
+    kinds, margins, positive, count = score_histogram(docs, trees).T
+    trees.calibrate_counts(margins, positive, count)
+    p, thresholds = trees.calibrated(margins), {"contact": 0.0}
     for k, kind in enumerate(MORE):
-        at = x[held][:, 0] == k
-        for t in np.unique(p[at]):
-            if y[held][at & (p >= t)].mean() >= precision:
-                thresholds[kind] = max(0.5, float(t))
-                break
+        at = kinds == k
+        if kind in thresholds:
+            continue
+        if count[at].sum() < FEW:
+            at = np.ones(len(kinds), dtype=bool)
+        t = lowest(p[at], positive[at], count[at], precision)
+        if t is not None:
+            thresholds[kind] = t
     return Redactor(trees, thresholds)
 
 

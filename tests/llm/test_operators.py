@@ -188,6 +188,19 @@ def test_toxicity_restores_long_runs_and_tokens(spark):
     assert len(restorer.spelled(" ".join("you" * 4000))[0]) > 6000
 
 
+def test_pii_thresholds_count_all_documents(spark):
+    rng = random.Random(21)
+    key = lambda: "".join(rng.choice("abcdef0123456789") for _ in range(32))
+    rows = [(i, f"token = {key()} and the build {key()} of 2024 1234567{i:04d}") for i in range(300)]
+    rows += [(1000, "write to jane.doe [at] example [dot] org today")]
+    frame = table(spark, rows)
+    model = op10_pii.fit(frame, sample_docs=40)
+    assert "contact" in model.thresholds
+    held = sum(op10_pii.is_held(i) for i, _ in rows if i < 1000)
+    assert op10_pii.score_histogram(common.doc_texts(frame.where("doc_id < 1000")), model.trees)[:, 3].sum() == sum(len(op10_pii.candidates(t)) for i, t in rows if i < 1000 and op10_pii.is_held(i)) and held > 40
+    assert "contact:" in results(op10_pii.find_pii(frame, model))[1000][0]["spans"]
+
+
 def test_license_scan(spark, docs):
     text = "MIT License and mit  license\nReleased under the MIT license.\nGNU General Public License\nThis work is licensed under the GNU General Public License, version 3."
     got = results(op2_license_scan.license_scan(table(spark, [(1, text), (2, "permit license"), (3, None), (4, "apache\nLICENSE")])))
