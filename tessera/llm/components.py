@@ -4,8 +4,9 @@ Edges and labels stay distributed.  A large-star step links each node's larger
 neighbours to its smallest neighbour, a small-star step its smaller ones; both
 leave components as they are and end in stars around the smallest node.  All
 neighbours of a node need never meet: the minimum is an aggregate with map-side
-combining, and the join back to the edges has the smaller side split by salt, so
-the star around a giant component's root is dealt over many tasks.
+combining, and the join back to the edges is one of two shuffled sides, of which
+Spark splits the partition that the star around a giant component's root makes
+(adaptive skew join); the side that is repeated for it has one row a key.
 """
 
 from __future__ import annotations
@@ -15,21 +16,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SALTS = 32
-
-
 def with_minimum(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """rows and the least of value and key over the rows of its key, dealt by (key, salt)."""
+    """rows and the least of value and key over the rows of its key."""
     least = rows.groupBy(key).agg(F.least(F.min(value), F.first(key)).alias(name))
-    return salted_join(rows, least, key, "inner")
-
-
-def salted_join(rows: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = SALTS) -> DataFrame:
-    """Equi-join for a hot key on the side of rows: small (one row a key) is
-    copied to `salts` salts, rows take one by a hash of the whole row."""
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return rows.join(least, key)
 
 
 def large_star(edges: DataFrame) -> DataFrame:

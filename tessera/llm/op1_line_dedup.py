@@ -1,21 +1,27 @@
 """Fuzzy line deduplication in DataFrame functions only.
 
-Lines are keyed by a 64-bit hash and collapsed to distinct ones, with the place
-of their first occurrence.  Distinct lines are exploded into SHINGLE-byte
-shingles and reduced to BANDS x ROWS minima of hash functions: the shingle's hash,
-xored with a mask and hashed again, gives two of them, so which shingle is least
-in one says nothing about another.  Lines that share a band key are paired
-with the bucket's least line and with the one before them, pairs are verified by
-the exact Jaccard similarity of their shingle sets, and verified pairs are
-joined by a distributed union-find (components).  Buckets whose members still lie
-in several components are taken up again: all their pairs across components are
-verified too.  Of each component, and of each line that occurs more than once,
-the first occurrence (doc_id, line number) stays.
-
-At the threshold of 0.8 a pair shares no band with probability 3 x 10^-6, at 0.9
-with 10^-11.  Lines of fewer than SHORT bytes have no shingle and are compared exactly
-only; blank lines always stay.  The distinct lines are written once, bucketed by their key,
-so that neither the signatures nor the verification shuffles text again.
+1. Lines are keyed by a 64-bit hash and collapsed to distinct ones, with the place
+   of their first occurrence.  They are written once, bucketed by their key, so
+   that neither the signatures nor the verification shuffles them all again.
+2. A line's set of SHINGLE-byte shingles is reduced to BANDS x ROWS minima.  Every
+   shingle is hashed once to 64 bits; the four rotations of the hash by 16 bits
+   and masks that are spread evenly over the range make the functions.  A minimum
+   under a mask is the shingle next to it, and no two functions look at the same
+   part of the range of the same rotation.
+3. Members of a bucket (a shared band key) are paired with the head of their run of
+   FAN members and with the member before them.  Minima, one byte each, drop pairs
+   that agree in fewer than LEAST of them (one pair in 10^7 at the threshold); the
+   rest are verified by the exact Jaccard similarity of their shingle sets, and
+   verified pairs are joined by a distributed union-find (components).
+4. Buckets of over three members that lie in several components are taken up again
+   as a whole: the lines in them meet by an exact prefix join (open_pairs), which
+   finds every link between two components without comparing all pairs.
+
+Of each component, and of each line that occurs more than once, the first
+occurrence (doc_id, line number) stays.  At the threshold of 0.8 a pair shares no
+band with probability 4 x 10^-5, at 0.85 with 2 x 10^-6.  Lines of fewer than
+SHORT bytes have no shingle and are compared exactly only; blank lines always stay.
+Two different lines of one key, which a second hash shows, stay as they are.
 
 Null and empty texts have one blank line.  Rows without doc_id come after all
 others; repeated rows stay alike: the same place of the same document is not its
@@ -31,12 +37,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from . import common
-from .components import components, salted_join
+from .components import components
 
-SHINGLE, BANDS, ROWS, PERCENT = 8, 24, 4, 80
+SHINGLE, BANDS, ROWS, PERCENT = 8, 14, 3, 80
+FUNCTIONS = BANDS * ROWS
+LANES = 4
+FAN, LEAST = 64, 19
 SHORT = SHINGLE
 LAST = (1 << 63) - 1
-SALTS = 8
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -47,52 +55,77 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return rows.where(F.trim("line") != "").select("doc", "mark", "line_no", "line", F.xxhash64("line").alias("id"), place.cast("decimal(38,0)").alias("place"))
 
 
-def _mask(j: int) -> int:
-    """A fixed 64-bit mask for hash j, from the golden-ratio sequence."""
-    x = (j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
-    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
-    return (x ^ x >> 27) - (1 << 63)
+def _signed(x: int) -> int:
+    x &= (1 << 64) - 1
+    return x - (1 << 64) if x >> 63 else x
 
 
-def band_rows(lines: DataFrame) -> DataFrame:
-    """(id, key) per band of each distinct line; lines must be partitioned by id."""
-    exploded = lines.where(F.octet_length("line") >= SHORT).select("id", F.col("line").cast("binary").alias("b"))
-    exploded = exploded.select("id", "b", F.explode(F.expr(f"sequence(1, octet_length(b) - {SHINGLE - 1})")).alias("i"))
-    hashed = exploded.select("id", F.xxhash64(F.expr(f"substring(b, i, {SHINGLE})")).alias("h"))
-    # each hash is mixed anew and gives two functions, its halves
-    drawn = hashed.select("id", *[F.xxhash64(F.col("h").bitwiseXOR(F.lit(_mask(j)))).alias(f"x{j}") for j in range(BANDS * ROWS // 2)])
-    minima = []
-    for j in range(BANDS * ROWS // 2):
-        minima += [F.min(F.shiftrightunsigned(f"x{j}", 32)).alias(f"m{2 * j}"), F.min(F.col(f"x{j}").bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"m{2 * j + 1}")]
-    signed = drawn.groupBy("id").agg(*minima)
+def minima() -> list[Column]:
+    """The functions' minima over the rotations x0 .. x3 of a shingle's hash.  Those
+    of one band are of different rotations."""
+    masks = -(-FUNCTIONS // LANES)
+    return [F.min(F.col(f"x{j % LANES}").bitwiseXOR(F.lit(_signed((j // LANES * (1 << 16) // masks) << 48)))).alias(f"m{j}") for j in range(FUNCTIONS)]
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """(id, keys, w0 ..): the band keys of each distinct line, and its minima, a byte
+    each, seven to a number; lines must be partitioned by id."""
+    long_enough = lines.where(F.octet_length("line") >= SHORT).select("id", F.col("line").cast("binary").alias("b"))
+    exploded = long_enough.select("id", "b", F.explode(F.expr(f"sequence(1, octet_length(b) - {SHINGLE - 1})")).alias("i"))
+    hashed = exploded.select("id", F.xxhash64(F.expr(f"substring(b, i, {SHINGLE})")).alias("x0"))
+    turned = [F.shiftleft("x0", 16 * k).bitwiseOR(F.shiftrightunsigned("x0", 64 - 16 * k)).alias(f"x{k}") for k in range(1, LANES)]
+    signed = hashed.select("id", "x0", *turned).groupBy("id").agg(*minima())
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select("id", F.explode(F.array(*keys)).alias("key"))
+    words = []
+    for w in range(0, FUNCTIONS, 7):
+        word = F.lit(0).cast("long")
+        for k, j in enumerate(range(w, min(w + 7, FUNCTIONS))):
+            word = word.bitwiseOR(F.shiftleft(F.col(f"m{j}").bitwiseAND(F.lit(0xFF)), 8 * k))
+        words.append(word.alias(f"w{w // 7}"))
+    return signed.select("id", F.array(*keys).alias("keys"), *words)
+
+
+WORDS = [f"w{k}" for k in range(-(-FUNCTIONS // 7))]
+
+
+def band_rows(lines: DataFrame) -> DataFrame:
+    """(id, key) per band of each distinct line."""
+    return signatures(lines).select("id", F.explode("keys").alias("key"))
 
 
 def buckets(bands: DataFrame) -> DataFrame:
-    """(key, id, head, before) of the members of every bucket of two or more: its
-    least member, and the one before (none for the least itself)."""
+    """(key, id, head, before, members) of every bucket of two or more: the first
+    member of the run of FAN that the member is in, and the member before it."""
     bucket = Window.partitionBy("key").orderBy("id")
-    held = bands.select("key", "id", F.first("id").over(bucket).alias("head"), F.lag("id").over(bucket).alias("before"), F.lead("id").over(bucket).alias("after"))
-    return held.where("before IS NOT NULL OR after IS NOT NULL").drop("after")
+    held = bands.select("key", "id", F.lag("id").over(bucket).alias("before"), F.lead("id").over(bucket).alias("after"), F.row_number().over(bucket).alias("nth"))
+    held = held.where("before IS NOT NULL OR after IS NOT NULL").withColumn("run", F.expr(f"(nth - 1) div {FAN}")).drop("after")
+    run = Window.partitionBy("key", "run").orderBy("id")
+    every = Window.partitionBy("key")
+    return held.withColumns({"head": F.first("id").over(run), "members": F.count("*").over(every)}).select("key", "id", "head", "before", "members")
 
 
 def candidate_pairs(held: DataFrame) -> DataFrame:
-    """Members of a bucket with its least member and with the one before."""
+    """Members of a bucket with the head of their run and with the one before."""
     pairs = held.where("before IS NOT NULL").select(F.explode(F.array_distinct(F.array("head", "before"))).alias("u"), F.col("id").alias("v"))
     return pairs.where("u <> v").distinct()
 
 
-def cross_pairs(held: DataFrame, comps: DataFrame, tried: DataFrame) -> DataFrame:
-    """All untried pairs of members of a bucket that lie in different components.
-    The join streams and spills; a bucket's rows are dealt over salts."""
-    labelled = held.select("key", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    split = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    again = common.materialize(salted_join(labelled, split, "key", "inner"), "line-open")
-    left = again.select("key", F.col("id").alias("x"), F.col("component").alias("cx"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    right = again.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    pairs = left.join(right.hint("merge"), ["key", "salt"]).where("cx < cy").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-    return pairs.join(tried, ["u", "v"], "left_anti")
+def differing(a: str, b: str) -> Column:
+    """How many bytes of the words of two signatures differ."""
+    total = F.lit(0)
+    for w in WORDS:
+        x = F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))
+        for k in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x01010101010101)))
+    return total
+
+
+def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs whose minima agree often enough for the threshold."""
+    of = lambda c, side: signed.select(F.col("id").alias(c), *[F.col(w).alias(f"{side}{w}") for w in WORDS])
+    both = pairs.join(of("v", "a"), "v").join(of("u", "b"), "u")
+    return both.where(differing("a", "b") <= FUNCTIONS - LEAST).select("u", "v")
 
 
 def shingles(line: Column) -> Column:
@@ -118,31 +151,74 @@ def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     return both.where(let(sets, lambda s: F.when(fits(s), reaches(s)).otherwise(F.lit(False)))).select("u", "v")
 
 
-def keepers(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(id, keep): the place that stays, for each line with other occurrences or near copies."""
-    spark = docs.sparkSession
-    found = line_rows(docs)
-    distinct = found.groupBy("id").agg(F.min("line").alias("line"), F.min("place").alias("first"), F.count("*").alias("n"))
-    name, parts = f"tessera_lines_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+def open_lines(held: DataFrame, comps: DataFrame) -> DataFrame:
+    """(id, component) of the members of buckets that lie in several components and
+    may hold untried pairs; in one of three members all pairs were tried."""
+    labelled = held.where("members > 3").select("key", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    split = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    return labelled.join(split, "key", "left_semi").select("id", "component").distinct()
+
+
+def open_pairs(opened: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of opened lines (id, component) of different components, by an
+    exact prefix join.  Shingles are ordered by how many opened lines hold them,
+    rarest first; two lines at the threshold must share one of the first
+    n - ceil(percent of n) + 1 of either.  What a template's lines share is frequent
+    and stands outside these, and of a shingle's holders the largest component
+    meets only the others, never itself.  Positions and sizes drop pairs that can't
+    reach the overlap.  Shared shingles are an equi-join, whose skewed parts Spark splits."""
+    sets = lines.join(opened, "id").select("id", "component", shingles(F.col("line")).alias("s"))
+    rows = common.materialize(sets.select("id", "component", F.size("s").alias("n"), F.explode("s").alias("s")), "line-open")
+    held = rows.groupBy("s").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "s"))
+    placed = rows.join(held, "s").withColumn("at", place)
+    prefix = placed.where(F.expr(f"at <= n - (({percent} * n + 99) div 100) + 1") & (F.col("df") > 1)).drop("df")
+    prefix = common.materialize(prefix, "line-prefix")
+    owned = prefix.groupBy("s", "component").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("components"))
+    shared = prefix.join(owned.where("components > 1").drop("components"), "s")
+    left = shared.where("component <> largest").select("s", F.col("id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("at").alias("au"))
+    right = shared.select("s", F.col("id").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), F.col("at").alias("av"))
+    fits = F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
+    reaches = F.expr(f"(100 + {percent}) * (least(nu - au, nv - av) + 1) >= {percent} * (nu + nv)")
+    met = left.join(right, "s").where((F.col("cu") != F.col("cv")) & fits & reaches)
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def bucketed(df: DataFrame, label: str) -> tuple[DataFrame, str, str]:
+    """df as a table bucketed by id, its name and path."""
+    spark = df.sparkSession
+    name, parts = f"tessera_{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{common.scratch_root(spark)}/tessera-{name}"
-    distinct.write.bucketBy(parts, "id").format("parquet").option("path", path).saveAsTable(name)
+    df.write.bucketBy(parts, "id").format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
     common.keep_scratch(spark, path)
     common.tidy(spark)
-    lines = spark.table(name)
-    held = common.materialize(buckets(band_rows(lines)), "line-buckets")
-    pairs = common.materialize(candidate_pairs(held), "line-pairs")
+    return spark.table(name), name, path
+
+
+def keepers(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(id, keep): the place that stays, for each line with other occurrences or near copies."""
+    spark = docs.sparkSession
+    other = F.xxhash64(F.lit(1), "line")
+    distinct = line_rows(docs).withColumn("other", other).groupBy("id").agg(F.min("line").alias("line"), F.min("place").alias("first"), F.count("*").alias("n"), (F.min("other") != F.max("other")).alias("clash"))
+    lines, *table = bucketed(distinct.where("NOT clash").drop("clash"), "lines")
+    signed, *more = bucketed(signatures(lines), "signatures")
+    held = common.materialize(buckets(signed.select("id", F.explode("keys").alias("key"))), "line-buckets")
+    pairs = common.materialize(alike(candidate_pairs(held), signed), "line-pairs")
     links = common.materialize(verified(pairs, lines, percent), "line-links")
     comps = components(links, "line-components")
-    fresh = common.materialize(cross_pairs(held, comps, pairs), "line-cross-pairs")
-    found = common.materialize(verified(fresh, lines, percent), "line-cross-links")
-    if not found.isEmpty():  # components only grow, so nothing that lies across them is untried now
-        comps = components(links.union(found), "line-components")
+    opened = common.materialize(open_lines(held, comps), "line-opened")
+    if not opened.isEmpty():
+        fresh = common.materialize(open_pairs(opened, lines, percent).join(pairs, ["u", "v"], "left_anti"), "line-open-pairs")
+        found = common.materialize(verified(fresh, lines, percent), "line-open-links")
+        if not found.isEmpty():  # components only grow, so nothing that lies across them is untried now
+            comps = components(links.union(found), "line-components")
     placed = lines.select("id", "first", "n").join(comps.withColumnRenamed("node", "id"), "id", "left").where("n > 1 OR component IS NOT NULL")
     placed = placed.select("id", F.coalesce("component", "id").alias("component"), "first")
     best = placed.groupBy("component").agg(F.min("first").alias("keep"))
-    kept = common.materialize(salted_join(placed, best, "component", "inner").select("id", "keep"), "line-keepers")
-    spark.sql(f"DROP TABLE {name}")  # an external table: its files are deleted apart
-    common.remove(spark, [path])
+    kept = common.materialize(placed.join(best, "component").select("id", "keep"), "line-keepers")
+    for name, path in (table, more):
+        spark.sql(f"DROP TABLE {name}")  # an external table: its files are deleted apart
+        common.remove(spark, [path])
     return kept
 
 
@@ -150,21 +226,28 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc, mark, removed): numbers of the lines that go, per document that loses any."""
     docs = common.doc_texts(docs)
     rows = line_rows(docs).select("doc", "mark", "line_no", "id", "place")
-    gone = salted_join(rows, keepers(docs, percent), "id", "inner").where("place <> keep")
+    gone = rows.join(keepers(docs, percent), "id").where("place <> keep")
     return gone.groupBy("doc", "mark").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with duplicate lines taken out of text (and n_chars, if there is one, set anew)."""
-    gone = removed_lines(docs, percent).withColumnsRenamed({"doc": "_doc", "mark": "_mark", "removed": "_removed"})
-    body = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    joined = docs.withColumns({"_doc": F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), "_mark": F.xxhash64(body)}).join(gone, ["_doc", "_mark"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return out.select(*docs.columns)
+    """docs with duplicate lines taken out of text (and n_chars, if there is one, set
+    anew); a text whose lines all go becomes empty.  Other columns, whatever their
+    names, pass as they are."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names, strict=True))
+    plain = docs.toDF(*names)
+    doc_id, text = F.col(at["doc_id"]), F.col(at["text"])
+    gone = removed_lines(docs.select("doc_id", "text"), percent)
+    keyed = plain.withColumns({"doc": F.coalesce(doc_id.cast("long"), F.lit(LAST)), "mark": F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))})
+    joined = keyed.join(gone, ["doc", "mark"], "left")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    whole = F.col("removed").isNull()
+    changed = {"text": F.when(whole, text).otherwise(kept)}
+    if "n_chars" in at:
+        count = F.col(at["n_chars"])
+        changed["n_chars"] = F.when(whole, count).otherwise(F.length(kept).cast(dict(docs.dtypes)["n_chars"]))
+    return joined.select(*[changed.get(c, F.col(n)).alias(c) for c, n in at.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, suffix_sort
-from .components import salted_join
 
 LENGTH, GRAM, SENT, GROUP = 100, 32, 4, 2000
 SIDE = LENGTH - GRAM  # windows of an anchor reach so far before and behind it
@@ -364,7 +363,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     step = common.materialize(step, "contexts")
     context = step.where(F.col("kind") == CONTEXT).select("h", "doc", "place", "bytes")
     large = context.groupBy("h").count().where(F.col("count") > GROUP).select("h", F.lit(1).alias("large"))
-    sized = salted_join(context.withColumnRenamed("bytes", "b"), large, "h")
+    sized = context.withColumnRenamed("bytes", "b").join(large, "h", "left")
     span = "doc long, mark long, s long, e long"
     small = common.spread(sized.where("large IS NULL").select("h", "doc", "place", "b"), "h").mapInArrow(sorted_groups, span)
     dealt = sized.where("large = 1").select("h", "doc", "place", "b").mapInArrow(windows, "w1 long, w2 long, doc long, mark long, at long, e long")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components, salted_join
+from .components import components
 
 SHINGLE, PERCENT, BANDS, ROWS, FAN, NEXT, TURNS, SKETCH = 5, 80, 36, 5, 64, 4, 1, 4096
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -315,7 +315,7 @@ def near_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         comps = components(links, "near")
         labelled = shared.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
         split = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-        again = salted_join(labelled, split.withColumn("_open", F.lit(1)), "key", "inner").select("key", "doc", "component")
+        again = labelled.join(split, "key", "left_semi")
         last = turn >= TURNS
         if last:
             again = common.materialize(again, "open")
@@ -331,7 +331,7 @@ def near_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     named = classes.select("fp1", "fp2", F.col("rep").alias("node")).join(comps, "node", "left")
     named = named.select("fp1", "fp2", F.coalesce("component", "node").alias("component"))
     rows_ = sig.select("doc_id", "n", "fp1", "fp2")
-    placed = salted_join(rows_.withColumn("fp", F.struct("fp1", "fp2")).drop("fp1", "fp2"), named.select(F.struct("fp1", "fp2").alias("fp"), "component"), "fp")
+    placed = rows_.join(named, ["fp1", "fp2"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     out = placed.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -127,7 +127,8 @@ def test_line_dedup_pairs_all_of_a_hot_bucket(spark):
     held = op1_line_dedup.buckets(spark.createDataFrame([(i, 1) for i in ids], "id long, key long"))
     tried = op1_line_dedup.candidate_pairs(held)
     links = op1_line_dedup.verified(tried, frame, 80)
-    more = op1_line_dedup.verified(op1_line_dedup.cross_pairs(held, components(links), tried), frame, 80)
+    opened = op1_line_dedup.open_lines(held, components(links))
+    more = op1_line_dedup.verified(op1_line_dedup.open_pairs(opened, frame, 80).join(tried, ["u", "v"], "left_anti"), frame, 80)
     got = {frozenset((ids[r["u"]], ids[r["v"]])) for r in links.union(more).collect()}
     assert got == line_components(lines) and len(got) == 6
 
