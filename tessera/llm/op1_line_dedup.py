@@ -8,14 +8,15 @@
    and masks that are spread evenly over the range make the functions.  A minimum
    under a mask is the shingle next to it, and no two functions look at the same
    part of the range of the same rotation.
-3. Members of a bucket (a shared band key) are paired with the head of their run of
-   FAN members and with the member before them.  Minima, one byte each, drop pairs
-   that agree in fewer than LEAST of them (one pair in 10^7 at the threshold); the
+3. A bucket's members are not all paired: each meets the head of its group, and heads
+   meet those of larger groups (candidates).  Minima, one byte each, drop pairs
+   that agree in fewer than LEAST of them (3 pairs in 10^6 at the threshold); the
    rest are verified by the exact Jaccard similarity of their shingle sets, and
    verified pairs are joined by a distributed union-find (components).
-4. Buckets of over three members that lie in several components are taken up again
-   as a whole: the lines in them meet by an exact prefix join (open_pairs), which
-   finds every link between two components without comparing all pairs.
+4. Buckets whose members still lie in several components are taken up again.  Lines
+   that agree often enough with a member of another component, which a
+   semi-join tells without making pairs, meet by an exact prefix join
+   (candidates.prefix_pairs); of buckets of over WHOLE members, all lines do.
 
 Of each component, and of each line that occurs more than once, the first
 occurrence (doc_id, line number) stays.  At the threshold of 0.8 a pair shares no
@@ -34,15 +35,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from . import common
+from . import candidates, common
 from .components import components
 
 SHINGLE, BANDS, ROWS, PERCENT = 8, 14, 3, 80
 FUNCTIONS = BANDS * ROWS
 LANES = 4
-FAN, LEAST = 64, 19
+LEAST, WHOLE = 21, 4096
 SHORT = SHINGLE
 LAST = (1 << 63) - 1
 
@@ -93,23 +93,6 @@ def band_rows(lines: DataFrame) -> DataFrame:
     return signatures(lines).select("id", F.explode("keys").alias("key"))
 
 
-def buckets(bands: DataFrame) -> DataFrame:
-    """(key, id, head, before, members) of every bucket of two or more: the first
-    member of the run of FAN that the member is in, and the member before it."""
-    bucket = Window.partitionBy("key").orderBy("id")
-    held = bands.select("key", "id", F.lag("id").over(bucket).alias("before"), F.lead("id").over(bucket).alias("after"), F.row_number().over(bucket).alias("nth"))
-    held = held.where("before IS NOT NULL OR after IS NOT NULL").withColumn("run", F.expr(f"(nth - 1) div {FAN}")).drop("after")
-    run = Window.partitionBy("key", "run").orderBy("id")
-    every = Window.partitionBy("key")
-    return held.withColumns({"head": F.first("id").over(run), "members": F.count("*").over(every)}).select("key", "id", "head", "before", "members")
-
-
-def candidate_pairs(held: DataFrame) -> DataFrame:
-    """Members of a bucket with the head of their run and with the one before."""
-    pairs = held.where("before IS NOT NULL").select(F.explode(F.array_distinct(F.array("head", "before"))).alias("u"), F.col("id").alias("v"))
-    return pairs.where("u <> v").distinct()
-
-
 def differing(a: str, b: str) -> Column:
     """How many bytes of the words of two signatures differ."""
     total = F.lit(0)
@@ -151,37 +134,22 @@ def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     return both.where(let(sets, lambda s: F.when(fits(s), reaches(s)).otherwise(F.lit(False)))).select("u", "v")
 
 
-def open_lines(held: DataFrame, comps: DataFrame) -> DataFrame:
-    """(id, component) of the members of buckets that lie in several components and
-    may hold untried pairs; in one of three members all pairs were tried."""
-    labelled = held.where("members > 3").select("key", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    split = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    return labelled.join(split, "key", "left_semi").select("id", "component").distinct()
+def open_lines(held: DataFrame, comps: DataFrame, signed: DataFrame) -> DataFrame:
+    """(id, component) of the lines that may have an untried partner in another component."""
+    opened = common.materialize(candidates.opened(held, comps), "line-opened")
+    worded = opened.where(f"members <= {WHOLE}").join(signed.select("id", *WORDS), "id")
+    one = worded.select("key", "id", "component", *[F.col(w).alias(f"a{w}") for w in WORDS])
+    two = worded.select("key", F.col("component").alias("other"), *[F.col(w).alias(f"b{w}") for w in WORDS])
+    near = one.join(two, (one["key"] == two["key"]) & (one["component"] != two["other"]) & (differing("a", "b") <= FUNCTIONS - LEAST), "left_semi")
+    return near.select("id", "component").union(opened.where(f"members > {WHOLE}").select("id", "component")).distinct()
 
 
 def open_pairs(opened: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of opened lines (id, component) of different components, by an
-    exact prefix join.  Shingles are ordered by how many opened lines hold them,
-    rarest first; two lines at the threshold must share one of the first
-    n - ceil(percent of n) + 1 of either.  What a template's lines share is frequent
-    and stands outside these, and of a shingle's holders the largest component
-    meets only the others, never itself.  Positions and sizes drop pairs that can't
-    reach the overlap.  Shared shingles are an equi-join, whose skewed parts Spark splits."""
+    """Candidate pairs of opened lines (id, component) of different components."""
     sets = lines.join(opened, "id").select("id", "component", shingles(F.col("line")).alias("s"))
-    rows = common.materialize(sets.select("id", "component", F.size("s").alias("n"), F.explode("s").alias("s")), "line-open")
-    held = rows.groupBy("s").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "s"))
-    placed = rows.join(held, "s").withColumn("at", place)
-    prefix = placed.where(F.expr(f"at <= n - (({percent} * n + 99) div 100) + 1") & (F.col("df") > 1)).drop("df")
-    prefix = common.materialize(prefix, "line-prefix")
-    owned = prefix.groupBy("s", "component").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("components"))
-    shared = prefix.join(owned.where("components > 1").drop("components"), "s")
-    left = shared.where("component <> largest").select("s", F.col("id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("at").alias("au"))
-    right = shared.select("s", F.col("id").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), F.col("at").alias("av"))
-    fits = F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
-    reaches = F.expr(f"(100 + {percent}) * (least(nu - au, nv - av) + 1) >= {percent} * (nu + nv)")
-    met = left.join(right, "s").where((F.col("cu") != F.col("cv")) & fits & reaches)
-    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    sized = sets.withColumn("n", F.size("s").cast("long"))
+    rows = common.materialize(sized.select("id", "component", "n", F.explode("s").alias("s")), "line-open")
+    return candidates.prefix_pairs(rows, percent)
 
 
 def bucketed(df: DataFrame, label: str) -> tuple[DataFrame, str, str]:
@@ -202,11 +170,11 @@ def keepers(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     distinct = line_rows(docs).withColumn("other", other).groupBy("id").agg(F.min("line").alias("line"), F.min("place").alias("first"), F.count("*").alias("n"), (F.min("other") != F.max("other")).alias("clash"))
     lines, *table = bucketed(distinct.where("NOT clash").drop("clash"), "lines")
     signed, *more = bucketed(signatures(lines), "signatures")
-    held = common.materialize(buckets(signed.select("id", F.explode("keys").alias("key"))), "line-buckets")
-    pairs = common.materialize(alike(candidate_pairs(held), signed), "line-pairs")
+    held = common.materialize(candidates.members(signed.select("id", F.explode("keys").alias("key"))), "line-buckets")
+    pairs = common.materialize(alike(candidates.pairs(held), signed), "line-pairs")
     links = common.materialize(verified(pairs, lines, percent), "line-links")
     comps = components(links, "line-components")
-    opened = common.materialize(open_lines(held, comps), "line-opened")
+    opened = common.materialize(open_lines(held, comps, signed), "line-open-ids")
     if not opened.isEmpty():
         fresh = common.materialize(open_pairs(opened, lines, percent).join(pairs, ["u", "v"], "left_anti"), "line-open-pairs")
         found = common.materialize(verified(fresh, lines, percent), "line-open-links")

@@ -5,21 +5,17 @@
    form a class, represented by its smallest doc_id.
 2. Representatives that share a band key are candidates.  A pair at the
    threshold is missed by all bands with probability (1 - 0.8^5)^36 < 1e-6.
-3. A bucket's members are not all paired.  In one of four drawn orders they are
-   cut into runs of FAN; each member is paired with its run's head, and the
-   heads, run by run, likewise.  Pairs are verified on full sets.
-4. Linked pairs give components (large-star / small-star).  A bucket whose
-   members still lie in several components is taken up again: for TURNS turns,
-   members outside its largest component meet the NEXT others after them; then all
-   pairs across components are taken up.  Of those, sizes and signatures of SKETCH
-   further minima, a bit each, pass on what may reach the threshold (a pair at the
-   threshold is lost once in 10^7), so texts just short of it don't each meet
-   thousands of near copies.  Inside a component nothing need be compared.
-
-Verification moves compressed texts of candidates only, each head to at most
-FAN members a bucket.  Null and empty texts and those without words have an
+3. A bucket's members are not all paired: each meets the head of its group, and
+   heads meet those of larger groups (candidates).  Pairs are verified on full sets.
+4. Linked pairs give components (large-star / small-star).  The members of buckets
+   that still lie in several components are taken up again by an exact prefix join
+   over their whole sets, which finds every link between two components; inside a
+   component nothing need be compared.
+
+Verification moves compressed texts of candidates only.  Null and empty texts and those without words have an
 empty set and are linked with nothing; they, and rows without doc_id, are kept.
-Rows that repeat a doc_id are classed by their own texts and share their links.
+Rows that repeat a doc_id are classed by their own texts and share their links: the
+id is linked if one of its texts is.
 """
 
 from __future__ import annotations
@@ -33,10 +29,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import candidates, common
 from .components import components
 
-SHINGLE, PERCENT, BANDS, ROWS, FAN, NEXT, TURNS, SKETCH = 5, 80, 36, 5, 64, 4, 1, 4096
+SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 36, 5
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -107,157 +103,6 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return common.doc_texts(docs).mapInArrow(made, "doc_id long, n long, fp1 long, fp2 long, bands array<long>")
 
 
-def grouped(batches) -> tuple[np.ndarray, ...] | None:
-    """All rows of a partition (key, doc, component), without keys met once, sorted."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
-    if not parts:
-        return None
-    key, doc, comp = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = np.lexsort((doc, key))
-    key, doc, comp = key[order], doc[order], comp[order]
-    again = key[1:] == key[:-1]
-    keep = np.append(again, False) | np.append(False, again)
-    keep &= ~np.append(False, again & (doc[1:] == doc[:-1]))
-    return key[keep], doc[keep], comp[keep]
-
-
-def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    x = np.concatenate(a) if a else np.zeros(0, dtype=np.int64)
-    y = np.concatenate(b) if b else np.zeros(0, dtype=np.int64)
-    low, high = np.minimum(x, y), np.maximum(x, y)
-    if len(low):
-        order = np.lexsort((high, low))
-        low, high = low[order], high[order]
-        new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) & (low != high)
-        low, high = low[new], high[new]
-    return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["u", "v"])
-
-
-def run_pairs(batches):
-    """Member-to-head pairs of every bucket of the partition."""
-    got = grouped(batches)
-    if got is None:
-        return
-    key, doc, _ = got
-    # one of four orders: heads differ between buckets, but the same two documents don't meet as new pairs in each
-    drawn = mix(doc.view(np.uint64) * M1 + (key.view(np.uint64) & np.uint64(3)))
-    order = np.lexsort((drawn, key))
-    key, doc = key[order], doc[order]
-    a, b = [], []
-    while len(key):
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        place = np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key))))
-        head = np.arange(len(key)) - place % FAN
-        member = place % FAN > 0
-        a.append(doc[head[member]])
-        b.append(doc[member])
-        key, doc = key[~member], doc[~member]
-        again = key[1:] == key[:-1]
-        more = np.append(again, False) | np.append(False, again)
-        key, doc = key[more], doc[more]
-    yield _pairs(a, b)
-
-
-def some_cross_pairs(batches, turn: int):
-    """Of a bucket whose members lie in several components: each member outside the
-    largest one with the NEXT after it, in an order drawn anew each turn, that lie in
-    other components than its own."""
-    got = grouped(batches)
-    if got is None:
-        return
-    key, doc, comp = got
-    order = np.lexsort((mix(doc.view(np.uint64) * M1 + mix(key.view(np.uint64) + np.uint64(turn))), key))
-    key, doc, comp = key[order], doc[order], comp[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    bucket = np.cumsum(new) - 1
-    start = np.flatnonzero(new)
-    size = np.diff(np.append(start, len(key)))
-    by = np.lexsort((comp, bucket))
-    edge = np.concatenate([[True], (comp[by][1:] != comp[by][:-1]) | (bucket[by][1:] != bucket[by][:-1])])
-    share = np.empty(len(key), dtype=np.int64)
-    share[by] = np.diff(np.append(np.flatnonzero(edge), len(key)))[np.cumsum(edge) - 1]
-    largest = np.maximum.reduceat(share, start) if len(start) else share
-    # of equally large components, none counts as the largest
-    open_ = np.flatnonzero((share < largest[bucket]) | (2 * share <= size[bucket]))
-    a, b = [], []
-    for k in range(1, NEXT + 1):
-        i = open_[k < size[bucket[open_]]]
-        at = start[bucket[i]]
-        j = at + (i - at + k) % size[bucket[i]]
-        i, j = i[comp[i] != comp[j]], j[comp[i] != comp[j]]
-        a.append(doc[i])
-        b.append(doc[j])
-    yield _pairs(a, b)
-
-
-@functools.cache
-def _seeds() -> np.ndarray:
-    return np.random.default_rng(20_240_301).integers(0, 1 << 64, SKETCH, dtype=np.uint64)
-
-
-def bit_sketch(hashes: np.ndarray) -> np.ndarray:
-    """One bit of each of SKETCH minima: two texts' bits agree in (1 + J) / 2 of them.
-    Each function mixes the shingles anew, so that which shingle is least in it, and
-    the bit of that one, are drawn apart from all others, however small the set."""
-    low = np.full(SKETCH, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    for i in range(0, len(hashes), 64):
-        np.minimum(low, mix(mix(hashes[i : i + 64, None] ^ _seeds()) * M1).min(axis=0), out=low)
-    return np.packbits((low & np.uint64(1)).astype(np.uint8)).view(np.uint64)
-
-
-def most_differing(percent: int) -> int:
-    """Bits that a pair at the threshold differs in at most, but for one pair in 10^7."""
-    p = (1 - percent / 100) / 2
-    return int(SKETCH * p + 5.2 * (SKETCH * p * (1 - p)) ** 0.5) + 1
-
-
-def sketches(texts: DataFrame, docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(doc, n, sketch, bands) of docs."""
-
-    def made(batches):
-        z = zstandard.ZstdDecompressor()
-        for batch in batches:
-            sets = [shingle_set(z.decompress(t), size) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([bit_sketch(x).tobytes() for x in sets], pa.binary()), pa.array([band_keys(x, bands, rows).tobytes() for x in sets], pa.binary())], names=["doc", "n", "sketch", "bands"])
-
-    return texts.join(docs.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "z").mapInArrow(made, "doc long, n long, sketch binary, bands binary")
-
-
-def cross_pairs(batches, percent: int):
-    """All pairs of members of a bucket that lie in different components and whose
-    sizes and signatures allow the similarity, each in the first bucket of theirs
-    only.  Columns: key, doc, component, n, sketch, bands."""
-    packed = lambda c, rows: np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64).reshape(rows, -1)
-    parts = [[*(b.column(i).to_numpy() for i in range(4)), packed(b.column(4), b.num_rows), packed(b.column(5), b.num_rows)] for b in batches if b.num_rows]
-    if not parts:
-        return
-    key, doc, comp, n, sketch, bands = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = np.lexsort((comp, key))
-    key, doc, comp, n, sketch, bands = (x[order] for x in (key, doc, comp, n, sketch, bands))
-    place = np.argmax(bands == key.view(np.uint64)[:, None], axis=1)  # the band of the bucket
-    most = most_differing(percent)
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    a, b, held = [], [], 0
-    for s, e in zip(start.tolist(), np.append(start[1:], len(key)).tolist(), strict=True):
-        if comp[s] == comp[e - 1]:
-            continue
-        at = s
-        while at < e:  # a component against all later ones, a member at a time
-            stop = at + int(np.searchsorted(comp[at:e], comp[at], side="right"))
-            for i in range(at, stop) if stop < e else ():
-                fits = 100 * np.minimum(n[i], n[stop:e]) >= percent * np.maximum(n[i], n[stop:e])
-                fits &= ~(bands[i, : place[i]] == bands[stop:e, : place[i]]).any(axis=1)  # met in an earlier band
-                can = doc[stop:e][fits & (np.bitwise_count(sketch[i] ^ sketch[stop:e]).sum(axis=1, dtype=np.int64) <= most)]
-                b.append(can)
-                a.append(np.full(len(can), doc[i]))
-                held += len(can)
-                if held >= 1 << 20:
-                    yield _pairs(a, b)
-                    a, b, held = [], [], 0
-            at = stop
-    yield _pairs(a, b)
-
-
 def packed_texts(docs: DataFrame) -> DataFrame:
     """doc_id and the compressed text."""
 
@@ -292,42 +137,43 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return both.select("u", "v", "zu", "zv").mapInArrow(checked, "u long, v long")
 
 
-def bucketed(members: DataFrame, pairing) -> DataFrame:
-    """Distinct pairs that `pairing` makes of the buckets of (key, doc, component)."""
-    return common.spread(members, "key").mapInArrow(pairing, "u long, v long").distinct()
+def set_rows(opened: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(id, component, n, s): the shingles of the opened (id, component)."""
+
+    def made(batches):
+        common.claim("op9")
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            ids, comps = (batch.column(i).to_numpy() for i in range(2))
+            sets = [shingle_set(z.decompress(t), size) for t in batch.column(2).to_pylist()]
+            n = np.array([len(x) for x in sets], dtype=np.int64)
+            s = np.concatenate(sets).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.repeat(comps, n)), pa.array(np.repeat(n, n)), pa.array(s)], names=["id", "component", "n", "s"])
+
+    held = opened.join(texts.withColumnRenamed("doc_id", "id"), "id").select("id", "component", "z")
+    return held.mapInArrow(made, "id long, component long, n long, s long")
 
 
 def near_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
     sig = common.materialize(signatures(docs, size, bands, rows), "signatures")
     usable = sig.where("n > 0 AND doc_id IS NOT NULL")
     classes = common.materialize(usable.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = usable.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    members = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("doc"), F.col("doc_id").alias("component"))
-    pairs = common.materialize(bucketed(members, run_pairs), "pairs")
+    reps = usable.join(classes.select(F.col("rep").alias("doc_id"), "fp1", "fp2"), ["doc_id", "fp1", "fp2"], "left_semi")
+    banded = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
+    held = common.materialize(candidates.members(banded), "held")
+    pairs = common.materialize(candidates.pairs(held), "pairs")
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    texts = common.materialize(packed_texts(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    links, tried = common.materialize(verify(pairs, texts, size, percent), "links"), pairs
-    shared = common.materialize(members.join(ids.withColumnRenamed("doc_id", "doc"), "doc", "left_semi").select("key", "doc"), "shared")
-    turn = 0
-    while True:
-        comps = components(links, "near")
-        labelled = shared.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-        split = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-        again = labelled.join(split, "key", "left_semi")
-        last = turn >= TURNS
-        if last:
-            again = common.materialize(again, "open")
-            drawn = common.materialize(sketches(texts, again.select("doc").distinct(), size, bands, rows), "sketches")
-            again = again.join(drawn, "doc").select("key", "doc", "component", "n", "sketch", "bands")
-        pairing = (lambda b: cross_pairs(b, percent)) if last else (lambda b, t=turn: some_cross_pairs(b, t))
-        fresh = common.materialize(bucketed(again, pairing).join(tried, ["u", "v"], "left_anti"), "fresh")
+    texts = common.materialize(packed_texts(docs).join(ids, "doc_id", "left_semi").distinct(), "texts")
+    links = common.materialize(verify(pairs, texts, size, percent), "links")
+    comps = components(links, "near")
+    opened = common.materialize(candidates.opened(held, comps).select("id", "component").distinct(), "opened")
+    if not opened.isEmpty():
+        sets = common.materialize(set_rows(opened, texts, size), "sets")
+        fresh = common.materialize(candidates.prefix_pairs(sets, percent).join(pairs, ["u", "v"], "left_anti"), "fresh")
         found = common.materialize(verify(fresh, texts, size, percent), "found")
-        links, tried, turn = links.union(found), tried.union(fresh), turn + 1
-        if last:  # components only grow, so nothing that lies across them is untried now
-            comps = comps if found.isEmpty() else components(links, "near")
-            break
+        if not found.isEmpty():  # components only grow, so nothing that lies across them is untried now
+            comps = components(links.union(found), "near")
     named = classes.select("fp1", "fp2", F.col("rep").alias("node")).join(comps, "node", "left")
     named = named.select("fp1", "fp2", F.coalesce("component", "node").alias("component"))
     rows_ = sig.select("doc_id", "n", "fp1", "fp2")

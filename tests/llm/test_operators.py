@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from tessera.llm import common, op1_line_dedup, op2_license_scan, op3_substring_dedup, op4_quality_rules, op5_token_counts, op6_decontamination, op7_toxicity, op8_byte_bpe, op9_near_dedup, op10_pii
+from tessera.llm import candidates, common, op1_line_dedup, op2_license_scan, op3_substring_dedup, op4_quality_rules, op5_token_counts, op6_decontamination, op7_toxicity, op8_byte_bpe, op9_near_dedup, op10_pii
 from tessera.llm.boosting import Boosted
 from tessera.llm.components import components
 from tessera.llm.suffix_sort import classes_at, deep_shallow
@@ -124,10 +124,10 @@ def test_line_dedup_pairs_all_of_a_hot_bucket(spark):
         lines += [common_part + own, common_part + own[:-1] + "#"]
     ids = {i: x for i, x in enumerate(lines[0::2] + lines[1::2])}
     frame = spark.createDataFrame([(i, x) for i, x in ids.items()], "id long, line string")
-    held = op1_line_dedup.buckets(spark.createDataFrame([(i, 1) for i in ids], "id long, key long"))
-    tried = op1_line_dedup.candidate_pairs(held)
+    held = candidates.members(spark.createDataFrame([(i, 1) for i in ids], "id long, key long"))
+    tried = candidates.pairs(held)
     links = op1_line_dedup.verified(tried, frame, 80)
-    opened = op1_line_dedup.open_lines(held, components(links))
+    opened = op1_line_dedup.open_lines(held, components(links), op1_line_dedup.signatures(frame.repartition(2, "id")))
     more = op1_line_dedup.verified(op1_line_dedup.open_pairs(opened, frame, 80).join(tried, ["u", "v"], "left_anti"), frame, 80)
     got = {frozenset((ids[r["u"]], ids[r["v"]])) for r in links.union(more).collect()}
     assert got == line_components(lines) and len(got) == 6
@@ -163,20 +163,47 @@ def test_line_dedup_bands_find_pairs_at_the_threshold(spark):
 def test_line_dedup_verifies_sets_not_lengths(spark):
     lines = ["=" * 40, "=" * 100, "ha " * 12, "ha " * 40, "sixteen bytes, 1", "sixteen bytes, ", "a longer line that is alike in nothing"]
     frame = spark.createDataFrame(list(enumerate(lines)), "id long, line string").repartition(2, "id")
-    held = op1_line_dedup.buckets(op1_line_dedup.band_rows(frame))
-    pairs = op1_line_dedup.candidate_pairs(held)
+    held = candidates.members(op1_line_dedup.band_rows(frame))
+    pairs = candidates.pairs(held)
     links = {frozenset((lines[r["u"]], lines[r["v"]])) for r in op1_line_dedup.verified(pairs, frame, 80).collect()}
     assert links == {g for g in line_components(lines) if len(g) > 1} and len(links) == 3
 
 
-@pytest.mark.parametrize(("shared", "one", "two"), [(8, 1, 1), (12, 3, 0), (16, 2, 2), (36, 9, 0)])
-def test_near_dedup_sketch_keeps_small_sets(shared, one, two):
-    rng = np.random.default_rng(shared)
-    most = op9_near_dedup.most_differing(80)
-    for _ in range(400):
-        x = rng.integers(0, 1 << 64, shared + one + two, dtype=np.uint64)
-        a, b = op9_near_dedup.bit_sketch(x[: shared + one]), op9_near_dedup.bit_sketch(np.concatenate([x[:shared], x[shared + one :]]))
-        assert np.bitwise_count(a ^ b).sum(dtype=np.int64) <= most
+def test_prefix_pairs_lose_no_link(spark):
+    """Sets around a template: every pair of different components at the threshold is among the candidates."""
+    rng = random.Random(31)
+    template, sets = list(range(60)), {}
+    for i in range(160):
+        own = [1000 + rng.randrange(400) for _ in range(rng.randrange(3, 40))]
+        sets[i] = set(template[: rng.randrange(30, 60)] + own)
+        if i % 3 == 0 and i:
+            sets[i] = set(sorted(sets[i - 1])[rng.randrange(12) :]) | {5000 + i}
+    comps = {i: i if i % 7 else 0 for i in sets}
+    rows = [(i, comps[i], len(x), s) for i, x in sets.items() for s in x]
+    got = {(r["u"], r["v"]) for r in candidates.prefix_pairs(spark.createDataFrame(rows, "id long, component long, n long, s long"), 80).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and comps[a] != comps[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert want <= got and len(want) > 20 and len(got) < 160 * 159 // 4
+
+
+def test_bucket_pairs_connect_every_bucket(spark):
+    """Whatever their sizes, the pairs of a bucket join all its members."""
+    sizes = {1: 1, 2: 2, 3: 3, 4: 70, 5: 700}
+    bands = spark.createDataFrame([(k, 100_000 * k + i) for k, n in sizes.items() for i in range(n)], "key long, id long")
+    pairs = candidates.pairs(candidates.members(bands))
+    comps = {r["node"]: r["component"] for r in components(pairs).collect()}
+    assert all(len({comps.get(100_000 * k + i, 100_000 * k + i) for i in range(n)}) == 1 for k, n in sizes.items())
+    assert pairs.count() <= 2 * sum(sizes.values())
+
+
+def test_near_dedup_rows_that_share_an_id(spark):
+    """Texts of one doc_id are all compared, in whatever order they come."""
+    rng = random.Random(32)
+    words = lambda n: [f"w{rng.randrange(10_000)}" for _ in range(n)]
+    one, two = words(100), words(100)
+    rows = [(1, " ".join(one)), (2, " ".join([*one, "x"])), (3, " ".join(two)), (2, " ".join([*two, "y"]))]
+    for order in (rows, rows[::-1]):
+        got = {r["doc_id"]: r["component_id"] for r in op9_near_dedup.near_components(table(spark, order)).collect()}
+        assert got == {1: 1, 2: 1, 3: 1}
 
 
 def test_toxicity_restores_long_runs_and_tokens(spark):
@@ -191,15 +218,62 @@ def test_toxicity_restores_long_runs_and_tokens(spark):
 
 def test_pii_thresholds_count_all_documents(spark):
     rng = random.Random(21)
-    key = lambda: "".join(rng.choice("abcdef0123456789") for _ in range(32))
-    rows = [(i, f"token = {key()} and the build {key()} of 2024 1234567{i:04d}") for i in range(300)]
-    rows += [(1000, "write to jane.doe [at] example [dot] org today")]
+    words = ["the", "alpha", "beta", "gamma", "delta", "river"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(600)] + [(None, "x"), (2000, None), (2001, "")]
     frame = table(spark, rows)
-    model = op10_pii.fit(frame, sample_docs=40)
-    assert "contact" in model.thresholds
-    held = sum(op10_pii.is_held(i) for i, _ in rows if i < 1000)
-    assert op10_pii.score_histogram(common.doc_texts(frame.where("doc_id < 1000")), model.trees)[:, 3].sum() == sum(len(op10_pii.candidates(t)) for i, t in rows if i < 1000 and op10_pii.is_held(i)) and held > 40
-    assert "contact:" in results(op10_pii.find_pii(frame, model))[1000][0]["spans"]
+    model = op10_pii.fit(frame, sample_docs=200)
+    held = [(i, t) for i, t in rows if i is not None and op10_pii.is_held(i)]
+    want = sum(len(op10_pii.planted_candidates(i, t or "", op10_pii.HELD_PLANTS)) for i, t in held)
+    assert op10_pii.score_histogram(common.doc_texts(frame), model.trees)[:, 3].sum() == want and len(held) > 150
+    assert set(model.thresholds) == set(op10_pii.MORE)
+
+
+#: Contexts and forms that planting doesn't have.
+PRIVATE = ['pwd -> "{hex}"', "export SECRET_KEY={mixed}", "my login token is {hex}", "phone number 555 010 4477 at night", "ring her mobile 0171 5550199", "ann_lee [at] tinytown [dot] org", "bob(at)lake.net", "your passport 40551234567 please"]
+HARMLESS = ["git checkout of commit {hex} went on", "md5sum is {hex}", "the number 8837465529301844 of them", "ISBN 978-1-23-456789-0", "we meet (at) noon.tomorrow", "serial 5550104477123", "table_of_results_for_night_12", "plain 20240131123456 stamp"]
+
+
+def test_pii_finds_what_it_has_not_seen(spark):
+    """Recall and precision on hand-made private and harmless spans in the texts of the corpus."""
+    rng = random.Random(22)
+    words = ["the", "alpha", "beta", "gamma", "delta", "river"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    model = op10_pii.fit(table(spark, [(i, text(40)) for i in range(1500)]), sample_docs=1200)
+    found = {}
+    for name, forms in (("private", PRIVATE), ("harmless", HARMLESS)):
+        for form in forms:
+            hits = 0
+            for _ in range(40):
+                made = form.replace("{hex}", "".join(rng.choice("0123456789abcdef") for _ in range(40))).replace("{mixed}", "".join(rng.choice("abcdefGHIJKL0123456789") for _ in range(30)) + "1")
+                whole = f"{text(6)} {made} {text(6)}"
+                hits += bool(model.added(whole, op10_pii.base_spans(whole)))
+            found[name, form] = hits / 40
+    recall = sum(v for (n, _), v in found.items() if n == "private") / len(PRIVATE)
+    false = sum(v for (n, _), v in found.items() if n == "harmless") / len(HARMLESS)
+    assert recall >= 0.75 and false <= 0.15, found
+
+
+def test_pii_on_planted_spans_of_held_out_documents(spark):
+    rng = random.Random(23)
+    words = ["the", "alpha", "beta", "gamma", "delta", "river"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(900)]
+    model = op10_pii.fit(table(spark, rows), sample_docs=600)
+    caught = missed = wrong = 0
+    for i, t in rows:
+        if op10_pii.is_held(i):
+            for label, x in op10_pii.planted_candidates(i, t, 3):
+                kind = op10_pii.MORE[int(x[0])]
+                hit = model.trees.probability(np.array([x]))[0] >= model.thresholds.get(kind, 2)
+                caught, missed, wrong = caught + (hit and label), missed + (label and not hit), wrong + (hit and not label)
+    assert caught / (caught + missed) >= 0.85 and caught / (caught + wrong) >= 0.85
+
+
+@pytest.mark.parametrize("text", ["0" * 4400 + ".2.3.4", "1" * 9000 + ".1.1.1", "a" * 9000 + "[at]b.c", "9" * 20_000, "x" * 70 + "(at)example.org"])
+def test_pii_of_long_runs(text):
+    base = op10_pii.base_spans(text)
+    assert [b for b in base if b[0] == "ip"] == ([("ip", 0, 4406)] if text.startswith("0") else [])
+    contact = [c for c in op10_pii.candidates(text) if c[0] == "contact"]
+    assert contact == ([("contact", 0, len(text))] if "at" in text else [])
 
 
 def test_license_scan(spark, docs):
@@ -396,23 +470,6 @@ def test_near_dedup_chains(spark):
     assert kept.count() == len({c for _, c in brute_components(rows, 2).values()}) and kept.columns == table(spark, rows).columns
 
 
-def test_cross_pairs_find_every_pair():
-    import pyarrow as pa
-
-    rng = np.random.default_rng(3)
-    shared = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
-    sets = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, 10, dtype=np.uint64)])) for _ in range(20)]
-    sk = [op9_near_dedup.bit_sketch(s).tobytes() for s in sets]
-    bands = np.array([[1, 5, 2]] * 20, dtype=np.uint64)
-    bands[7, 0] = 9
-
-    def found(key):
-        cols = [pa.array([key] * 20), pa.array(range(20)), pa.array(range(20)), pa.array([len(s) for s in sets]), pa.array(sk, pa.binary()), pa.array([b.tobytes() for b in bands], pa.binary())]
-        return pa.Table.from_batches(op9_near_dedup.cross_pairs([pa.RecordBatch.from_arrays(cols, names=["key", "doc", "component", "n", "sketch", "bands"])], 80))
-
-    assert found(5).num_rows == 19 and found(2).num_rows == 0  # other pairs met in the first band
-
-
 BASE_TEXTS = ["a@b.c x@y.co.uk @z.w u@v", "1.2.3.4 256.1.1.1 001.2.3.4.5.6.7.8", "4111 1111 1111 1111 and 4111111111111112 4111-1111-1111-1111-9", "+1 (743) 555-3824 +12 +1234567890123456", "a@b.c@d.e", "é é@x.y a.@-.b", "1" * 5000 + " " + "a" * 5000, "+1 " + " " * 500]
 
 
