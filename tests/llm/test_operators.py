@@ -282,6 +282,9 @@ def test_license_scan(spark, docs):
     assert got[1][0] | {"score": 1.0} == {"n_words": 26, "n_base": 5, "first_word": 0, "last_word": 21, "base_labels": "gpl,mit", "labels": "gpl,gpl-notice,mit,mit-notice", "score": 1.0}
     assert got[2][0]["n_base"] == 0 and got[2][0]["first_word"] is None and got[2][0]["labels"] == "" and got[3][0]["n_words"] == 0
     assert got[4][0]["base_labels"] == "apache"
+    wrapped = "# Redistribution and use in source and binary forms,\n# with or without modification, are permitted\n# provided that the following\n# conditions are met:"
+    got = results(op2_license_scan.license_scan(table(spark, [(1, wrapped), (2, wrapped.replace("\n", "\n\n\n\n\n"))])))
+    assert got[1][0]["labels"] == "bsd-text" and got[2][0]["labels"] == ""
     assert op2_license_scan.license_scan(docs).count() == docs.count()
 
 
@@ -310,6 +313,20 @@ def test_substring_dedup(spark, docs, monkeypatch, hot):
     assert {i: r[0] for i, r in got.items()} == want and len(got[7]) == 2 and got[7][0] == got[7][1]
 
 
+def test_substring_dedup_of_rows_without_id(spark):
+    """Hundreds of texts without an id, and texts that share one, are told apart."""
+    rng = random.Random(41)
+    text = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(150, 260)))
+    texts = [text() for _ in range(1000)]
+    for i in range(0, 1000, 4):
+        texts[i] = texts[i][:20] + texts[(i * 7 + 3) % 1000][:130] + texts[i][20:]
+    got = {r["kept_sha256"]: r for r in op3_substring_dedup.substring_dedup(table(spark, [(None, t) for t in texts])).collect()}
+    order = sorted(dict.fromkeys(texts), key=lambda t: op3_substring_dedup.number_of(None, t.encode()))
+    want = brute_spans(list(enumerate(order)))
+    assert {w["kept_sha256"]: (w["n_removed"], w["n_spans"]) for w in want.values()} == {k: (r["n_removed"], r["n_spans"]) for k, r in got.items()}
+    assert sum(w["n_removed"] > 0 for w in want.values()) > 100
+
+
 def test_deep_shallow_order():
     rng = np.random.default_rng(1)
     strings = rng.integers(97, 99, (400, 40)).astype(np.uint8)
@@ -346,6 +363,28 @@ def test_quality_rules(spark, docs, labels):
         assert all(r["base_failed"] == (n[0] < 10 or 100 * n[4] > 20 * n[0]) and not (r["base_failed"] and r["kept"]) for r in got[i])
 
 
+def test_binomial_in_closed_form():
+    from math import comb
+
+    for n, p in ((10, 0.3), (200, 0.02), (400, 0.9)):
+        for k in range(0, n, max(1, n // 9)):
+            plain = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+            assert abs(op4_quality_rules.binomial_cdf(k, n, p) - plain) < 1e-9
+    assert op4_quality_rules.binomial_cdf(4_900_000, 1_000_000_000, 0.005) < 1e-9
+    assert not op4_quality_rules.certified(0, 1849, 0.02 / 6, 0.05 / 24) and op4_quality_rules.certified(0, 1850, 0.02 / 6, 0.05 / 24)
+
+
+def test_quality_cutoffs_reject_where_labels_certify(spark):
+    """Good texts without symbols certify cutoffs; a text full of them is rejected then, and no good one is."""
+    rng = random.Random(42)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = [(2 * i + 1, " ".join(word() for _ in range(14)), "en") for i in range(2500)] + [(10_000, " ".join(word() + "#$%&*" for _ in range(14)), "en"), (10_002, " ".join(word() for _ in range(14)), "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in rows[:2500]], "doc_id long, quality int")
+    kept = {r["doc_id"]: r["kept"] for r in op4_quality_rules.quality_rules(docs, labels).collect()}
+    assert not kept[10_000] and kept[10_002] and sum(not kept[i] for i, _, _ in rows[:2500]) <= 50
+
+
 def test_certified_bounds():
     assert op4_quality_rules.certified(0, 3000, 0.001, 0.05) is (0.999**3000 <= 0.05)
     assert not op4_quality_rules.certified(0, 100, 0.001, 0.05)
@@ -368,13 +407,62 @@ def test_token_counts():
     assert [count(t) for t in texts] == [len(sp.encode(t)) for t in texts]
 
 
+@pytest.mark.parametrize("chunk", [3, 7, 40])
+def test_token_counts_of_chunks_cut_inside_words(monkeypatch, chunk):
+    """State maps of chunks compose to the count of the whole, wherever the cuts fall, in any order of composition."""
+    import sentencepiece
+
+    monkeypatch.setattr(op5_token_counts, "CHUNK", chunk)
+    rng = random.Random(43)
+    t = op5_token_counts.transducer(P.path("piece_bpe_32k.model"))
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    texts = ODD[:9] + ["".join(rng.choice(" \nabcé日1.,▁😀") for _ in range(rng.randrange(200))) for _ in range(60)] + [" ".join(rng.choice(["internationalisation", "", "tion", "of"]) for _ in range(60)) for _ in range(30)]
+    for text in texts:
+        assert t.count(text) == len(sp.encode(text))
+        whole = " " + text.replace("▁", " ")
+        maps = [t.chunk_map(whole[i : i + chunk]) for i in range(0, len(whole), chunk)]
+        left = maps[0]
+        for m in maps[1:]:
+            left = t.compose(left, m)
+        if text:
+            assert t.close(left[0]) + (left[1] or 0) + t.close(left[2]) == len(sp.encode(text))
+
+
+def test_byte_bpe_queue_against_plain_merges():
+    """Ranks in any order, so that merges make pairs of lower ranks too."""
+    rng = random.Random(44)
+    for _ in range(300):
+        tokens = {bytes([c]) for c in b"abc"}
+        while len(tokens) < 14:
+            a, b = rng.choice(sorted(tokens)), rng.choice(sorted(tokens))
+            tokens.add(a + b)
+        order = sorted(tokens - {b"a", b"b", b"c"})
+        rng.shuffle(order)
+        ranks = {t: i for i, t in enumerate([b"a", b"b", b"c", *order])}
+        bpe = op8_byte_bpe.ByteBPE(ranks, r"[\s\S]+")
+        for _ in range(10):
+            piece = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 60)))
+            parts = [piece[i : i + 1] for i in range(len(piece))]
+            if piece not in ranks:
+                while True:
+                    found = [(ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in ranks]
+                    if not found:
+                        break
+                    i = min(found)[1]
+                    parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            else:
+                parts = [piece]
+            assert bpe.merge(piece) == [ranks[p] for p in parts]
+
+
 def test_byte_bpe(spark, docs):
     import tiktoken
 
     rng = random.Random(3)
     bpe = op8_byte_bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
-    for t in ODD + ["".join(rng.choice(" \nabcé日1.,'▁😀") for _ in range(rng.randrange(80))) for _ in range(300)]:
+    spaced = ["".join(rng.choice(["a", "b1", "'s", "\n", "\xa0", " ", " ", "é", ".", "\u2009"]) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    for t in ODD + spaced + [" ".join(x.split()) for x in spaced] + ["".join(rng.choice(" \nabcé日1.,'▁😀") for _ in range(rng.randrange(80))) for _ in range(300)]:
         ids = bpe.encode(t)
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode_ordinary(t) and bpe.decode(ids) == t.encode()
     got = results(op8_byte_bpe.encode_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
@@ -395,6 +483,30 @@ def brute_hits(t, items):
     return len(words), len(hit), len(own)
 
 
+def test_fm_index_against_plain_search():
+    rng = np.random.default_rng(45)
+    for n, symbols in ((1, 2), (63, 3), (64, 3), (700, 2), (5000, 30)):
+        text = rng.integers(0, symbols + 1, n)
+        index = op6_decontamination.FMIndex(text, symbols)
+        for size in (1, 2, 5):
+            if n < size:
+                continue
+            patterns = np.stack([text[i : i + size] for i in rng.integers(0, n - size + 1, 20)] + [rng.integers(1, symbols + 1, size) for _ in range(20)])
+            patterns = patterns[(patterns > 0).all(axis=1)]
+            which, low, high = index.search(patterns)
+            got = {int(w): sorted(index.locate(np.arange(a, b)).tolist()) for w, a, b in zip(which, low, high, strict=True)}
+            want = {k: [i for i in range(n - size + 1) if (text[i : i + size] == p).all()] for k, p in enumerate(patterns)}
+            assert got == {k: v for k, v in want.items() if v}
+    assert len(index.position) <= len(text) // op6_decontamination.SAMPLE + 2
+
+
+def test_benchmark_blocks_keep_their_bound(spark):
+    items = spark.createDataFrame([(i, "x" * (10 * i)) for i in range(30)], "item_id long, text string")
+    blocks = list(op6_decontamination.item_blocks(items, 500))
+    assert [last for _, last in blocks] == [False] * (len(blocks) - 1) + [True] and sum(len(b) for b, _ in blocks) == 30
+    assert all(sum(len(t) for _, t in b) <= 500 for b, _ in blocks)
+
+
 @pytest.mark.parametrize("block", [1 << 20, 200])
 def test_decontamination(spark, docs, benchmark, block):
     items = [(str(r["item_id"]), r["text"]) for r in benchmark.collect() if r["item_id"] is not None]
