@@ -1,16 +1,22 @@
 """Token counts by finite-state tokenizer compilation.
 
-A piece vocabulary is compiled to a deterministic transducer.  Its state is the
+A piece vocabulary is compiled to a deterministic transducer.  A state is the
 open segment, the text since the last position that no vocabulary piece can
-cross; reading a character either extends the segment (emits 0) or, at such a
-cut, emits the segment's token count and opens a new one.  Transitions are
-compiled lazily and memoized on whole space-delimited words, which are
-macro-transitions: every word is entered through its space mark.
-
-Long texts are read in chunks.  A chunk's state map is (head, count, tail): the
-text before its first cut, the tokens emitted between, and the text after its
-last cut.  Composition is associative, so the maps are combined by a parallel
-prefix scan instead of one pass that carries the state.
+cross; the initial state has none.  Reading a character either extends the segment
+and emits 0 or, at such a cut, emits the closed segment's token count and goes to
+the state of the character alone; a state's final output is its own segment's
+count.  Most texts' segments are met once, so states get no numbers: what is
+compiled and kept are macro-transitions, segments to the count that their end
+emits, and words between spaces, which are entered through their space mark, where
+every state but the initial one is left.
+
+Long texts are read in chunks, cut wherever the size says, inside words too.  A
+chunk's map takes the state in which it is entered to the count emitted and the
+state in which it is left; as every word start resets the state, the map is held
+as (head, count, tail): the text before the first reset, whose count depends on the
+entering state, the tokens emitted between resets, and the text after the last
+one, which is the state it leaves.  Composition is associative, so maps are
+combined by a parallel prefix scan's tree instead of one pass that carries the state.
 
 Null and empty texts have no tokens.  Repeated rows each return a row.
 """
