@@ -3,14 +3,15 @@
 A shard is a run of whole documents of about SHARD_WORDS words.  Its words are
 mapped to the symbols of the benchmark's vocabulary (0: any other word, or a
 document's end, so no match crosses documents), its suffixes are sorted, and the
-Burrows-Wheeler transform is kept in a wavelet matrix.  All benchmark windows
-are then searched backwards at once; rows of the intervals are located by
-walking to suffixes sampled every SAMPLE positions, and the spans are merged per
-document.
+Burrows-Wheeler transform is kept in a wavelet matrix of bit vectors, with a
+count of ones before every 64 bits for ranks.  All benchmark windows are then
+searched backwards at once; rows of the intervals are located by walking to
+suffixes sampled every SAMPLE positions, which alone are kept, and the spans are
+merged per document.
 
 Documents are never shuffled.  The benchmark is sent to the workers in blocks
 of whole items of at most BLOCK_BYTES of text (a larger item is a block of its
-own); every document is searched for every block, and spans of several blocks
+own, and in memory by itself); every document is searched for every block, and spans of several blocks
 are merged in the row.
 
 A window is WINDOW consecutive words of an item; an item of fewer words is one
@@ -67,6 +68,27 @@ def suffix_order(text: np.ndarray, bits: int) -> np.ndarray:
     return order
 
 
+class BitVector:
+    """Bits with ranks: words of 64, and the ones before each word."""
+
+    def __init__(self, bits: np.ndarray):
+        n = len(bits) // 64 + 1
+        packed = np.zeros(8 * n, dtype=np.uint8)
+        made = np.packbits(bits.astype(np.uint8), bitorder="little")
+        packed[: len(made)] = made
+        self.words = packed.view("<u8")
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)])
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones among the first `at` bits."""
+        word, bit = at >> 6, (at & 63).astype(np.uint64)
+        low = self.words[word] & ((np.uint64(1) << bit) - np.uint64(1))
+        return self.before[word] + np.bitwise_count(low)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 class FMIndex:
     """Counts and locates many patterns of symbols 1.. in text; 0 matches nothing."""
 
@@ -76,22 +98,22 @@ class FMIndex:
         n, bits = len(text), int(symbols).bit_length()
         order = suffix_order(text, bits)
         bwt = text[order - 1]  # before suffix 0 stands the end
-        self.n, self.bits, self.bwt = n, bits, bwt
+        self.n, self.bits, self.bwt = n, bits, bwt.astype(np.int32)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols + 1))])
         self.ones, self.zeros = [], []
         level = bwt
         for b in range(bits - 1, -1, -1):
             bit = (level >> b) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int32))
-            self.zeros.append(n - int(self.ones[-1][-1]))
+            self.ones.append(BitVector(bit))
+            self.zeros.append(n - int(bit.sum()))
             level = np.concatenate([level[bit == 0], level[bit == 1]])
         self.base = self._down(np.arange(symbols + 1), np.zeros(symbols + 1, dtype=np.int64))
-        self.sampled = order % sample == 0
-        self.position = np.where(self.sampled, order, -1)
+        sampled = order % sample == 0
+        self.sampled, self.position = BitVector(sampled), order[sampled].astype(np.int32)
 
     def _down(self, c: np.ndarray, at: np.ndarray) -> np.ndarray:
         for b, ones, zeros in zip(range(self.bits - 1, -1, -1), self.ones, self.zeros, strict=True):
-            up = ones[at]
+            up = ones.rank(at)
             at = np.where((c >> b) & 1 == 1, zeros + up, at - up)
         return at
 
@@ -115,7 +137,7 @@ class FMIndex:
         todo, at = np.arange(len(rows)), rows.copy()
         while len(todo):
             done = self.sampled[at]
-            out[todo[done]] = self.position[at[done]] + steps
+            out[todo[done]] = self.position[self.sampled.rank(at[done])] + steps
             todo, at = todo[~done], at[~done]
             c = self.bwt[at]
             at = self.first[c] + self.rank(c, at)
@@ -179,14 +201,18 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """Yield (items, whether they are the last) in blocks of at most block_bytes; one
-    block is on the driver at a time."""
+    """Yield (items, whether they are the last) in blocks of at most block_bytes, or of
+    one larger item; one block and an item are on the driver at a time."""
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 64)).collect()[0][0] or 0
-    blocks = max(1, -(-2 * total // block_bytes))  # hashed blocks are uneven; half full on average
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
-        yield [(r["item"], bytes(r["text"])) for r in part.toLocalIterator()], k == blocks - 1
+    block, size = [], 0
+    for r in items.orderBy("item", "text").toLocalIterator():
+        item = r["item"], bytes(r["text"])
+        if block and size + len(item[1]) > block_bytes:
+            yield block, False
+            block, size = [], 0
+        block.append(item)
+        size += len(item[1])
+    yield block, True
 
 
 @functools.lru_cache(maxsize=2)
