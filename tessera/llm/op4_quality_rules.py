@@ -6,7 +6,8 @@ counted in a fixed grid, and the grid is walked from loose to strict for as
 long as the exact (Clopper-Pearson) upper bound of the false-rejection rate
 stays within the rule's share of `risk`.  The walk is a fixed-sequence test;
 across rules and strata the confidence is Bonferroni-corrected.  A stratum with
-too few good labels certifies no cutoff, so nothing is rejected there.
+too few good labels certifies no cutoff, so nothing is rejected there: with six
+rules, four strata and no rejection at all, 1,850 good labels certify.
 
 All statistics cover whole texts and all documents.  Only the histogram of good
 labels, rules x strata x grid, reaches the driver.  Null and empty texts have no
@@ -17,7 +18,6 @@ beyond the `strata` most labelled values (ties by value), the rest share one.
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RISK, CONFIDENCE, STRATA = 0.005, 0.95, 64
+RISK, CONFIDENCE, STRATA = 0.02, 0.95, 64
 WINDOW = 5
 OTHER = "\x00other"
 SYMBOLS = b"#*$%&|<>"
@@ -112,18 +112,40 @@ def statistics(docs: DataFrame) -> DataFrame:
     return picked.mapInArrow(counted, f"doc_id long, stratum string, {STATS}")
 
 
-@functools.cache
-def _log_choose(n: int, k: int) -> float:
-    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+def _beta_fraction(x: float, a: float, b: float) -> float:
+    """Continued fraction of the incomplete beta function (modified Lentz)."""
+    tiny = 1e-300
+    c, d = 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    out = d
+    for m in range(1, 10_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + step * d, 1 + step / c
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            out *= d * c
+        if abs(d * c - 1) < 1e-14:
+            break
+    return out
+
+
+def incomplete_beta(x: float, a: float, b: float) -> float:
+    """The regularized incomplete beta function."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x < (a + 1) / (a + b + 2):
+        return front * _beta_fraction(x, a, b) / a
+    return 1 - front * _beta_fraction(1 - x, b, a) / b
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
+    """In closed form, so its cost doesn't grow with the labels."""
     if p <= 0 or k >= n:
         return 1.0
     if p >= 1:
         return 0.0
-    a, b = math.log(p), math.log1p(-p)
-    return min(1.0, math.fsum(math.exp(_log_choose(n, i) + i * a + (n - i) * b) for i in range(k + 1)))
+    return min(1.0, incomplete_beta(1 - p, n - k, k + 1))
 
 
 def certified(rejected: int, good: int, risk: float, delta: float) -> bool:
