@@ -1,7 +1,8 @@
 """License scan by an exact set-similarity join, in DataFrame functions only.
 
 Template tokens are ordered by how many documents of the corpus hold them,
-rarest first.  A block (a line) that holds at least THRESHOLD of a template's
+rarest first.  A block, a run of RUN lines from every line on, so that a licence
+wrapped over lines stands in one, that holds at least THRESHOLD of a template's
 distinct tokens must hold one of the template's |T| - need + 1 rarest, so only
 those prefixes are indexed.  A block joins the index on its tokens; the length
 filter drops blocks with fewer template tokens than needed, the positional
@@ -12,8 +13,7 @@ template list, so broadcasting it doesn't grow with the data.
 The base scan finds the places of fixed phrases in the whole word sequence.
 
 Null and empty texts have no words.  Rows that share a doc_id share the labels
-of all of them.  Unicode lower-casing is used: no character outside ASCII
-lower-cases to the start or end of a phrase word, so places are as with A-Z.
+of all of them.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-THRESHOLD = 0.8
+THRESHOLD, RUN = 0.8, 4
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Phrases of the base scan.
@@ -43,7 +44,7 @@ TEMPLATES = {
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
 def template_tokens(templates: dict[str, str]) -> dict[str, list[str]]:
@@ -97,8 +98,8 @@ def frequency_order(docs: DataFrame, tokens: list[str]) -> list[str]:
 
 
 def template_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, line, label, overlap, containment) of every block and template
-    whose containment |block & template| / |template| reaches threshold."""
+    """(doc_id, line, label, overlap, containment) of every block, by its first line,
+    and template whose containment |block & template| / |template| reaches threshold."""
     spark = docs.sparkSession
     sets = template_tokens(templates)
     order = frequency_order(docs, sorted(set().union(*sets.values())))
@@ -115,7 +116,8 @@ def template_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thr
     rare = F.array(*[F.lit(t) for t in order if t in prefixes])
     blocks = (
         docs.where(F.arrays_overlap(rare, words_of(F.col("text"))))
-        .select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "block"))
+        .select("doc_id", F.split("text", "\n", -1).alias("lines"))
+        .select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("lines")), lambda i: F.array_join(F.slice("lines", i, RUN), "\n"))).alias("line", "block"))
         .select("doc_id", "line", F.array_intersect(listed, words_of(F.col("block"))).alias("tokens"))
         .where(F.arrays_overlap(rare, "tokens"))
     )
@@ -159,12 +161,12 @@ def oracle_sql() -> str:
     values = ", ".join(f"('{k}', {v!r}, {needed(len(v), THRESHOLD)})" for k, v in sets.items())
     places = {k: f"list_filter(range(len(w)), lambda i: {' AND '.join(f"coalesce(w[i + {n}], '') = '{p}'" for n, p in enumerate(v.split(), 1))})" for k, v in PHRASES.items()}
     return rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM documents),
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
 t(label, tokens, need) AS (VALUES {values}),
 p AS (SELECT doc_id, len(w) AS n_words, {', '.join(f'{v} AS {k}' for k, v in places.items())} FROM d),
 b AS (SELECT doc_id, n_words, list_concat(list_concat(mit, apache), gpl) AS pl,
   list_filter([CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END], lambda x: x IS NOT NULL) AS base FROM p),
-l AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(block), '{WORD}')) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS block FROM d)),
+l AS (SELECT doc_id, list_distinct(regexp_extract_all(translate(block, '{UPPER}', '{LOWER}'), '{WORD}')) AS w FROM (SELECT doc_id, unnest(list_transform(range(1, len(t) + 1), lambda i: array_to_string(list_slice(t, i, i + {RUN - 1}), chr(10)))) AS block FROM d)),
 m AS (SELECT doc_id, label, len(list_intersect(w, tokens)) AS o, len(tokens) AS s FROM l, t WHERE len(list_intersect(w, tokens)) >= need),
 f AS (SELECT doc_id, list(DISTINCT label) AS more, max(o / s) AS best FROM m GROUP BY doc_id)
 SELECT b.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(pl) AS BIGINT) AS n_base, CAST(list_min(pl) AS BIGINT) AS first_word, CAST(list_max(pl) AS BIGINT) AS last_word,
