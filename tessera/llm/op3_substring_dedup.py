@@ -23,9 +23,11 @@ that they belong to step 3 anyway.  A group of over GROUP stretches in step 3 is
 not sorted in one task: its windows are dealt by their own hashes instead, where
 again a batch sends only its first holder of each.
 
-Null and empty texts have no bytes.  Rows without doc_id come after all others.
-Rows that repeat a doc_id and text are one document, each returning its row;
-texts that share only the doc_id are told apart by a hash of the text.
+Null and empty texts have no bytes.  Rows without doc_id come after all others, in
+the order of a hash of their texts that stands for the id (62 bits, above NULLS; a
+doc_id must lie below it).  Rows that repeat a doc_id and text are one document,
+each returning its row; texts that share only the doc_id are told apart by 16 more
+bits of a hash of the text.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ from . import common, suffix_sort
 
 LENGTH, GRAM, SENT, GROUP = 100, 32, 4, 2000
 SIDE = LENGTH - GRAM  # windows of an anchor reach so far before and behind it
-LAST = (1 << 63) - 1  # stands for a null doc_id
+NULLS = 1 << 62  # ids from here on stand for null ones
 NORMAL, EDGE, SPAN = 0, 1, 2
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -103,6 +105,11 @@ def pack(s, mark, off, more):
     return s << 30 | mark << 14 | off << 7 | more
 
 
+def number_of(i: int | None, t: bytes) -> int:
+    """The doc_id, or one made of the text where there is none."""
+    return i if i is not None else NULLS | xxhash.xxh64_intdigest(t, 5) & NULLS - 1
+
+
 def text_mark(t: bytes) -> int:
     return xxhash.xxh64_intdigest(t, 3) & 0xFFFF
 
@@ -138,7 +145,7 @@ def anchors(batches):
         if not len(sizes) or sizes.max() < LENGTH:
             continue
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        names = np.array([LAST if i is None else i for i in ids], dtype=np.int64)
+        names = np.array([number_of(i, t) for i, t in zip(ids, texts, strict=True)], dtype=np.int64)
         marks = np.array([text_mark(t) for t in texts], dtype=np.int64)
         h, c, d, s, off, more = stretches(data, starts, sizes)
         doc, mark = names[d], marks[d]
@@ -222,7 +229,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
         z = zstandard.ZstdCompressor(level=3)
         for ids, texts in common.rows(batches):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([LAST if i is None else i for i in ids], pa.int64()), pa.array([text_mark(t) for t in texts], pa.int64()), pa.array(ids, pa.int64()), pa.array([z.compress(t) for t in texts], pa.binary())],
+                [pa.array([number_of(i, t) for i, t in zip(ids, texts, strict=True)], pa.int64()), pa.array([text_mark(t) for t in texts], pa.int64()), pa.array(ids, pa.int64()), pa.array([z.compress(t) for t in texts], pa.binary())],
                 names=["doc", "mark", "doc_id", "z"],
             )
 
