@@ -266,33 +266,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
     return Scorer(counts, {f: float(weights[i]) for f, i in at.items()}, bias)
 
 
-def score_documents(docs: DataFrame, scorer: Scorer, keep: list[str] | None = None) -> DataFrame:
-    """The columns in keep, and score (0 to 1) and predicted, per row of docs."""
-    keep = ["doc_id"] if keep is None else keep
+def scored(docs: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
+    """The columns in keep as c0, c1 and so on, and score (0 to 1) and predicted, per row of docs."""
     kinds = dict(docs.dtypes)
     common.importable(docs.sparkSession)
     picked = docs.select(F.coalesce(docs["text"].cast("string"), F.lit("")).alias("body"), *[docs[c].alias(f"c{i}") for i, c in enumerate(keep)])
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    def scored(batches):
+    def made(batches):
         common.claim("op7")
         model = sent.value
         for batch in batches:
             s = [model.score(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())], names=[*batch.schema.names[1:], "score", "predicted"])
 
-    out = picked.mapInArrow(scored, ", ".join([*[f"c{i} {kinds[c]}" for i, c in enumerate(keep)], "score double, predicted int"]))
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "score", "predicted")
+    return picked.mapInArrow(made, ", ".join([*[f"c{i} {kinds[c]}" for i, c in enumerate(keep)], "score double, predicted int"]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    scored = score_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    """doc_id, held_out, score and predicted per row of docs."""
+    plain = common.doc_texts(docs)
+    return scored(plain, fit(docs, labels), ["doc_id"]).select(F.col("c0").alias("doc_id"), held_out(F.col("c0")).alias("held_out"), "score", "predicted")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those predicted toxic; same columns."""
-    return score_documents(docs, fit(docs, labels), docs.columns).where("predicted = 0").select(*docs.columns)
+    """docs without those predicted toxic; same columns, whatever their names."""
+    kept = scored(docs, fit(docs, labels), docs.columns).where("predicted = 0")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
