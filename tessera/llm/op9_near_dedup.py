@@ -127,7 +127,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     def checked(batches):
         common.claim("op9")
         z = zstandard.ZstdDecompressor()
-        sets = common.Memo(lambda packed: shingle_set(z.decompress(packed), size), 256, "op9")
+        sets = common.Memo(lambda packed: shingle_set(z.decompress(packed), size), 256, "op9", 1 << 16)
         for batch in batches:
             good = [similar(sets[a], sets[b], percent) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
@@ -164,7 +164,8 @@ def near_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     held = common.materialize(candidates.members(banded), "held")
     pairs = common.materialize(candidates.pairs(held), "pairs")
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    texts = common.materialize(packed_texts(docs).join(ids, "doc_id", "left_semi").distinct(), "texts")
+    # ids grow with the input, so they are never broadcast
+    texts = common.materialize(packed_texts(docs).join(ids.hint("merge"), "doc_id", "left_semi").distinct(), "texts")
     links = common.materialize(verify(pairs, texts, size, percent), "links")
     comps = components(links, "near")
     opened = common.materialize(candidates.opened(held, comps).select("id", "component").distinct(), "opened")
