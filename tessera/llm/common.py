@@ -8,6 +8,7 @@ only look at the columns they name, so extra columns never clash.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import hashlib
 import tempfile
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +42,13 @@ def doc_texts(docs: DataFrame) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one where none is set (tests)."""
+    """The shared folder of the cluster.  Where none is set, a temporary one, but only
+    if driver and executors are one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file:" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -50,13 +56,15 @@ def scratch_root(spark: SparkSession) -> str:
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Delete folders that this package wrote."""
-    try:
-        jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for p in paths:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(hadoop).delete(path, True)
-    except Exception:  # the session is gone; the folder belongs to the cluster then
-        pass
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(hadoop).delete(path, True)
+
+
+def _remove_at_exit(spark: SparkSession, paths: list[str]) -> None:
+    with contextlib.suppress(Py4JError, OSError, AttributeError):  # the session may be gone; the folder belongs to the cluster then
+        remove(spark, paths)
 
 
 def keep_scratch(spark: SparkSession, path: str) -> None:
@@ -64,7 +72,7 @@ def keep_scratch(spark: SparkSession, path: str) -> None:
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
         _SCRATCH[app] = []
-        atexit.register(remove, spark, _SCRATCH[app])
+        atexit.register(_remove_at_exit, spark, _SCRATCH[app])
     _SCRATCH[app].append(path)
 
 
@@ -125,18 +133,21 @@ _MEMOS: list[weakref.ref] = []
 
 
 class Memo(dict):
-    """dict that computes a missing value; emptied when it has `most` entries,
-    so a worker's memory stays bounded whatever the vocabulary."""
+    """dict that computes a missing value; emptied when it has `most` entries, and
+    without those of keys over `longest`, so a worker's memory stays bounded whatever
+    the vocabulary."""
 
-    def __init__(self, compute, most: int = 400_000, owner: str = ""):
+    def __init__(self, compute, most: int = 400_000, owner: str = "", longest: int = 64):
         super().__init__()
-        self.compute, self.most, self.owner = compute, most, owner
+        self.compute, self.most, self.owner, self.longest = compute, most, owner, longest
         _MEMOS.append(weakref.ref(self, _MEMOS.remove))
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
         return value
 
 

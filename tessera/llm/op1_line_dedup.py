@@ -198,10 +198,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return gone.groupBy("doc", "mark").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
-def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def line_dedup(docs: DataFrame, percent: int = PERCENT, drop_emptied: bool = False) -> DataFrame:
     """docs with duplicate lines taken out of text (and n_chars, if there is one, set
-    anew); a text whose lines all go becomes empty.  Other columns, whatever their
-    names, pass as they are."""
+    anew).  A text that loses all lines but blank ones becomes empty; with drop_emptied
+    its row goes.  Other columns, whatever their names, pass as they are."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names, strict=True))
     plain = docs.toDF(*names)
@@ -209,8 +209,10 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     gone = removed_lines(docs.select("doc_id", "text"), percent)
     keyed = plain.withColumns({"doc": F.coalesce(doc_id.cast("long"), F.lit(LAST)), "mark": F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))})
     joined = keyed.join(gone, ["doc", "mark"], "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    whole = F.col("removed").isNull()
+    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    joined = joined.withColumn("left", F.when(F.col("removed").isNotNull(), F.when(left.rlike("[^ \n]"), left).otherwise("")))
+    joined = joined.where("left IS NULL OR left <> ''") if drop_emptied else joined
+    kept, whole = F.col("left"), F.col("left").isNull()
     changed = {"text": F.when(whole, text).otherwise(kept)}
     if "n_chars" in at:
         count = F.col(at["n_chars"])
