@@ -2,7 +2,7 @@
 
 Every stage takes all that its predecessor kept; between stages the documents
 are a written table.  Null texts count as empty and stay; an empty table passes
-through all stages.
+through all stages.  Extra columns pass as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of lines that are alike, the first stays; documents stay, shorter."""
-    return op1_line_dedup.line_dedup(docs)
+    """Of lines that are alike, the first stays.  A document that had words and whose
+    lines all stand elsewhere goes; one that was blank before stays."""
+    return op1_line_dedup.line_dedup(docs, drop_emptied=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,16 +31,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark windows cover to a twentieth or more go; others stay as they are."""
-    carried = op6_decontamination.contamination(docs.withColumn("_text", F.col("text")), common.table(spark, sf_dir, "benchmark"), carry=[c for c in docs.columns if c != "text"] + ["_text"])
-    kept = carried.where(~F.col("contaminated"))
-    return kept.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    names = [f"d{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
+    kept = op6_decontamination.contamination(plain, common.table(spark, sf_dir, "benchmark"), carry=names).where(~F.col("contaminated"))
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and digests that show the round trip."""
+    """The documents with token ids, and digests that show the round trip."""
     import public_tokenizers as P
 
-    return op8_byte_bpe.encode_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return op8_byte_bpe.encode_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, carry=[c for c in docs.columns if c != "doc_id"])
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("byte_bpe", byte_bpe)]
