@@ -113,7 +113,10 @@ def line_components(lines: list[str], size: int = 8) -> set[frozenset]:
     return {frozenset(g) for g in groups.values()}
 
 
-def test_line_dedup_pairs_all_of_a_hot_bucket(spark):
+@pytest.mark.parametrize(("small", "whole"), [(64, 4096), (4, 4096), (4, 4)])
+def test_line_dedup_pairs_all_of_a_hot_bucket(spark, monkeypatch, small, whole):
+    monkeypatch.setattr(op1_line_dedup, "SMALL", small)
+    monkeypatch.setattr(op1_line_dedup, "WHOLE", whole)
     # one bucket of twelve lines in id order: twins never stand side by side, nor with the least
     rng = random.Random(11)
     word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
@@ -127,8 +130,9 @@ def test_line_dedup_pairs_all_of_a_hot_bucket(spark):
     held = candidates.members(spark.createDataFrame([(i, 1) for i in ids], "id long, key long"))
     tried = candidates.pairs(held)
     links = op1_line_dedup.verified(tried, frame, 80)
-    opened = op1_line_dedup.open_lines(held, components(links), op1_line_dedup.signatures(frame.repartition(2, "id")))
-    more = op1_line_dedup.verified(op1_line_dedup.open_pairs(opened, frame, 80).join(tried, ["u", "v"], "left_anti"), frame, 80)
+    signed = op1_line_dedup.signatures(frame.repartition(2, "id"))
+    fresh = op1_line_dedup.open_pairs(held, components(links), signed, frame, 80)
+    more = op1_line_dedup.verified(fresh.join(tried, ["u", "v"], "left_anti"), frame, 80)
     got = {frozenset((ids[r["u"]], ids[r["v"]])) for r in links.union(more).collect()}
     assert got == line_components(lines) and len(got) == 6
 
