@@ -13,10 +13,12 @@
    that agree in fewer than LEAST of them (3 pairs in 10^6 at the threshold); the
    rest are verified by the exact Jaccard similarity of their shingle sets, and
    verified pairs are joined by a distributed union-find (components).
-4. Buckets whose members still lie in several components are taken up again.  Lines
-   that agree often enough with a member of another component, which a
-   semi-join tells without making pairs, meet by an exact prefix join
-   (candidates.prefix_pairs); of buckets of over WHOLE members, all lines do.
+4. Buckets whose members still lie in several components are taken up again.  In
+   buckets of at most SMALL members, members of different components that agree often
+   enough are verified.  In larger ones a semi-join tells which lines agree with
+   any member of another component, without making pairs; those lines, and all
+   lines of buckets of over WHOLE members, meet by an exact prefix join
+   (candidates.prefix_pairs).
 
 Of each component, and of each line that occurs more than once, the first
 occurrence (doc_id, line number) stays.  At the threshold of 0.8 a pair shares no
@@ -42,7 +44,7 @@ from .components import components
 SHINGLE, BANDS, ROWS, PERCENT = 8, 14, 3, 80
 FUNCTIONS = BANDS * ROWS
 LANES = 4
-LEAST, WHOLE = 21, 4096
+LEAST, SMALL, WHOLE = 21, 64, 4096
 SHORT = SHINGLE
 LAST = (1 << 63) - 1
 
@@ -134,22 +136,22 @@ def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     return both.where(let(sets, lambda s: F.when(fits(s), reaches(s)).otherwise(F.lit(False)))).select("u", "v")
 
 
-def open_lines(held: DataFrame, comps: DataFrame, signed: DataFrame) -> DataFrame:
-    """(id, component) of the lines that may have an untried partner in another component."""
+def open_pairs(held: DataFrame, comps: DataFrame, signed: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of lines of different components that share a bucket."""
     opened = common.materialize(candidates.opened(held, comps), "line-opened")
     worded = opened.where(f"members <= {WHOLE}").join(signed.select("id", *WORDS), "id")
-    one = worded.select("key", "id", "component", *[F.col(w).alias(f"a{w}") for w in WORDS])
-    two = worded.select("key", F.col("component").alias("other"), *[F.col(w).alias(f"b{w}") for w in WORDS])
-    near = one.join(two, (one["key"] == two["key"]) & (one["component"] != two["other"]) & (differing("a", "b") <= FUNCTIONS - LEAST), "left_semi")
-    return near.select("id", "component").union(opened.where(f"members > {WHOLE}").select("id", "component")).distinct()
-
-
-def open_pairs(opened: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of opened lines (id, component) of different components."""
-    sets = lines.join(opened, "id").select("id", "component", shingles(F.col("line")).alias("s"))
-    sized = sets.withColumn("n", F.size("s").cast("long"))
-    rows = common.materialize(sized.select("id", "component", "n", F.explode("s").alias("s")), "line-open")
-    return candidates.prefix_pairs(rows, percent)
+    one = worded.select("key", "members", "id", "component", *[F.col(w).alias(f"a{w}") for w in WORDS])
+    two = worded.select(F.col("key").alias("k"), F.col("id").alias("v"), F.col("component").alias("other"), *[F.col(w).alias(f"b{w}") for w in WORDS])
+    agree = (F.col("key") == F.col("k")) & (differing("a", "b") <= FUNCTIONS - LEAST)
+    small = one.where(f"members <= {SMALL}").join(two, agree & (F.col("component") < F.col("other")))
+    small = small.select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct()
+    near = one.where(f"members > {SMALL}").join(two, agree & (F.col("component") != F.col("other")), "left_semi")
+    ids = near.select("id", "component").union(opened.where(f"members > {WHOLE}").select("id", "component")).distinct()
+    # written first: else Spark would compute the sets of all lines, to drop empty ones before the join
+    texts = common.materialize(lines.join(ids, "id").select("id", "component", "line"), "line-open-texts")
+    sets = texts.select("id", "component", shingles(F.col("line")).alias("s")).withColumn("n", F.size("s").cast("long"))
+    rows = common.materialize(sets.select("id", "component", "n", F.explode("s").alias("s")), "line-open")
+    return small.union(candidates.prefix_pairs(rows, percent)).distinct()
 
 
 def bucketed(df: DataFrame, label: str) -> tuple[DataFrame, str, str]:
@@ -174,12 +176,10 @@ def keepers(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = common.materialize(alike(candidates.pairs(held), signed), "line-pairs")
     links = common.materialize(verified(pairs, lines, percent), "line-links")
     comps = components(links, "line-components")
-    opened = common.materialize(open_lines(held, comps, signed), "line-open-ids")
-    if not opened.isEmpty():
-        fresh = common.materialize(open_pairs(opened, lines, percent).join(pairs, ["u", "v"], "left_anti"), "line-open-pairs")
-        found = common.materialize(verified(fresh, lines, percent), "line-open-links")
-        if not found.isEmpty():  # components only grow, so nothing that lies across them is untried now
-            comps = components(links.union(found), "line-components")
+    fresh = common.materialize(open_pairs(held, comps, signed, lines, percent).join(pairs, ["u", "v"], "left_anti"), "line-open-pairs")
+    found = common.materialize(verified(fresh, lines, percent), "line-open-links")
+    if not found.isEmpty():  # components only grow, so nothing that lies across them is untried now
+        comps = components(links.union(found), "line-components")
     placed = lines.select("id", "first", "n").join(comps.withColumnRenamed("node", "id"), "id", "left").where("n > 1 OR component IS NOT NULL")
     placed = placed.select("id", F.coalesce("component", "id").alias("component"), "first")
     best = placed.groupBy("component").agg(F.min("first").alias("keep"))
