@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import DataFrame
 
-LIMIT = 1200
+LIMIT, LINKS = 1200, 20_000
 PAGE = """<!doctype html><meta charset="utf-8"><title>Memory graph</title>
 <script id="graph" type="application/json">{data}</script>
 <table id="links"></table>
@@ -23,11 +23,13 @@ for (const r of rows) {{
 
 
 def page(nodes: DataFrame, links: DataFrame, limit: int = LIMIT) -> str:
-    """The limit nodes of highest degree and the links between them; the page is a
-    driver-side file, so the limit bounds what is collected."""
+    """The limit nodes of highest degree and the links between them, of each pair and
+    predicate one, at most LINKS; the page is a driver-side file, so both limits bound
+    what is collected."""
     from ..operators.graph import capped
 
     top, kept = capped(nodes, links, limit)
+    kept = kept.select("source", "target", "predicate").distinct().orderBy("source", "target", "predicate").limit(LINKS)
     data = {
         "nodes": [{"id": r["entity_id"], "name": r["canonical_name"], "type": r["type"], "degree": r["degree"]} for r in top.collect()],
         "links": [{"source": r["source"], "target": r["target"], "predicate": r["predicate"]} for r in kept.collect()],

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import io
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Compressed bytes that are decoded at a time.
+PIECE = 1 << 20
 SESSION_EVENT = (
     "type STRING, seq LONG, time TIMESTAMP, data STRUCT<turn: INT, source: STRUCT<kind: STRING, plugin: STRING>, "
     "content: ARRAY<STRUCT<type: STRING, text: STRING>>, message: STRUCT<content: ARRAY<STRUCT<type: STRING, text: STRING>>>, reason: STRUCT<kind: STRING>>"
@@ -16,22 +18,34 @@ SESSION_EVENT = (
 QA = "questions ARRAY<STRING>, answers ARRAY<ARRAY<STRING>>, context STRING, metadata STRUCT<source: STRING, question_ids: ARRAY<STRING>, question_types: ARRAY<STRING>>"
 
 
-def whole_lines(blob: bytes) -> list[str]:
-    """Lines of all complete frames; a torn tail is dropped."""
+def frames_of(blob: bytes) -> Iterator[bytes]:
+    """Contents of the complete frames, in pieces; a torn last frame gives nothing."""
     import zstandard
 
-    out, data = io.BytesIO(), blob
+    data = memoryview(blob)
     while data:
         frame = zstandard.ZstdDecompressor().decompressobj()
+        pieces, at = [], 0
         try:
-            out.write(frame.decompress(data))
+            while at < len(data) and not frame.eof:
+                pieces.append(frame.decompress(data[at : at + PIECE]))
+                at = min(at + PIECE, len(data))
         except zstandard.ZstdError:
-            break
+            return
         if not frame.eof:
-            break
-        data = frame.unused_data
-    text = out.getvalue().decode("utf-8", "replace")
-    return [x for x in text.split("\n") if x.strip()]
+            return
+        yield from pieces
+        data = data[at - len(frame.unused_data) :]
+
+
+def whole_lines(blob: bytes) -> Iterator[str]:
+    """Lines of all complete frames that aren't blank, one frame in memory at a time."""
+    rest = b""
+    for piece in frames_of(blob):
+        *lines, rest = (rest + piece).split(b"\n")
+        yield from (t for x in lines if (t := x.decode("utf-8", "replace")).strip())
+    if rest.strip():
+        yield rest.decode("utf-8", "replace")
 
 
 def read_zstd_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -40,10 +54,10 @@ def read_zstd_lines(spark: SparkSession, path: str) -> DataFrame:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = whole_lines(blob)
-                for i in range(0, len(lines), 10_000):
-                    part = lines[i : i + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(i, i + len(part)), pa.int64()), pa.array(part)], names=["path", "line_no", "value"])
+                lines, at = whole_lines(blob), 0
+                while part := list(itertools.islice(lines, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(at, at + len(part)), pa.int64()), pa.array(part)], names=["path", "line_no", "value"])
+                    at += len(part)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(decoded, "path string, line_no long, value string")
