@@ -90,8 +90,40 @@ def stem(w: Column) -> Column:
 
 
 def stems_of(c: Column) -> Column:
-    """Distinct stems of a text's words."""
-    return F.array_distinct(F.transform(words_of(c), stem))
+    """Distinct stems of a text's words, each distinct word being stemmed once."""
+    return F.array_distinct(F.transform(F.array_distinct(words_of(c)), stem))
+
+
+def words_with_stem(s: str) -> list[str]:
+    """All Latin words whose stem is s: the rules of stem, read backwards."""
+    cut = {s, s + "e"}
+    grown = {w + ending for w in cut for ending in ("", "s", "es", "ed", "ing")} | {w[:-1] + "ies" for w in cut if w.endswith("y")}
+    return sorted(w for w in grown if stem_word(w) == s)
+
+
+def matched_stems(c: Column, stems: list[str]) -> Column:
+    """Which of the given stems a text's words have, without stemming the text: for
+    Latin stems the words that have them are looked up, CJK tokens as words_of makes
+    them: pairs anywhere, others as whole runs."""
+    low = F.lower(c)
+    by = {s: words_with_stem(s) for s in stems if s.isascii()}
+    known = sorted({w for ws in by.values() for w in ws})
+    found = F.array_intersect(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)), array_of(known)) if known else F.expr("cast(array() as array<string>)")
+
+    def held(words: Column) -> Column:
+        out = []
+        for s in stems:
+            if s in by:
+                has = F.arrays_overlap(words, array_of(by[s])) if by[s] else F.lit(False)
+            elif len(s) == 2:
+                has = F.contains(low, F.lit(s))
+            else:
+                has = low.rlike(f"(?<![一-鿿]){s}(?![一-鿿])")
+            out.append(F.when(has, F.lit(s)))
+        return F.array_compact(F.array(*out)) if out else F.expr("cast(array() as array<string>)")
+
+    # a lambda, so that the words are taken from the text once
+    return F.element_at(F.transform(F.array(found), held), 1)
 
 
 def query_words(query: str) -> list[str]:
@@ -119,6 +151,7 @@ def query_stems(query: str) -> list[str]:
     return sorted({stem_word(w) for w in query_words(query) if w not in STOPWORDS})
 
 
+# The openings of a question, and vague nouns, that describe nothing.
 def key_descriptors(query: str) -> list[str]:
     q = re.sub(r"^(what|when|where|who|why|how|which|would|did|does|is|are|has|have|do)\s+", "", query.lower())
     q = re.sub(r"\b(kind|type|sort) of\b", " ", q)

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_name
-from ..schema import JOURNAL_OPS
+from ..schema import JOURNAL_OPS, PAYLOAD
+
+#: Names that are sent to the workers at a time.
+NAMES = 200_000
 
 
 def valid_records(journal: DataFrame) -> DataFrame:
@@ -53,6 +60,14 @@ def names(entities: DataFrame) -> DataFrame:
     return named.groupBy("norm_name").agg(F.max_by(F.struct("id", "type"), "ins_seq").alias("o")).select("norm_name", "o.id", "o.type")
 
 
+def find_by_name(asked: DataFrame, name: str, entities: DataFrame, kind: str | None = None) -> DataFrame:
+    """asked with id and type of the entity that owns the name or alias, if any; with
+    kind only if it is of that type."""
+    owned = names(entities)
+    owned = owned.where(F.col("type") == kind) if kind else owned
+    return asked.withColumn("norm_name", norm_name(F.col(name))).join(owned, "norm_name", "left").drop("norm_name")
+
+
 def degrees(events: DataFrame) -> DataFrame:
     """(entity_id, degree): occurrences as subject or object, with multiplicity."""
     return events.select(F.explode(F.concat("subject_ids", "object_ids")).alias("entity_id")).groupBy("entity_id").agg(F.count("*").alias("degree"))
@@ -78,8 +93,9 @@ def delete_entity(entities: DataFrame, events: DataFrame, entity_id: str) -> tup
 
 
 def mark_superseded(events: DataFrame, marks: DataFrame) -> DataFrame:
-    """marks (old_id, new_id): set where both events exist; the last mark of an event wins."""
-    known = marks.join(events.select(F.col("id").alias("new_id")), "new_id", "left_semi").groupBy("old_id").agg(F.max("new_id").alias("new_id"))
+    """marks (old_id, new_id, seq): set where both events exist; the mark of an event
+    with the largest seq wins."""
+    known = marks.join(events.select(F.col("id").alias("new_id")), "new_id", "left_semi").groupBy("old_id").agg(F.max_by("new_id", F.struct("seq", "new_id")).alias("new_id"))
     return events.join(known, events["id"] == known["old_id"], "left").withColumn("superseded_by", F.coalesce("new_id", "superseded_by")).drop("old_id", "new_id")
 
 
@@ -107,10 +123,122 @@ def resolve_or_create(mentions: DataFrame, entities: DataFrame) -> tuple[DataFra
     return resolved, fresh
 
 
+def accrete(resolved: DataFrame, entities: DataFrame) -> DataFrame:
+    """The entities that gain aliases, with those added in the order met: names and
+    aliases of resolved mentions (id, name, seq, and aliases if there are) whose
+    normalized form is neither the canonical name's nor an alias's yet."""
+    clean = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), r"^ | $", "")
+    offered = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))) if "aliases" in resolved.columns else F.array("name")
+    every = resolved.select("id", "seq", F.posexplode(offered).alias("pos", "alias")).withColumns({"alias": clean(F.col("alias")), "norm": norm_name(F.col("alias"))})
+    at = F.struct("seq", "pos")
+    first = every.where("norm <> ''").groupBy("id", "norm").agg(F.min_by("alias", at).alias("alias"), F.min(at).alias("at"))
+    held = entities.select("id", F.explode(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n")).select("id", norm_name(F.col("n")).alias("norm"))
+    more = first.join(held, ["id", "norm"], "left_anti").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "alias"))), lambda x: x["alias"]).alias("_more"))
+    return entities.join(more, "id").withColumn("aliases", F.concat(F.coalesce("aliases", F.array().cast("array<string>")), "_more")).drop("_more")
+
+
+def records(op: str, rows: DataFrame) -> DataFrame:
+    """Journal records (v, op, data) of rows, whose missing fields are null."""
+    fields = [x.split(" ", 1) for x in PAYLOAD.split(", ")]
+    data = F.struct(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(t.lower()).alias(n) for n, t in fields])
+    return rows.select(F.lit(1).alias("v"), F.lit(op).alias("op"), data.alias("data"))
+
+
+_AUTOMATA: dict[str, object] = {}
+
+
+def _automaton(key: str, block: tuple):
+    """Built once a worker and block; a worker keeps the last."""
+    import ahocorasick
+
+    if key in _AUTOMATA:
+        return _AUTOMATA[key]
+    _AUTOMATA.clear()
+    found = ahocorasick.Automaton()
+    by: dict = {}
+    for name, owner in block:
+        by.setdefault(name, []).append(owner)
+    for name, owners in by.items():
+        found.add_word(name, owners)
+    found.make_automaton()
+    _AUTOMATA[key] = found
+    return found
+
+
+def contained(texts: DataFrame, text: str, named: DataFrame, block: int = NAMES) -> DataFrame:
+    """texts with each key of named (key, name) whose name, in lower case and not
+    empty, the text contains, once a pair.  Names go to the workers in blocks, whatever
+    their number, and a text is searched for a block's names in one pass; texts
+    aren't moved."""
+    kinds, columns = dict(texts.dtypes), texts.columns
+    key_kind = dict(named.dtypes)["key"]
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), f"key {key_kind}"])
+    lowered = texts.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+
+    def searched(part: list) -> DataFrame:
+        sent, name = texts.sparkSession.sparkContext.broadcast(tuple(part)), uuid.uuid4().hex
+
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(name, sent.value) if sent.value else None
+            for b in batches:
+                at, keys = [], []
+                for i, t in enumerate(b.column(b.num_columns - 1).to_pylist() if automaton else ()):
+                    met = {k: None for _, owners in automaton.iter(t) for k in owners}
+                    at += [i] * len(met)
+                    keys += met
+                rows = b.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(keys, kind_of(key_kind))], names=[*columns, "key"])
+
+        return lowered.mapInArrow(found, schema)
+
+    out, part = None, []
+    for r in named.select(F.lower("name").alias("name"), "key").where("name <> ''").distinct().toLocalIterator():
+        part.append((r["name"], r["key"]))
+        if len(part) == block:
+            out = searched(part) if out is None else out.union(searched(part))
+            part = []
+    if part or out is None:
+        out = searched(part) if out is None else out.union(searched(part))
+    return out
+
+
+def kind_of(name: str) -> pa.DataType:
+    return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[name]
+
+
+def name_list(entities: DataFrame, least: int = 1) -> DataFrame:
+    """(key, name) of canonical names and aliases of at least `least` characters; key: the entity."""
+    every = F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>"))) if "aliases" in entities.columns else F.array("canonical_name")
+    return entities.select(F.col("id").alias("key"), F.explode(F.array_distinct(F.transform(every, lambda n: F.lower(F.trim(n))))).alias("name")).where(F.length("name") >= least)
+
+
 def mentions_in(texts: DataFrame, text: str, entities: DataFrame, least: int = 1) -> DataFrame:
-    """texts joined with the entities whose names (of at least `least` characters)
-    they contain.  Containment has no equi-key: names are broadcast, texts are
-    not moved; the name list is the dimension side and Spark checks its size."""
-    named = entities.select("id", F.explode(F.array_distinct(F.transform(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda n: F.lower(F.trim(n))))).alias("_name"))
-    named = named.where(F.length("_name") >= least).select(F.col("id").alias("entity_id"), "_name")
-    return texts.join(named, F.contains(F.lower(F.col(text)), F.col("_name"))).drop("_name").distinct()
+    """texts with entity_id of each entity one of whose names (of at least `least`
+    characters) they contain."""
+    return contained(texts, text, name_list(entities, least)).withColumnRenamed("key", "entity_id").distinct()
+
+
+def orphans(events: DataFrame) -> DataFrame:
+    """Remembered facts that no entity is linked to yet."""
+    return events.where((F.col("predicate") == "remembered") & (F.size("subject_ids") == 0))
+
+
+def retro_link(events: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, subject_ids, object_ids) of the orphans that hold names of entities by now:
+    the first entity, by insertion, is the subject and the others are objects."""
+    held = mentions_in(orphans(events).select("id", "normalized_text"), "normalized_text", entities, 2)
+    placed = held.join(entities.select(F.col("id").alias("entity_id"), "ins_seq"), "entity_id")
+    listed = placed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ins_seq", "entity_id"))), lambda s: s["entity_id"]).alias("e"))
+    return listed.select("id", F.slice("e", 1, 1).alias("subject_ids"), F.expr("slice(e, 2, greatest(size(e) - 1, 0))").alias("object_ids"))
+
+
+def text_filter(links: DataFrame, asked: str) -> DataFrame:
+    """Links (predicate, source_name, target_name, fact) one of whose texts holds what is
+    asked, whatever the case; all if nothing is."""
+    low = F.lower(F.concat_ws("\n", "fact", "predicate", "source_name", "target_name"))
+    return links.where(F.contains(low, F.lit(asked.strip().lower())))
+
+
+def by_time_label(links: DataFrame) -> DataFrame:
+    """Links, newest label first; labels are compared as texts."""
+    return links.orderBy(F.desc_nulls_last("label"), "id")

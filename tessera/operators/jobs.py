@@ -2,10 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..schema import JOB_LOG
+from ..sources.journal import numbered_lines, write_lines
+from .models import retry_delay
+
 KEEP_ABANDONED, MAX_ROUNDS = 100, 10
+#: Seconds before the attempts after the first, the last repeating; between job starts.
+BACKOFF, START_GAP = (15, 60, 180, 600), 3.0
+KINDS = ("pending", "failed", "settled", "abandoned")
+RECORD = [x.split()[0] for x in JOB_LOG.split(", ")][1:]
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log's records in order; lines that are no record, such as a torn last one, are skipped."""
+    lines = numbered_lines(spark, path)
+    parsed = F.from_json("value", ", ".join(x for x in JOB_LOG.split(", ") if not x.startswith("seq ")))
+    return lines.select("seq", parsed.alias("r")).select("seq", "r.*").where(F.col("kind").isin(*KINDS) & F.col("session_id").isNotNull())
+
+
+def append_log(records: DataFrame, path: str) -> None:
+    """Add records of any of the four kinds; columns that a kind has no use for are null."""
+    types = dict(x.split(" ", 1) for x in JOB_LOG.split(", "))
+    whole = records.withColumns({c: F.lit(None).cast(types[c].lower()) for c in RECORD if c not in records.columns})
+    write_lines(whole, RECORD, path)
+
+
+def enqueued(turns: DataFrame, log: DataFrame) -> DataFrame:
+    """Pending records of turns (session_id, turn, job) that aren't outstanding already;
+    a turn is free again once it is settled or abandoned."""
+    open_ = fold(log).select("session_id", "turn")
+    return turns.dropDuplicates(["session_id", "turn"]).join(open_, ["session_id", "turn"], "left_anti").select(F.lit("pending").alias("kind"), "session_id", "turn", "job", F.lit(0).alias("failures"))
+
+
+def booked(log: DataFrame, results: DataFrame, at: str, cap: int = MAX_ROUNDS) -> DataFrame:
+    """Records of a round's results (session_id, turn, ok, error): settled, or failed with
+    the round counted, or abandoned where that reaches the cap."""
+    state = results.join(fold(log).select("session_id", "turn", F.col("failures").alias("_f")), ["session_id", "turn"])
+    rounds = F.col("_f") + 1
+    kind = F.when(F.col("ok"), "settled").when(rounds >= cap, "abandoned").otherwise("failed")
+    told = lambda c: F.when(~F.col("ok"), c)
+    return state.select(kind.alias("kind"), "session_id", "turn", told(rounds).cast("int").alias("failures"), told(F.col("error")).alias("error"), told(F.lit(at).cast("timestamp")).alias("at"))
+
+
+def requeued(log: DataFrame, at: str, cap: int = MAX_ROUNDS, failed_only: bool = False) -> DataFrame:
+    """Records that a retry pass writes for outstanding jobs: pending again, with the
+    failures and the last error carried, or abandoned where the rounds are used up."""
+    state = fold(log).where("job IS NOT NULL")
+    state = state.where("last_at IS NOT NULL") if failed_only else state
+    over = F.col("failures") >= cap
+    kind = F.when(over, "abandoned").otherwise("pending")
+    error = F.when(over, F.coalesce("last_error", F.lit("retries exhausted"))).otherwise(F.col("last_error"))
+    return state.select(kind.alias("kind"), "session_id", "turn", F.when(~over, F.col("job")).alias("job"), "failures", error.alias("error"), F.when(over, F.lit(at).cast("timestamp")).otherwise(F.col("last_at")).alias("at"), "first_seq").orderBy("first_seq").drop("first_seq")
+
+
+def next_attempt(attempt: Column, r: Column) -> Column:
+    """Seconds to wait after the given attempt (from 1) failed; r in [0, 1) is given."""
+    base = F.element_at(F.array(*map(F.lit, BACKOFF)), F.least(F.greatest(attempt, F.lit(1)), F.lit(len(BACKOFF))).cast("int"))
+    return retry_delay(base * 1000, r) / 1000
+
+
+def paced(jobs: DataFrame, order: str = "first_seq", gap: float = START_GAP) -> DataFrame:
+    """jobs with start_after, seconds from now: fresh starts are `gap` apart, in order.  The
+    jobs are one batch's, which the stream's trigger bounds, so one window numbers them."""
+    return jobs.withColumn("start_after", (F.row_number().over(Window.orderBy(order)) - 1) * F.lit(gap))
 
 
 def fold(log: DataFrame, keys: tuple[str, ...] = ("session_id", "turn")) -> DataFrame:

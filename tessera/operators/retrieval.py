@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.temporal import TemporalOp
-from ..functions.text import array_of, state_family, stems_of
+from ..functions.text import array_of, matched_stems, state_family
 
 SPEECH, SUPERSEDED, BUCKET = 0.3, 0.3, 0.25
 ENTITY_BONUS, OVERLAP, EXPANSION, EXPANSION_CAP, DESCRIPTOR = 0.5, 2.0, 0.25, 2.0, 0.5
 TOPIC_RATE, TOPIC_CAP, TOPIC_ANCHORS, TURN_ANCHORS = 0.25, 1.8, 10, 5
 HOP_HITS, HOP_EVENTS = 15, 200
+TOPIC_TYPES = ("OBJECT", "CONCEPT")
 
 
 def speech_factor(speech: Column) -> Column:
@@ -71,7 +72,7 @@ def keyword_scores(pool: DataFrame, query: list[str], expansion: list[str] = (),
 def dense_slice(events: DataFrame, query_vector: list[float] | None, words: list[str], n: int) -> DataFrame:
     """The n first by cosine, or by raw overlap where there's no vector, each less
     for speech; only then are scores that aren't positive dropped."""
-    raw = F.size(F.array_intersect(stems_of(F.col("event_text")), array_of(words))).cast("double") if words else F.lit(0.0)
+    raw = F.size(matched_stems(F.col("event_text"), words)).cast("double") if words else F.lit(0.0)
     if query_vector is None:
         score = raw
     else:
@@ -119,16 +120,21 @@ def turn_boost(gap: Column, score: Column) -> Column:
 
 def locality(scored: DataFrame, session: str = "source_session", turn: str = "source_turn", anchors: int = TURN_ANCHORS) -> DataFrame:
     """turn_boost: the best over the top anchors of the same session within two
-    turns.  The anchors are a handful of rows, so they are broadcast."""
-    top = scored.orderBy(F.desc("score"), "ins_seq").limit(anchors).select(F.col(session).alias("_s"), F.col(turn).alias("_t"), F.col("score").alias("_score"))
-    near = (F.col(session) == F.col("_s")) & F.abs(F.col(turn) - F.col("_t")).between(0, 2)
+    turns.  Rows without a session, or of no turn (a negative one), are neither
+    boosted nor anchors.  The anchors are a handful of rows, so they are broadcast."""
+    of_turn = lambda s, t: (F.col(s).cast("string") != "") & (F.col(t) >= 0)
+    top = scored.orderBy(F.desc("score"), "ins_seq").limit(anchors).select(F.col(session).alias("_s"), F.col(turn).alias("_t"), F.col("score").alias("_score")).where(of_turn("_s", "_t"))
+    near = (F.col(session) == F.col("_s")) & F.abs(F.col(turn) - F.col("_t")).between(0, 2) & of_turn(session, turn)
     ids = [c for c in scored.columns if c == "id"]
     joined = scored.join(F.broadcast(top), near).groupBy(*ids).agg(F.max(turn_boost(F.col(turn) - F.col("_t"), F.col("_score"))).alias("turn_boost"))
     return scored.join(joined, "id", "left").withColumn("turn_boost", F.coalesce("turn_boost", F.lit(0.0)))
 
 
-def topic_boost(scored: DataFrame, bridge: DataFrame, anchors: int = TOPIC_ANCHORS) -> DataFrame:
-    """topic_boost: by the best of the top anchors that shares an entity."""
+def topic_boost(scored: DataFrame, bridge: DataFrame, entities: DataFrame, anchors: int = TOPIC_ANCHORS) -> DataFrame:
+    """topic_boost: by the best of the top anchors that shares a topic, an entity
+    (id, type) that is no person."""
+    topics = entities.where(F.col("type").isin(*TOPIC_TYPES)).select(F.col("id").alias("entity_id"))
+    bridge = bridge.join(topics, "entity_id", "left_semi")
     top = scored.orderBy(F.desc("score"), "ins_seq").limit(anchors).select(F.col("id").alias("event_id"), F.col("score").alias("_score"))
     topics = bridge.join(F.broadcast(top), "event_id").groupBy("entity_id").agg(F.max("_score").alias("_score"))
     best = bridge.join(F.broadcast(topics), "entity_id").groupBy(F.col("event_id").alias("id")).agg(F.max("_score").alias("_score"))
