@@ -46,6 +46,11 @@ st AS (SELECT DISTINCT doc_id, CASE WHEN s LIKE '%e' AND length(s) > 3 THEN left
 LIST = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
 
 
+def keyword_pool(spark: SparkSession, d: str, words: list[str]) -> DataFrame:
+    """documents as facts with those of the words' stems that they hold."""
+    return T(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ins_seq"), text.matched_stems(F.col("text"), words).alias("stems"))
+
+
 def fact_pool(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ins_seq"), text.stems_of(F.col("text")).alias("stems"))
 
@@ -80,32 +85,44 @@ m AS (SELECT d.doc_id AS id, coalesce(sum(idf), 0.0) AS mass, count(dfs.stem) AS
 
 @query(f"{KEYED} SELECT id, round(mass / t, 6) AS overlap, round(k / {float(len(WORDS))}, 6) AS coverage, round(mass, 6) AS mass FROM m, tot")
 def coverage_mass(spark, d):
-    scored = retrieval.keyword_scores(fact_pool(spark, d), WORDS)
+    scored = retrieval.keyword_scores(keyword_pool(spark, d, WORDS), WORDS)
     return scored.select("id", *[F.round(c, 6).alias(c) for c in ("overlap", "coverage", "mass")])
 
 
 @query(f"""{KEYED} SELECT id, round(2 * mass / t, 6) AS score, row_number() OVER (ORDER BY floor(round(2 * mass / t, 9) / 0.25 + 0.5) DESC, k DESC, round(mass, 9) DESC, id) AS place FROM m, tot QUALIFY place <= 20""")
 def keyword_topk(spark, d):
-    scored = retrieval.keyword_scores(fact_pool(spark, d), WORDS).withColumns({"score": F.round(retrieval.OVERLAP * F.col("overlap"), 9), "mass": F.round("mass", 9)})
+    scored = retrieval.keyword_scores(keyword_pool(spark, d, WORDS), WORDS).withColumns({"score": F.round(retrieval.OVERLAP * F.col("overlap"), 9), "mass": F.round("mass", 9)})
     top = scored.orderBy(F.desc(retrieval.bucket(F.col("score"))), F.desc("coverage"), F.desc("mass"), "ins_seq").limit(20)
     place = F.row_number().over(Window.orderBy(F.desc(retrieval.bucket(F.col("score"))), F.desc("coverage"), F.desc("mass"), "ins_seq"))
     return top.select("id", F.round("score", 6).alias("score"), place.cast("long").alias("place"))
 
 
-CJK = [(1, "我们去北京 and Shanghai"), (2, "猫"), (3, "Plain words, no more."), (4, "会议 notes 会"), (5, "")]
+# digits as CJK signs, so that numbers of several lengths become runs
+CJK_NAME = "translate(c_name || ' ' || c_mktsegment || c_custkey, '0123456789#', '零一二三四五六七八九 ')"
 
 
-@query(f"SELECT id, terms FROM {A.values_sql([(1, 'and shanghai 我们去北京 我们 们去 去北 北京'), (2, '猫'), (3, 'plain words no more'), (4, 'notes 会议 会议 会'), (5, '')], 'id, terms')}")
+@query(f"""WITH n AS (SELECT c_custkey, lower({CJK_NAME}) AS t FROM customer),
+g AS (SELECT c_custkey, t, list_transform(regexp_extract_all(t, '[一-鿿]+'), lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_concat([r], list_transform(range(1, length(r)), lambda i: substring(r, i, 2))) END) AS runs FROM n)
+SELECT c_custkey, array_to_string(list_concat(regexp_extract_all(t, '[a-z]+'), flatten(runs)), ' ') AS terms FROM g""")
 def token_bigrams_cjk(spark, d):
-    return A.values(spark, CJK, "id long, s string").select("id", F.array_join(text.words_of(F.col("s")), " ").alias("terms"))
+    name = F.translate(F.concat("c_name", F.lit(" "), "c_mktsegment", F.col("c_custkey").cast("string")), "0123456789#", "零一二三四五六七八九 ")
+    return T(spark, d, "customer").select("c_custkey", F.array_join(text.words_of(name), " ").alias("terms"))
 
 
-DESCRIBED = [(1, "What kind of stories did the hikers like about mountains?"), (2, "Where would she be going together?"), (3, "list all the roasted things")]
+STOP_SQL = ", ".join(f"'{w}'" for w in [*text.STOPWORDS, *text.LIGHT_WORDS])
 
 
-@query(f"SELECT id, terms, is_list FROM {A.values_sql([(1, 'about hiker mountain story', False), (2, 'going', False), (3, 'list roast', True)], 'id, terms, is_list')}")
+@query(rf"""WITH q AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN 'What kind of ' || p_name || 's did the ' || lower(p_type) || ' ones really like?' WHEN p_partkey % 3 = 1 THEN 'list all the things and ' || p_name || ' going there' ELSE 'Where is ' || p_name || '?' END AS q FROM part),
+b AS (SELECT q, regexp_replace(regexp_replace(lower(q), '^(what|when|where|who|why|how|which|would|did|does|is|are|has|have|do)\s+', ''), '\b(kind|type|sort) of\b', ' ', 'g') AS t FROM q),
+w AS (SELECT q, unnest(regexp_extract_all(t, '[a-z]+')) AS w FROM b), k AS (SELECT q, {STEM_SQL.format(w='w')} AS s FROM w WHERE length(w) > 3 AND w NOT IN ({STOP_SQL})),
+e AS (SELECT q, CASE WHEN s LIKE '%e' AND length(s) > 3 THEN left(s, length(s) - 1) ELSE s END AS s FROM k)
+SELECT b.q AS question, coalesce(string_agg(DISTINCT s, ' ' ORDER BY s), '') AS terms, regexp_matches(lower(b.q), '^(what|which|list|name)\b') AND regexp_matches(lower(b.q), 'all the|kinds of|types of|things|items|do to|like to') AS is_list FROM b LEFT JOIN e USING (q) GROUP BY b.q""")
 def key_descriptors(spark, d):
-    return A.values(spark, [(i, " ".join(text.key_descriptors(q)), text.is_list_question(q)) for i, q in DESCRIBED], "id long, terms string, is_list boolean")
+    """Questions are read on the driver, one at a time, as each is one user's."""
+    k = F.col("p_partkey") % 3
+    asked = F.when(k == 0, F.concat(F.lit("What kind of "), "p_name", F.lit("s did the "), F.lower("p_type"), F.lit(" ones really like?"))).when(k == 1, F.concat(F.lit("list all the things and "), "p_name", F.lit(" going there"))).otherwise(F.concat(F.lit("Where is "), "p_name", F.lit("?")))
+    rows = [(r["q"], " ".join(text.key_descriptors(r["q"])), text.is_list_question(r["q"])) for r in T(spark, d, "part").select(asked.alias("q")).distinct().toLocalIterator()]
+    return A.values(spark, rows, "question string, terms string, is_list boolean")
 
 
 @query(r"SELECT c_custkey, trim(regexp_replace(lower(c_name || '   #' || c_mktsegment), '\s+', ' ', 'g')) AS name FROM customer")
@@ -119,30 +136,36 @@ def cap_text(spark, d):
     return T(spark, d, "documents").select("doc_id", (F.length("text") > text.CAP).alias("cut"), F.length(c).cast("long").alias("n"), F.md5(c).alias("digest"))
 
 
-LONG = "x" * 310
-DISTILL = [(1, "Short?"), (2, f"{LONG}\nUser: what now: where is it?\nbye"), (3, f"{LONG}\nno question"), (4, f"问题：在哪里？\n{LONG}"), (5, f"{LONG}\nIs it: so? yes: fine")]
-DISTILLED = [(1, "Short?"), (2, "where is it?"), (3, f"{LONG}\nno question"), (4, "在哪里？"), (5, "Is it: so? yes: fine")]
-
-
-@query(f"SELECT id, line FROM {A.values_sql(DISTILLED, 'id, line')}")
+@query(r"""WITH s AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN text || chr(10) || 'Now: what of ' || role || ': is it so? ' || chr(10) || 'end' WHEN 2 THEN '问题：' || role || '在哪里？' || chr(10) || text ELSE left(text, 40) || '?' END AS s FROM conversations),
+l AS (SELECT *, list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '[?？]')) AS q FROM s), t AS (SELECT *, q[-1] AS line FROM l)
+SELECT conv_id, turn, md5(CASE WHEN length(s) <= 300 THEN s ELSE coalesce(CASE WHEN regexp_matches(regexp_extract(line, '^.*(?:: |：)(.*)$', 1), '[?？]') THEN regexp_extract(line, '^.*(?:: |：)(.*)$', 1) ELSE line END, s) END) AS line FROM t""")
 def distill_line(spark, d):
-    return A.values(spark, DISTILL, "id long, s string").select("id", text.distill(F.col("s")).alias("line"))
+    k, role = F.col("turn") % 4, F.col("role")
+    asked = F.when(k == 0, F.col("text")).when(k == 1, F.concat("text", F.lit("\nNow: what of "), role, F.lit(": is it so? \nend"))).when(k == 2, F.concat(F.lit("问题："), role, F.lit("在哪里？\n"), "text")).otherwise(F.concat(F.left("text", F.lit(40)), F.lit("?")))
+    return T(spark, d, "conversations").select("conv_id", "turn", F.md5(text.distill(asked)).alias("line"))
 
 
-SECRETS = [(1, "Authorization: Bearer abcdef123456"), (2, 'token = "69760a67bd64a3a7"'), (3, "plain sk-abcdef1234 text"), (4, "short key=abc"), (5, "0123456789abcdef0123456789abcdef0123")]
+def _secret_sql(column: str) -> str:
+    out = column
+    for pattern, put in text.SECRETS:
+        flags, bare = ("gi", pattern[4:]) if pattern.startswith("(?i)") else ("g", pattern)
+        out = f"regexp_replace({out}, '{bare.replace(chr(39), chr(39) * 2)}', '{put.replace('$', chr(92))}', '{flags}')"
+    return out
 
 
-@query(f"SELECT id, clean FROM {A.values_sql([(1, 'Authorization: *** ***'), (2, 'token = \"***\"'), (3, 'plain *** text'), (4, 'short key=abc'), (5, '***')], 'id, clean')}")
+@query(f"SELECT doc_id, md5({_secret_sql('text')}) AS clean, {_secret_sql('text')} <> text AS had FROM documents")
 def secret_scrub(spark, d):
-    return A.values(spark, SECRETS, "id long, s string").select("id", text.scrub_secrets(F.col("s")).alias("clean"))
+    clean = text.scrub_secrets(F.col("text"))
+    return T(spark, d, "documents").select("doc_id", F.md5(clean).alias("clean"), (clean != F.col("text")).alias("had"))
 
 
-FIELDS = [(1, " PREDICATE "), (2, "_"), (3, " likes tea "), (4, "UNKNOWN"), (5, "unknown")]
+FIELD_OF = "CASE o_orderkey % 5 WHEN 0 THEN ' PREDICATE ' WHEN 1 THEN '_' WHEN 2 THEN ' ' || o_orderpriority || ' ' WHEN 3 THEN 'UNKNOWN' ELSE lower('UNKNOWN') END"
+PLACEHOLDER_SQL = ", ".join(f"'{w}'" for w in text.PLACEHOLDERS)
 
 
-@query(f"SELECT id, field FROM {A.values_sql([(1, ''), (2, ''), (3, 'likes tea'), (4, ''), (5, 'unknown')], 'id, field')}")
+@query(f"SELECT o_orderkey, CASE WHEN trim({FIELD_OF}) IN ({PLACEHOLDER_SQL}) THEN '' ELSE trim({FIELD_OF}) END AS field FROM orders")
 def field_clean(spark, d):
-    return A.values(spark, FIELDS, "id long, s string").select("id", text.clean_field(F.col("s")).alias("field"))
+    return T(spark, d, "orders").select("o_orderkey", text.clean_field(F.expr(FIELD_OF)).alias("field"))
 
 
 @query("SELECT event_id, '- [' || coalesce(CASE WHEN event_id % 3 <> 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END, strftime(ts, '%Y-%m-%d')) || '] ' || event_type || CASE WHEN event_id % 2 = 0 THEN ' (d' || event_id || ')' ELSE '' END || CASE WHEN event_id % 5 = 0 THEN ' [superseded — newer value exists]' ELSE '' END AS line FROM events")
@@ -157,20 +180,26 @@ def props_json(spark, d):
     return T(spark, d, "events").select("event_id", F.from_json("props", "k LONG")["k"].alias("k"))
 
 
-LITERALS = [(1, "42"), (2, "v1.2.3"), (3, "10ms"), (4, "None"), (5, "camelCase"), (6, "MAX_SIZE"), (7, "notes.md"), (8, "~/x"), (9, "Alice"), (10, "1.5")]
+def _kind_sql(column: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{p}') THEN '{k}'" for k, p in text.LITERAL_KINDS) + " END"
 
 
-@query(f"SELECT id, kind FROM {A.values_sql([(1, 'number'), (2, 'version'), (3, 'quantity'), (4, 'boolean'), (5, 'camelCase'), (6, 'SCREAMING_SNAKE'), (7, 'filename'), (8, 'path'), (9, None), (10, 'number')], 'id, kind')}")
+SPELLED = "CASE event_id % 8 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN 'v' || event_id || '.2.3' WHEN 2 THEN event_id || 'ms' WHEN 3 THEN 'None' WHEN 4 THEN event_type || 'Name' || event_id WHEN 5 THEN upper(event_type) || '_SIZE' WHEN 6 THEN event_type || event_id || '.md' ELSE CASE WHEN event_id % 3 = 0 THEN '~/' || event_type ELSE initcap_first || ' thing' END END"
+
+
+@query(f"WITH e AS (SELECT event_id, event_type, upper(left(event_type, 1)) || substring(event_type, 2) AS initcap_first FROM events), n AS (SELECT event_id, {SPELLED} AS s FROM e) SELECT event_id, {_kind_sql('s')} AS kind FROM n")
 def literal_kinds(spark, d):
-    return A.values(spark, LITERALS, "id long, s string").select("id", text.literal_kind(F.col("s")).alias("kind"))
+    e = T(spark, d, "events").select(F.col("event_id").cast("long"), "event_type", F.initcap("event_type").alias("initcap_first"))
+    return e.select("event_id", text.literal_kind(F.expr(SPELLED.replace("VARCHAR", "STRING"))).alias("kind"))
 
 
-PREDICATES = [(1, "was_changed_to"), (2, "does_not_support"), (3, "defaults_to"), (4, "不喜欢_likes"), (5, "is_of")]
+PREDICATE_OF = "CASE p_partkey % 4 WHEN 0 THEN 'was_' || replace(p_name, ' ', '_') || 's' WHEN 1 THEN 'does_not_' || lower(p_type) WHEN 2 THEN '不' || lower(p_brand) || '_is_of' ELSE 'has ' || p_name || 's and glass' END"
 
 
-@query(f"SELECT id, tokens FROM {A.values_sql([(1, 'changed'), (2, 'support'), (3, 'default'), (4, '喜欢 like'), (5, '')], 'id, tokens')}")
+@query(f"""WITH p AS (SELECT p_partkey, {PREDICATE_OF} AS s FROM part), t AS (SELECT p_partkey, list_filter(string_split_regex(lower(regexp_replace(s, '[{text.CJK_NEGATION}]', '', 'g')), '[^a-z0-9一-鿿]+'), lambda x: x <> '' AND NOT list_contains([{", ".join(f"'{w}'" for w in [*text.NEGATIONS, *text.LIGHT_VERBS])}], x)) AS t FROM p)
+SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(t, lambda x: CASE WHEN length(x) > 3 AND x LIKE '%s' AND x NOT LIKE '%ss' THEN left(x, length(x) - 1) ELSE x END))), ' ') AS tokens FROM t""")
 def predicate_tokens_overlap(spark, d):
-    return A.values(spark, PREDICATES, "id long, s string").select("id", F.array_join(text.predicate_tokens(F.col("s")), " ").alias("tokens"))
+    return T(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(text.predicate_tokens(F.expr(PREDICATE_OF))), " ").alias("tokens"))
 
 
 # ---- vectors --------------------------------------------------------------
@@ -195,13 +224,10 @@ def dense_threshold(spark, d):
 @query("""WITH c AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT c.vec_id, e.vec_id AS near, round(list_cosine_similarity(c.v, e.embedding::DOUBLE[]), 6) AS s FROM c, embeddings e WHERE e.vec_id <> c.vec_id)
 SELECT vec_id, arg_max(near, (s, -near)) AS near, max(s) AS score FROM p GROUP BY vec_id""")
 def nearest_entity(spark, d):
-    """Queries: rows with an id divisible by 20, against all rows; the query set is
-    broadcast only when its size is known small, else shuffled in blocks by id."""
-    e = T(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"))
-    s = F.round(vectors.cosine(F.col("qv"), F.col("v")), 6)
-    best = e.crossJoin(F.broadcast(q)).where("vec_id <> q").groupBy("q").agg(F.max(F.struct(s.alias("s"), (-F.col("vec_id")).alias("n"))).alias("b"))
-    return best.select(F.col("q").alias("vec_id"), (-F.col("b.n")).alias("near"), F.col("b.s").alias("score"))
+    """Queries: rows with an id divisible by 20, in blocks, against all rows."""
+    e = T(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    near = vectors.nearest(e.where("id % 20 = 0"), e)
+    return near.select(F.col("query_id").alias("vec_id"), F.col("near_id").alias("near"), "score")
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS first FROM embeddings")
@@ -219,7 +245,7 @@ def mean_pool_by_label(spark, d):
 @query(f"""{KEYED}, h AS (SELECT id, 2 * mass / t AS k2, list_cosine_similarity(e.embedding::DOUBLE[], {VSQL}) AS c FROM m CROSS JOIN tot LEFT JOIN embeddings e ON e.vec_id = m.id)
 SELECT id, round(coalesce(c, 0.0) + k2, 6) AS score FROM h ORDER BY round(coalesce(c, 0.0) + k2, 6) DESC, id LIMIT 25""")
 def hybrid_score_topk(spark, d):
-    keyed = retrieval.keyword_scores(fact_pool(spark, d), WORDS)
+    keyed = retrieval.keyword_scores(keyword_pool(spark, d, WORDS), WORDS)
     v = T(spark, d, "embeddings").select(F.col("vec_id").alias("id"), vectors.cosine(F.col("embedding").cast("array<double>"), VCOL()).alias("c"))
     score = F.round(F.coalesce("c", F.lit(0.0)) + retrieval.OVERLAP * F.col("overlap"), 6)
     return keyed.join(v, "id", "left").select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(25)
@@ -241,17 +267,21 @@ def journal_compact_counts(spark, d):
     return last.agg(F.sum("n").alias("records"), F.expr("count_if(op = 'event.add')").alias("live"), F.expr("count_if(op <> 'event.add')").alias("gone"))
 
 
-LINES = [
-    (0, '{"v":1,"op":"entity.upsert","data":{"id":"a","canonical_name":"Ann","type":"PERSON"}}'), (1, "{torn"), (2, '{"v":2,"op":"event.add","data":{"id":"x","normalized_text":"t"}}'),
-    (3, '{"v":1,"op":"event.add","data":{"id":"e1","normalized_text":"Ann sings","subject_ids":["a"],"object_ids":[]}}'), (4, '{"v":1,"op":"event.add","data":{"id":"e2"}}'), (5, '{"v":1,"op":"other","data":{"id":"q"}}'), (6, ""),
-]
+#: A line a row: records, records of another version or kind or without a field, torn and blank lines.
+LINE_OF = """CASE event_id % 9 WHEN 0 THEN '{"v":1,"op":"entity.upsert","data":{"id":"' || event_id || '","canonical_name":"' || event_type || '","type":"PERSON"}}'
+ WHEN 1 THEN '{"v":1,"op":"event.add","data":{"id":"' || event_id || '","normaliz' WHEN 2 THEN '{"v":2,"op":"event.add","data":{"id":"' || event_id || '","normalized_text":"t"}}'
+ WHEN 3 THEN '{"v":1,"op":"event.add","data":{"id":"' || event_id || '","normalized_text":"' || event_type || '","subject_ids":["a"],"object_ids":[]}}'
+ WHEN 4 THEN '{"v":1,"op":"event.add","data":{"id":"' || event_id || '"}}' WHEN 5 THEN '{"v":1,"op":"other","data":{"id":"q"}}' WHEN 6 THEN '  '
+ WHEN 7 THEN '{"v":1,"op":"event.delete","data":{"id":"' || event_id || '"}}' ELSE '{"v":1,"op":"event.delete","data":{}}' END"""
 
 
-@query("SELECT CAST(4 AS BIGINT) AS corrupt, CAST(2 AS BIGINT) AS valid")
+@query(f"""WITH l AS (SELECT {LINE_OF} AS l FROM events), f AS (SELECT l, CASE WHEN json_valid(l) THEN CAST(l AS JSON) END AS j FROM l WHERE trim(l) <> ''),
+g AS (SELECT coalesce(j->>'$.v' = '1' AND j->>'$.op' IN ('entity.upsert', 'entity.delete', 'event.add', 'event.delete') AND j->>'$.data.id' IS NOT NULL AND (j->>'$.op' <> 'event.add' OR j->>'$.data.normalized_text' IS NOT NULL) AND (j->>'$.op' <> 'entity.upsert' OR j->>'$.data.canonical_name' IS NOT NULL), FALSE) AS ok FROM f)
+SELECT count(*) FILTER (NOT ok) AS corrupt, count(*) FILTER (ok) AS valid FROM g""")
 def corrupt_lines(spark, d):
     from ..sources.journal import parse_lines
 
-    return graph.corrupt_count(parse_lines(A.values(spark, LINES, "seq long, value string")))
+    return graph.corrupt_count(parse_lines(T(spark, d, "events").select(F.col("event_id").alias("seq"), F.expr(LINE_OF).alias("value"))))
 
 
 @query(f"WITH {A.EVENTS_SQL} SELECT subject, predicate, id, mention_time FROM ev QUALIFY row_number() OVER (PARTITION BY subject, predicate ORDER BY mention_time DESC, id DESC) = 1")
@@ -318,15 +348,17 @@ def idempotent_new_rows(spark, d):
     return graph.new_only(e, old).select("event_id")
 
 
-@query("SELECT CAST(id AS BIGINT) AS id, subjects, objects FROM (VALUES (1, 'a', 'b'), (2, 'b', ''), (3, '', '')) AS t(id, subjects, objects)")
+@query("""WITH f AS (SELECT conv_id * 1000 + turn AS id, lower(text) AS t FROM conversations WHERE turn % 2 = 0),
+n(eid, ins, nm) AS (VALUES ('thati', 0, 'thati'), ('the', 1, 'the'), ('oner', 2, 'oner'), ('reing', 3, 'reing'), ('reing', 3, 'ung')),
+h AS (SELECT DISTINCT id, eid, ins FROM f, n WHERE contains(t, nm)), l AS (SELECT id, list(eid ORDER BY ins) AS e FROM h GROUP BY id)
+SELECT id, e[1] AS subject, array_to_string(e[2:], ',') AS objects FROM l""")
 def retro_link(spark, d):
-    """Facts without entities linked to those whose names they hold, in insertion order."""
-    entities = A.values(spark, [("a", "Ann", [], 0), ("b", "Bob", ["Robert"], 1)], "id string, canonical_name string, aliases array<string>, ins_seq long")
-    facts = A.values(spark, [(1, "robert met ann"), (2, "Bob slept"), (3, "nothing")], "id long, fact string")
-    held = graph.mentions_in(facts, "fact", entities, 2).join(entities.select(F.col("id").alias("entity_id"), "ins_seq"), "entity_id")
-    listed = held.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ins_seq", "entity_id"))), lambda s: s["entity_id"]).alias("e"))
-    none = F.expr("cast(array() as array<string>)")
-    return facts.join(listed, "id", "left").select("id", F.coalesce(F.get(F.coalesce("e", none), F.lit(0)), F.lit("")).alias("subjects"), F.array_join(F.slice(F.coalesce("e", none), 2, 100), ",").alias("objects"))
+    """Remembered facts without entities, linked to those whose names they hold by now."""
+    entities = A.values(spark, [(n, n.title(), "CONCEPT", ["Ung"] if n == "reing" else [], i) for i, n in enumerate(MENTION_NAMES)], "id string, canonical_name string, type string, aliases array<string>, ins_seq long")
+    none = F.array().cast("array<string>")
+    facts = T(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("turn") % 2 == 0, "remembered").otherwise("said").alias("predicate"), F.col("text").alias("normalized_text"), none.alias("subject_ids"))
+    linked = graph.retro_link(facts, entities)
+    return linked.select("id", F.col("subject_ids")[0].alias("subject"), F.array_join("object_ids", ",").alias("objects"))
 
 
 MENTION_NAMES = ["thati", "the", "oner", "reing"]
@@ -350,18 +382,20 @@ def one_hop_expand(spark, d):
 
 @query(f"""WITH {A.BRIDGE_SQL}, l AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_extendedprice / 10000 AS score FROM lineitem), a AS (SELECT * FROM l ORDER BY score DESC, id LIMIT 10),
 t AS (SELECT entity_id, max(score) AS s FROM br JOIN a ON a.id = br.event_id GROUP BY entity_id)
-SELECT event_id AS id, round(least(1.8, 0.25 * max(s)), 6) AS boost FROM br JOIN t USING (entity_id) GROUP BY event_id""")
+SELECT event_id AS id, round(least(1.8, 0.25 * max(s)), 6) AS boost FROM br JOIN t USING (entity_id) WHERE entity_id LIKE 'p%' GROUP BY event_id""")
 def shared_topic_boost(spark, d):
     l = T(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_extendedprice") / 10000).alias("score"))
-    out = retrieval.topic_boost(l.withColumn("ins_seq", F.col("id")), A.orders_bridge(spark, d))
+    bridge = A.orders_bridge(spark, d)
+    entities = bridge.select(F.col("entity_id").alias("id")).distinct().withColumn("type", F.when(F.col("id").startswith("p"), "OBJECT").otherwise("PERSON"))
+    out = retrieval.topic_boost(l.withColumn("ins_seq", F.col("id")), bridge, entities)
     return out.where("topic_boost > 0").select("id", F.round("topic_boost", 6).alias("boost")).distinct()
 
 
-@query("""WITH s AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, length(text) / 100.0 AS score FROM conversations), a AS (SELECT * FROM s ORDER BY score DESC, id LIMIT 5),
-b AS (SELECT s.id, max(CASE s.turn - a.turn WHEN 0 THEN least(1.8, 0.22 * a.score) WHEN 1 THEN least(1.5, 0.2 * a.score) WHEN -1 THEN least(1.2, 0.15 * a.score) WHEN 2 THEN least(1.0, 0.12 * a.score) WHEN -2 THEN least(0.7, 0.09 * a.score) ELSE 0 END) AS boost FROM s JOIN a ON s.conv_id = a.conv_id AND abs(s.turn - a.turn) <= 2 GROUP BY s.id)
+@query("""WITH s AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN conv_id % 7 = 3 THEN '' ELSE CAST(conv_id AS VARCHAR) END AS conv_id, turn - 1 AS turn, length(text) / 100.0 AS score FROM conversations), a AS (SELECT * FROM (SELECT * FROM s ORDER BY score DESC, id LIMIT 5) WHERE conv_id <> '' AND turn >= 0),
+b AS (SELECT s.id, max(CASE s.turn - a.turn WHEN 0 THEN least(1.8, 0.22 * a.score) WHEN 1 THEN least(1.5, 0.2 * a.score) WHEN -1 THEN least(1.2, 0.15 * a.score) WHEN 2 THEN least(1.0, 0.12 * a.score) WHEN -2 THEN least(0.7, 0.09 * a.score) ELSE 0 END) AS boost FROM s JOIN a ON s.conv_id = a.conv_id AND abs(s.turn - a.turn) <= 2 WHERE s.conv_id <> '' AND s.turn >= 0 GROUP BY s.id)
 SELECT id, round(boost, 6) AS boost FROM b WHERE boost > 0""")
 def locality_boost(spark, d):
-    c = T(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("source_session"), F.col("turn").alias("source_turn"), (F.length("text") / 100.0).alias("score"))
+    c = T(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("conv_id") % 7 == 3, "").otherwise(F.col("conv_id").cast("string")).alias("source_session"), (F.col("turn") - 1).alias("source_turn"), (F.length("text") / 100.0).alias("score"))
     return retrieval.locality(c.withColumn("ins_seq", F.col("id"))).where("turn_boost > 0").select("id", F.round("turn_boost", 6).alias("boost"))
 
 
@@ -371,14 +405,14 @@ DAYS = "epoch_us({a}) / 86400000000.0 - epoch_us(TIMESTAMP '2024-01-28 12:00:00'
 DE, DM = f"abs({DAYS.format(a='event_time')})", f"abs({DAYS.format(a='mention_time')})"
 
 
-def temporal_query(name: str, ask: str, holds: str, bonus: str) -> None:
+def temporal_query(name: str, ask: str, holds: str, bonus: str, anchor: dt.datetime = ANCHOR) -> None:
     hit = f"CASE WHEN {holds.format(t='event_time')} THEN 'event' WHEN {holds.format(t='mention_time')} THEN 'mention' END" if holds else "CASE WHEN event_time IS NOT NULL THEN 'event' ELSE 'mention' END"
 
     def run(spark, d):
-        op = temporal.resolve_query(ask, ANCHOR)
+        op = temporal.resolve_query(ask, anchor)
         e = A.events(spark, d)
-        anchor = op.match(F.col("event_time"), F.col("mention_time"))
-        return e.select("id", anchor.alias("anchor"), F.round(op.bonus(F.col("event_time"), F.col("mention_time")), 6).alias("bonus")).where("anchor IS NOT NULL")
+        found = op.match(F.col("event_time"), F.col("mention_time"))
+        return e.select("id", found.alias("anchor"), F.round(op.bonus(F.col("event_time"), F.col("mention_time")), 6).alias("bonus")).where("anchor IS NOT NULL")
 
     run.__name__ = name
     query(f"WITH {A.EVENTS_SQL}, m AS (SELECT id, {hit} AS anchor, round({bonus}, 6) AS bonus FROM ev) SELECT * FROM m WHERE anchor IS NOT NULL")(run)
@@ -389,7 +423,8 @@ temporal_query("temporal_dense", "how is it", "", f"0.3 / (1 + {DM} / 30)")
 temporal_query("temporal_last_k", "the last time", "", f"0.25 / (1 + coalesce({DE}, {DM}) / 14)")
 temporal_query("temporal_in_year", "in 2024", "year({t}) = 2024", "0.0::DOUBLE")
 temporal_query("temporal_in_month", "in January 2024", "(year({t}) = 2024 AND month({t}) = 1)", NEAR)
-temporal_query("temporal_in_season", "during the winter", "((year({t}) = 2024 AND month({t}) >= 12) OR (year({t}) = 2025 AND month({t}) <= 2))", NEAR)
+BEFORE = dt.datetime(2023, 12, 20, 12)  # whose winter reaches into the events' month
+temporal_query("temporal_in_season", "during the winter", "((year({t}) = 2023 AND month({t}) >= 12) OR (year({t}) = 2024 AND month({t}) <= 2))", NEAR.replace("2024-01-28", "2023-12-20"), BEFORE)
 temporal_query("temporal_window", "in the past 3 days", "({t} BETWEEN TIMESTAMP '2024-01-25 12:00:00' AND TIMESTAMP '2024-01-28 12:00:00')", f"greatest(coalesce(0.2 / (1 + {DE} / 14), 0), 0.1 / (1 + {DM} / 14))")
 temporal_query("temporal_range_week", "last week", "({t} >= TIMESTAMP '2024-01-15' AND {t} < TIMESTAMP '2024-01-22')", NEAR)
 temporal_query("temporal_range_month", "last month", "({t} >= TIMESTAMP '2023-12-01' AND {t} < TIMESTAMP '2024-01-01')", NEAR)
@@ -401,42 +436,93 @@ def temporal_fallback(spark, d):
     return retrieval.temporal_pool(e.where("value > 1e9"), e, temporal.resolve_query("in 2024", ANCHOR)).select("id")
 
 
-BASE = "2026-09-01 12:00:00"
+ZH_DIGITS = "一二三四五六七八九"
+#: An expression a row, what it says in SQL (b: the base), and the precision.
 EXPRESSIONS = [
-    ("2023-05-17", "2023-05-17 00:00:00", "day"), ("yesterday", "2026-08-31 12:00:00", "day"), ("tomorrow", "2026-09-02 12:00:00", "day"), ("last week", "2026-08-25 12:00:00", "day"), ("last month", "2026-08-01 12:00:00", "month"),
-    ("two days ago", "2026-08-30 12:00:00", "day"), ("3 weeks ago", "2026-08-11 12:00:00", "day"), ("last Saturday", "2026-08-29 12:00:00", "day"), ("next Fri", "2026-09-04 12:00:00", "day"), ("Monday", "2026-08-31 12:00:00", "day"),
-    ("June 2023", "2023-06-01 00:00:00", "month"), ("whenever", BASE, "unknown"), ("昨天", "2026-08-31 12:00:00", "day"), ("上周五", "2026-08-28 12:00:00", "day"), ("下周三", "2026-09-09 12:00:00", "day"), ("三天前", "2026-08-29 12:00:00", "day"),
-    ("the Friday before 15 July 2023", "2023-07-14 00:00:00", "day"), ("2 weekends before 17 July 2023", "2023-07-03 00:00:00", "day"), ("the week of 9 June 2023", "2023-06-05 00:00:00", "day"), ("last year", "2025-09-01 12:00:00", "year"),
-]
+    ("strftime(b - to_days(n), '%Y-%m-%d')", "CAST(CAST(b - to_days(n) AS DATE) AS TIMESTAMP)", "day"),
+    ("'yesterday'", "b - to_days(1)", "day"),
+    ("n || ' days ago'", "b - to_days(n)", "day"),
+    ("n || ' weeks ago'", "b - to_days(7 * n)", "day"),
+    ("n || ' months ago'", "date_trunc('second', b) - to_months(n)", "month"),
+    ("'last week'", "b - to_days(7)", "day"),
+    ("'last month'", "date_trunc('second', b) - to_months(1)", "month"),
+    ("'whenever'", "b", "unknown"),
+    ("'last ' || dayname(b - to_days(n))", "b - to_days(CASE WHEN n % 7 = 0 THEN 7 ELSE n % 7 END)", "day"),
+    ("'next ' || left(dayname(b + to_days(n)), 3)", "b + to_days(CASE WHEN n % 7 = 0 THEN 7 ELSE n % 7 END)", "day"),
+    ("lower(monthname(b)) || ' ' || (2000 + n)", "make_timestamp(2000 + n, month(b), 1, 0, 0, 0.0)", "month"),
+    ("'昨天'", "b - to_days(1)", "day"),
+    (f"substring('{ZH_DIGITS}', n, 1) || '天前'", "b - to_days(n)", "day"),
+    (f"substring('{ZH_DIGITS}', n, 1) || '个月前'", "date_trunc('second', b) - to_months(n)", "month"),
+    ("'the week of ' || day(b) || ' ' || monthname(b) || ' ' || year(b)", "CAST(date_trunc('week', b) AS TIMESTAMP)", "day"),
+    ("n || ' weekends before ' || day(b) || ' ' || monthname(b) || ' ' || year(b)", "CAST(CAST(b AS DATE) AS TIMESTAMP) - to_days(7 * n)", "day"),
+]
+EXPR_SQL = "e AS (SELECT event_id, ts AS b, CAST(1 + event_id % 9 AS INTEGER) AS n, CAST((event_id // 9) % " + str(len(EXPRESSIONS)) + " AS INTEGER) AS k FROM events)"
+
+
+def spelled_times(spark, d) -> DataFrame:
+    """event_id, base and expression, one of EXPRESSIONS a row, spelled by Spark."""
+    e = T(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("b"), (1 + F.col("event_id") % 9).cast("int").alias("n"), (F.floor(F.col("event_id") / 9) % len(EXPRESSIONS)).cast("int").alias("k"))
+    b, n, day = F.col("b"), F.col("n"), lambda t: F.date_format(t, "EEEE")
+    ago, ahead = F.date_add(F.to_date("b"), -n), F.date_add(F.to_date("b"), n)
+    full = F.concat(F.dayofmonth(b).cast("string"), F.lit(" "), F.date_format(b, "MMMM"), F.lit(" "), F.year(b).cast("string"))
+    number, zh = n.cast("string"), F.substring(F.lit(ZH_DIGITS), n, F.lit(1))
+    said = [
+        F.date_format(ago, "yyyy-MM-dd"), F.lit("yesterday"), F.concat(number, F.lit(" days ago")), F.concat(number, F.lit(" weeks ago")), F.concat(number, F.lit(" months ago")), F.lit("last week"), F.lit("last month"), F.lit("whenever"),
+        F.concat(F.lit("last "), day(ago)), F.concat(F.lit("next "), F.left(day(ahead), F.lit(3))), F.concat(F.lower(F.date_format(b, "MMMM")), F.lit(" "), (2000 + n).cast("string")), F.lit("昨天"), F.concat(zh, F.lit("天前")), F.concat(zh, F.lit("个月前")),
+        F.concat(F.lit("the week of "), full), F.concat(number, F.lit(" weekends before "), full),
+    ]
+    return e.select("event_id", "b", F.element_at(F.array(*said), F.col("k") + 1).alias("expr"))
+
+
+@query(f"WITH {EXPR_SQL} SELECT event_id, CASE k {' '.join(f'WHEN {i} THEN {e}' for i, (e, _, _) in enumerate(EXPRESSIONS))} END AS expr, CASE k {' '.join(f'WHEN {i} THEN CAST({t} AS TIMESTAMP)' for i, (_, t, _) in enumerate(EXPRESSIONS))} END AS resolved, CASE k {' '.join(f'WHEN {i} THEN {p!r}' for i, (_, _, p) in enumerate(EXPRESSIONS))} END AS precision FROM e")
+def time_expr_resolve(spark, d):
+    got = timeexpr.resolve_column(F.col("expr"), F.col("b"))
+    return spelled_times(spark, d).select("event_id", "expr", got.alias("r")).select("event_id", "expr", F.col("r.time").cast("timestamp_ntz").alias("resolved"), "r.precision")
 
 
-@query(f"SELECT expr, CAST(t AS TIMESTAMP) AS resolved, precision FROM {A.values_sql(EXPRESSIONS, 'expr, t, precision')}")
-def time_expr_resolve(spark, d):
-    rows = A.values(spark, [(e,) for e, _, _ in EXPRESSIONS], "expr string")
-    got = timeexpr.resolve_column(F.col("expr"), F.lit(BASE).cast("timestamp"))
-    return rows.select("expr", got.alias("r")).select("expr", F.col("r.time").cast("timestamp_ntz").alias("resolved"), "r.precision")
+NUMBERS_SQL = "|".join(timeexpr.NUMBERS)
+WEEKDAYS_SQL = "|".join(timeexpr.WEEKDAYS)
+
+
+def _spelled_out(sql: str) -> str:
+    for short in sorted(timeexpr.ABBREVIATIONS, key=len, reverse=True):
+        sql = f"regexp_replace({sql}, '\\b{short}\\b', '{timeexpr.WEEKDAYS[timeexpr.ABBREVIATIONS[short]]}', 'g')"
+    return sql
 
 
-FACTS = [(1, "we met on 2023-05-17 or so", "2023-05-17"), (2, "She left last Fri, they say", "last friday"), (3, "two days ago it rained", "two days ago"), (4, "in room 2023", "room 2023"), (5, "nothing here", None), (6, "the week before 9 June 2023 was dry", "the week before 9 june 2023")]
+FACT_SQL = f"SELECT event_id, 'User ' || user_id || ' met them ' || CASE k {' '.join(f'WHEN {i} THEN {e}' for i, (e, _, _) in enumerate(EXPRESSIONS))} END || ' or so' AS f FROM e0"
 
 
-@query(f"SELECT id, expr FROM {A.values_sql([(i, e) for i, _, e in FACTS], 'id, expr')}")
+@query(f"WITH {EXPR_SQL.replace('e AS (SELECT event_id,', 'e0 AS (SELECT event_id, user_id,')}, f AS ({FACT_SQL}), l AS (SELECT event_id, {_spelled_out('lower(f)')} AS f FROM f) SELECT event_id, coalesce({', '.join(f'nullif(regexp_extract(f, {chr(39)}{p}{chr(39)}), {chr(39)}{chr(39)})' for p in timeexpr.EXTRACT)}) AS expr FROM l")
 def time_expr_extract(spark, d):
-    return A.values(spark, [(i, f) for i, f, _ in FACTS], "id long, f string").select("id", timeexpr.extract_time(F.col("f")).alias("expr"))
+    said = spelled_times(spark, d).join(T(spark, d, "events").select("event_id", "user_id"), "event_id")
+    fact = F.concat(F.lit("User "), F.col("user_id").cast("string"), F.lit(" met them "), "expr", F.lit(" or so"))
+    return said.select("event_id", timeexpr.extract_time(fact).alias("expr"))
 
 
-ASKED = [("what happened last year?", "IN_YEAR"), ("anything in 2022?", "IN_YEAR"), ("in June 2026?", "IN_MONTH"), ("during the summer", "IN_SEASON"), ("recently", "WITHIN_WINDOW"), ("the last time we spoke", "LAST_K"), ("how do I fix this error?", "DENSE"), ("in the past 3 days", "WITHIN_WINDOW"), ("last week", "RANGE"), ("上个月", "RANGE")]
+#: Questions, and in SQL which facts they let pass.
+ASKED = [
+    ("what happened last year?", "year({t}) = 2023"), ("anything in 2024?", "year({t}) = 2024"), ("in January 2024?", "year({t}) = 2024 AND month({t}) = 1"), ("during the summer", "year({t}) = 2024 AND month({t}) BETWEEN 6 AND 8"),
+    ("recently", "{t} BETWEEN TIMESTAMP '2024-01-28 12:00:00' - to_days(180) AND TIMESTAMP '2024-01-28 12:00:00'"), ("the last time we spoke", "TRUE"), ("how do I fix this error?", "TRUE"),
+    ("in the past 3 days", "{t} BETWEEN TIMESTAMP '2024-01-28 12:00:00' - to_days(3) AND TIMESTAMP '2024-01-28 12:00:00'"), ("last week", "{t} >= TIMESTAMP '2024-01-15' AND {t} < TIMESTAMP '2024-01-22'"), ("上个月", "{t} >= TIMESTAMP '2023-12-01' AND {t} < TIMESTAMP '2024-01-01'"),
+]
 
 
-@query(f"SELECT q, mode FROM {A.values_sql(ASKED, 'q, mode')}")
+@query(f"WITH {A.EVENTS_SQL} " + " UNION ALL ".join(f"SELECT '{q}' AS q, count(*) AS n FROM ev WHERE coalesce({h.format(t='event_time')}, FALSE) OR {h.format(t='mention_time')}" for q, h in ASKED))
 def query_to_operator(spark, d):
-    return A.values(spark, [(q, temporal.resolve_query(q, dt.datetime(2026, 9, 1, 12)).mode) for q, _ in ASKED], "q string, mode string")
+    """How many facts each question's operator lets pass."""
+    e, out = A.events(spark, d), None
+    for q, _ in ASKED:
+        op = temporal.resolve_query(q, ANCHOR)
+        n = e.agg(F.lit(q).alias("q"), F.count_if(op.match(F.col("event_time"), F.col("mention_time")).isNotNull()).alias("n"))
+        out = n if out is None else out.union(n)
+    return out
 
 
 @query("SELECT o_orderkey, CAST(CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS next, CAST(CAST(CAST(o_orderdate AS DATE) - INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS prev FROM orders")
 def month_shift_clamp(spark, d):
-    day = F.col("o_orderdate").cast("date")
-    return T(spark, d, "orders").select("o_orderkey", F.add_months(day, 1).cast("string").alias("next"), F.add_months(day, -1).cast("string").alias("prev"))
+    shifted = lambda n: timeexpr.month_shift(F.col("o_orderdate").cast("timestamp"), F.lit(n)).cast("date").cast("string")
+    return T(spark, d, "orders").select("o_orderkey", shifted(1).alias("next"), shifted(-1).alias("prev"))
 
 
 @query("SELECT o_orderkey, CAST(make_date(year(o_orderdate) + 1, month(o_orderdate), 1) + CAST(day(o_orderdate) - 1 AS INTEGER) AS VARCHAR) AS next FROM orders")
@@ -458,7 +544,7 @@ def conflicts(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 @query(f"WITH {PRED_SQL} SELECT new_id, count(*) AS n, min(old_id) AS first, max(old_id) AS last FROM p GROUP BY new_id")
 def supersede_candidates(spark, d):
-    return conflicts(spark, d)[2].groupBy("new_id").agg(F.count("*").alias("n"), F.min("old_id").alias("first"), F.max("old_id").alias("last"))
+    return conflict.predecessor_counts(conflicts(spark, d)[0])
 
 
 @query(f"WITH {PRED_SQL} SELECT new_id FROM p JOIN ev o ON o.id = old_id JOIN ev n ON n.id = new_id GROUP BY new_id, n.object_value HAVING count(DISTINCT o.object_value) + CASE WHEN bool_or(o.object_value = n.object_value) THEN 0 ELSE 1 END = 2 AND bool_or(o.object_value <> n.object_value)")
@@ -473,10 +559,12 @@ def remention_guard(spark, d):
     return conflict.remention(pairs, e)
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 AND EXISTS (SELECT 1 FROM orders x WHERE x.o_orderkey = o.o_orderkey + 1) THEN o_orderkey + 1 END AS superseded_by FROM orders o")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN (SELECT max(x.o_orderkey) FROM orders x WHERE x.o_orderkey = CASE WHEN o.o_orderkey % 8 = 0 AND EXISTS (SELECT 1 FROM orders y WHERE y.o_orderkey = o.o_orderkey + 1) THEN o.o_orderkey + 1 ELSE o.o_orderkey + 2 END) END AS superseded_by FROM orders o")
 def mark_propagation(spark, d):
     e = T(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit(None).cast("long").alias("superseded_by"))
-    marks = e.where("id % 4 = 0").select(F.col("id").alias("old_id"), (F.col("id") + 1).alias("new_id"))
+    # two marks each; of those divisible by eight the one to the smaller id comes last
+    marks = e.where("id % 4 = 0").select(F.col("id").alias("old_id"), F.explode(F.array((F.col("id") + 2), (F.col("id") + 1))).alias("new_id"))
+    marks = marks.where("old_id % 8 = 0 OR new_id = old_id + 2").withColumn("seq", F.col("old_id") * 4 - F.col("new_id"))
     return graph.mark_superseded(e, marks).select("id", "superseded_by")
 
 
@@ -578,27 +666,39 @@ def abandoned_retention(spark, d):
 
 # ---- extraction -----------------------------------------------------------
 
-REPLIES = [(1, "Output:\nPERSON|Ann|Annie, _|likes|tea|yesterday|Ann likes green tea|_|SPEECH\nT2|OBJECT|Tea|||  |_|short\nCONCEPT<Music>|x|PREDICATE|OBJECT|_|Music calms people down\n\nRows: 3"), (2, "no rows\nALIEN|x|y\nPERSON||a|b\nperson|Bob")]
-PARSED = [(1, "PERSON", "Ann", "Annie", "likes", "tea", "yesterday", "Ann likes green tea", True), (1, "OBJECT", "Tea", "", "", "", "", "short", False), (1, "CONCEPT", "Music", "x", "", "", "", "Music calms people down", False), (2, "PERSON", "Bob", "", "", "", "", "", False)]
+REPLY_OF = """'Output:' || chr(10) || 'PERSON|c' || o_custkey || '|K' || o_custkey || ', _|likes|' || o_orderpriority || '|yesterday|Customer ' || o_custkey || ' likes it|_|SPEECH' || chr(10)
+ || 'T2|OBJECT|o' || o_orderkey || '|||  |_|short' || chr(10) || 'CONCEPT<Music>|x|PREDICATE|OBJECT|_|Music calms ' || o_orderstatus || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN 'ALIEN|x|y' ELSE 'person|Bob' END || chr(10) || 'Rows: 4'"""
 
 
-@query(f"SELECT id, entity_type, canonical, aliases, predicate, object, time_expr, fact, speech_act FROM {A.values_sql(PARSED, 'id, entity_type, canonical, aliases, predicate, object, time_expr, fact, speech_act')}")
+@query("""SELECT o_orderkey, 'PERSON' AS entity_type, 'c' || o_custkey AS canonical, 'K' || o_custkey AS aliases, 'likes' AS predicate, o_orderpriority AS object, 'yesterday' AS time_expr, 'Customer ' || o_custkey || ' likes it' AS fact, TRUE AS speech_act FROM orders
+UNION ALL SELECT o_orderkey, 'OBJECT', 'o' || o_orderkey, '', '', '', '', 'short', FALSE FROM orders UNION ALL SELECT o_orderkey, 'CONCEPT', 'Music', 'x', '', '', '', 'Music calms ' || o_orderstatus, FALSE FROM orders
+UNION ALL SELECT o_orderkey, 'PERSON', 'Bob', '', '', '', '', '', FALSE FROM orders WHERE o_orderkey % 2 = 1""")
 def pipe_row_parse(spark, d):
-    out = extraction.parse_rows(A.values(spark, REPLIES, "id long, reply string"))
-    return out.select("id", "entity_type", "canonical", F.array_join("aliases", ",").alias("aliases"), "predicate", "object", "time_expr", "fact", "speech_act")
+    out = extraction.parse_rows(T(spark, d, "orders").select("o_orderkey", F.expr(REPLY_OF.replace("chr(10)", "'\\n'")).alias("reply")))
+    return out.select("o_orderkey", "entity_type", "canonical", F.array_join("aliases", ",").alias("aliases"), "predicate", "object", "time_expr", "fact", "speech_act")
 
 
-SPOKEN = [(1, "Ann: hello\n  Bob Smith: yes\nann: no\nAnn: again"), (2, "nobody")]
+@query(r"""WITH l AS (SELECT conv_id, turn, trim(unnest(string_split('Ann: ' || text || chr(10) || '  ' || upper(left(role, 1)) || substring(role, 2) || ' Smith: yes' || chr(10) || 'Ann: again', chr(10)))) AS x, generate_subscripts(string_split('Ann: ' || text || chr(10) || '  ' || upper(left(role, 1)) || substring(role, 2) || ' Smith: yes' || chr(10) || 'Ann: again', chr(10)), 1) AS i FROM conversations),
+n AS (SELECT conv_id, turn, regexp_extract(x, '^([A-Z][a-zA-Z\s]+):\s', 1) AS n, min(i) AS i FROM l GROUP BY ALL)
+SELECT conv_id, turn, string_agg(n, ',' ORDER BY i) AS names, 'PERSON' AS entity_type FROM n WHERE n <> '' GROUP BY conv_id, turn""")
+def speaker_coerce(spark, d):
+    said = F.concat(F.lit("Ann: "), "text", F.lit("\n  "), F.initcap("role"), F.lit(" Smith: yes\nAnn: again"))
+    rows = T(spark, d, "conversations").select("conv_id", "turn", F.lit("ann").alias("canonical"), F.lit("CONCEPT").alias("entity_type"), extraction.speakers(said).alias("speakers"))
+    return extraction.coerce_speakers(rows).select("conv_id", "turn", F.array_join("speakers", ",").alias("names"), "entity_type")
 
 
-@query(f"SELECT id, names FROM {A.values_sql([(1, 'Ann,Bob Smith'), (2, '')], 'id, names')}")
-def speaker_coerce(spark, d):
-    return A.values(spark, SPOKEN, "id long, s string").select("id", F.array_join(extraction.speakers(F.col("s")), ",").alias("names"))
+SHOWN_SQL = "c_name || CASE WHEN c_custkey % 2 = 0 THEN ' (PERSON)' ELSE ' (OBJECT)' END"
 
 
-@query("SELECT string_agg(c_name, ', ' ORDER BY c_name) AS all_names, CASE WHEN length(all_names) > 4000 THEN regexp_replace(left(all_names, 4000), ',[^,]*$', '') ELSE all_names END AS names FROM (SELECT DISTINCT c_name FROM customer)".replace("SELECT string_agg(c_name, ', ' ORDER BY c_name) AS all_names, CASE", "SELECT CASE").replace("FROM (SELECT DISTINCT c_name FROM customer)", "FROM (SELECT string_agg(c_name, ', ' ORDER BY c_name) AS all_names FROM (SELECT DISTINCT c_name FROM customer))"))
+@query(f"""WITH t AS (SELECT n_nationkey AS key, n_nationkey % 7 = 0 AS empty FROM nation), s AS (SELECT c_nationkey AS key, string_agg({SHOWN_SQL}, ', ' ORDER BY {SHOWN_SQL}) AS a FROM customer GROUP BY c_nationkey)
+SELECT CAST(t.key AS BIGINT) AS key, CASE WHEN empty OR a IS NULL THEN '(none relevant)' WHEN length(a) > 4000 THEN regexp_replace(left(a, 4000), ',[^,]*$', '') ELSE a END AS names FROM t LEFT JOIN s USING (key)""")
 def known_names(spark, d):
-    return extraction.known_names(T(spark, d, "customer").select(F.col("c_name").alias("canonical_name")))
+    """A text a nation that holds its customers' names; of every seventh an empty one."""
+    c = T(spark, d, "customer")
+    entities = c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("canonical_name"), F.when(F.col("c_custkey") % 2 == 0, "PERSON").otherwise("OBJECT").alias("type"), F.array(F.concat(F.lit("no such "), "c_name")).alias("aliases"), F.col("c_custkey").alias("ins_seq"))
+    held = c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.upper(F.array_join(F.collect_list("c_name"), " and ")).alias("t"))
+    texts = T(spark, d, "nation").join(held, "n_nationkey", "left").select(F.col("n_nationkey").cast("long").alias("key"), F.when(F.col("n_nationkey") % 7 == 0, "").otherwise(F.coalesce("t", F.lit(""))).alias("text"))
+    return extraction.known_names(entities, texts)
 
 
 @query("SELECT string_agg(p_type, ', ' ORDER BY k) AS predicates FROM (SELECT p_type, min(p_partkey) AS k FROM part GROUP BY p_type ORDER BY k LIMIT 60)")
@@ -632,7 +732,7 @@ def usage_sums(spark, d):
 
 @query("SELECT event_type, round(min(value), 6) AS lo, round(avg(value), 6) AS mean, round(max(value), 6) AS hi FROM events GROUP BY event_type")
 def latency_stats(spark, d):
-    return T(spark, d, "events").groupBy("event_type").agg(*[F.round(f("value"), 6).alias(n) for f, n in ((F.min, "lo"), (F.avg, "mean"), (F.max, "hi"))])
+    return evaluation.latency(T(spark, d, "events"), "event_type", "value")
 
 
 @query("SELECT p_brand AS name, count(*) AS calls, count(*) FILTER (p_partkey % 7 = 0 OR p_partkey % 5 = 0) AS failed, count(*) FILTER (p_partkey % 11 = 0) AS suspicious FROM part GROUP BY p_brand")
@@ -663,13 +763,12 @@ def strided_sample(spark, d):
     return T(spark, d, "benchmark").where("item_id % 5 = 2").select("item_id")
 
 
-ROUTES = [(1, "deepseek/chat-v3"), (2, "local/qwen"), (3, "OPENAI/gpt"), (4, "other")]
-GLOBS = [("fast", "deepseek/*"), ("here", "local/*"), ("big", "openai/*"), ("late", "deepseek/chat*")]
+GLOBS = [("fast", "econ*"), ("here", "*brand#3*"), ("big", "PROMO/*#1"), ("late", "economy/brand*")]
 
 
-@query(f"SELECT id, profile FROM {A.values_sql([(1, 'fast'), (2, 'here'), (3, 'big'), (4, 'default')], 'id, profile')}")
+@query("SELECT p_partkey, CASE WHEN r LIKE 'econ%' THEN 'fast' WHEN r LIKE '%brand#3%' THEN 'here' WHEN r LIKE 'promo/%#1' THEN 'big' WHEN r LIKE 'economy/brand%' THEN 'late' ELSE 'default' END AS profile FROM (SELECT p_partkey, lower(p_type || '/' || p_brand) AS r FROM part)")
 def profile_match(spark, d):
-    return profiles.select_profile(A.values(spark, ROUTES, "id long, route string"), GLOBS).select("id", "profile")
+    return profiles.select_profile(T(spark, d, "part").select("p_partkey", F.concat("p_type", F.lit("/"), "p_brand").alias("route")), GLOBS).select("p_partkey", "profile")
 
 
 @query("SELECT page_id, kind FROM (SELECT page_id, CASE WHEN regexp_matches(url, '^(?:~|/|\\./|\\.\\./)') THEN 'path' WHEN regexp_matches(url, '(?i)\\.(?:ts|tsx|js|mjs|cjs|json|jsonl|md|yaml|yml|py|sh|txt|html|css)$') THEN 'filename' END AS kind FROM pages)")
@@ -683,13 +782,19 @@ def corpus_features(spark, d):
     return T(spark, d, "documents").select("doc_id", *[f[k].cast("long").alias(k) for k in ("chars", "digits", "versions", "identifiers")])
 
 
-@query("WITH n AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations) SELECT conv_id, a.turn AS a, b.turn AS b FROM n a JOIN n b USING (conv_id) WHERE a.turn < b.turn AND len(a.w) > 0 AND len(list_intersect(a.w, b.w)) >= 0.15 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))")
+TURNS_SQL = "t AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT conv_id, turn + 100, text || CASE WHEN turn % 3 = 0 THEN ' indeed' WHEN turn % 3 = 1 THEN ' and much more of other words that were never said before now' ELSE '' END FROM conversations WHERE turn % 2 = 0)"
+
+
+@query(f"WITH {TURNS_SQL}, n AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM t) SELECT conv_id, a.turn AS a, b.turn AS b FROM n a JOIN n b USING (conv_id) WHERE a.turn < b.turn AND len(a.w) > 0 AND len(list_intersect(a.w, b.w)) >= 0.85 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))")
 def near_dup_lines(spark, d):
-    """Turns of a conversation whose token sets agree to 0.15 (these texts hold no
-    nearer ones); a group is one conversation, so pairs stay within its length."""
-    n = T(spark, d, "conversations").select("conv_id", "turn", F.array_distinct(text.words_of(F.col("text"))).alias("w"))
+    """Turns of a conversation, and echoes of every other with words added, whose token
+    sets agree to 0.85; a group is one conversation, so pairs stay within its length."""
+    c = T(spark, d, "conversations").select("conv_id", "turn", "text")
+    more = F.when(F.col("turn") % 3 == 0, " indeed").when(F.col("turn") % 3 == 1, " and much more of other words that were never said before now").otherwise("")
+    c = c.union(c.where("turn % 2 = 0").select("conv_id", F.col("turn") + 100, F.concat("text", more)))
+    n = c.select("conv_id", "turn", F.array_distinct(text.words_of(F.col("text"))).alias("w"))
     b = n.select("conv_id", F.col("turn").alias("b"), F.col("w").alias("bw"))
-    close = n.join(b, "conv_id").where((F.col("turn") < F.col("b")) & (F.size("w") > 0) & (text.jaccard(F.col("w"), F.col("bw")) >= 0.15))
+    close = n.join(b, "conv_id").where((F.col("turn") < F.col("b")) & (F.size("w") > 0) & (text.jaccard(F.col("w"), F.col("bw")) >= rerank.NEAR_DUP))
     return close.select("conv_id", F.col("turn").alias("a"), "b")
 
 

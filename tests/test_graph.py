@@ -97,7 +97,7 @@ def test_detect_conflicts(spark):
     rows = [("n", "a", "chairs", ["ann", "chairs"], 5, False, "bob", "Bob chairs", None), ("o", "a", "chairs", ["ann", "chairs"], 1, False, "ann", "Ann chairs", None), ("x", "b", "likes", ["likes"], 2, False, "tea", "tea", None)]
     events = spark.createDataFrame(rows, "id string, subject string, predicate string, tokens array<string>, ins_seq long, speech_act boolean, object_value string, normalized_text string, superseded_by string")
     new = events.where("id = 'n'")
-    assert [tuple(r) for r in conflict.detect(new, events, lambda groups: "1: single").collect()] == [("o", "n")]
+    assert [tuple(r) for r in conflict.detect(new, events, lambda groups: "1: single").collect()] == [("o", "n", 5)]
     assert conflict.detect(new, events, lambda groups: "garbage").count() == 0
     assert conflict.parse_merge("1: 2: sure\n2: 3") == {1: (2, True), 2: (3, False)}
 
