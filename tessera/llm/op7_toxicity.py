@@ -183,7 +183,7 @@ class Scorer:
             self.restorer = Restorer(CharacterModel(self.counts))
             known = self.weights
             # most words have no selected feature
-            self.words = common.Memo(lambda token: tuple(f for f in features_of(self.restorer.word(token)) if f in known), 400_000, "op7")
+            self.words = common.Memo(lambda token: tuple(f for f in features_of(self.restorer.word(token)) if f in known), 200_000, "op7")
         found = {f for f in document_features(text, self.restorer, self.words) if f in self.weights}
         x = self.bias + sum(self.weights[f] for f in sorted(found))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
@@ -277,7 +277,9 @@ def scored(docs: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
         common.claim("op7")
         model = sent.value
         for batch in batches:
-            s = [model.score(t) for t in batch.column(0).to_pylist()]
+            s = []
+            for start in range(0, batch.num_rows, 500):  # few texts as Python strings at a time
+                s += [model.score(t) for t in batch.column(0).slice(start, 500).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())], names=[*batch.schema.names[1:], "score", "predicted"])
 
     return picked.mapInArrow(made, ", ".join([*[f"c{i} {kinds[c]}" for i, c in enumerate(keep)], "score double, predicted int"]))

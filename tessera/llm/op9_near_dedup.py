@@ -43,7 +43,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @functools.cache
 def _word_hash() -> common.Memo:
-    return common.Memo(xxhash.xxh64_intdigest, 600_000, "op9")
+    return common.Memo(xxhash.xxh64_intdigest, 300_000, "op9")
 
 
 def shingle_set(data: bytes, size: int) -> np.ndarray:
