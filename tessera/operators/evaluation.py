@@ -287,3 +287,8 @@ def gold_rank(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     the answer of gold (question, answer), or null."""
     hit = ranked.join(gold, "question").where(F.contains(F.lower("fact"), F.lower("answer"))).groupBy("question").agg(F.min("place").alias("rank"))
     return gold.select("question").distinct().join(hit, "question", "left")
+
+
+def strided(questions: DataFrame, index: str, step: int, offset: int = 0) -> DataFrame:
+    """Every step-th question, from the offset on: a sampling operator."""
+    return questions.where((F.col(index) >= offset) & (F.pmod(F.col(index) - offset, F.lit(step)) == 0))

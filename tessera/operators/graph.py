@@ -47,6 +47,18 @@ def bridge(events: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def by_ids(rows: DataFrame, ids: list) -> DataFrame:
+    """Rows of the given ids."""
+    return rows.where(F.col("id").isin(list(ids)))
+
+
+def shape(events: DataFrame) -> DataFrame:
+    """One row of events (id, subject_ids, object_ids, mention_time): entities, events, and
+    the span of mention times."""
+    held = events.select(F.explode(F.concat("subject_ids", "object_ids")).alias("e")).agg(F.count_distinct("e").alias("entities"))
+    return held.crossJoin(F.broadcast(events.agg(F.count("*").alias("events"), F.min("mention_time").alias("first"), F.max("mention_time").alias("last"))))
+
+
 def events_of(events: DataFrame, entity_id: str) -> DataFrame:
     """Distinct events of an entity, in insertion order."""
     held = F.array_contains("subject_ids", entity_id) | F.array_contains("object_ids", entity_id)

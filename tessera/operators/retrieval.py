@@ -82,6 +82,30 @@ def dense_slice(events: DataFrame, query_vector: list[float] | None, words: list
     return events.withColumn("dense", score * speech_factor(F.col("speech_act"))).orderBy(F.desc("dense"), "ins_seq").limit(n).where("dense > 0")
 
 
+def candidate_union(*lists: DataFrame) -> DataFrame:
+    """(id, place) of ranked lists (id, place) put one after another: an id keeps its
+    first place."""
+    every = None
+    for i, part in enumerate(lists):
+        part = part.select("id", F.struct(F.lit(i).alias("list"), F.col("place")).alias("place"))
+        every = part if every is None else every.union(part)
+    return every.groupBy("id").agg(F.min("place").alias("place"))
+
+
+def within_budget(lines: DataFrame, group: str, order: str, length: str, most: int) -> DataFrame:
+    """Lines of each group, in order, up to the first that would pass `most`; used: the
+    length so far."""
+    so_far = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    used = lines.withColumn("used", F.sum(length).over(so_far))
+    over = F.max((F.col("used") > most).cast("int")).over(so_far)
+    return used.withColumn("_over", over).where("_over = 0").drop("_over")
+
+
+def latest(events: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
+    """The newest event of each group, the larger `tie` of equal ones."""
+    return events.groupBy(*keys).agg(F.max(F.struct(time, tie)).alias("_b")).select(*keys, F.col(f"_b.{tie}").alias(tie), F.col(f"_b.{time}").alias(time))
+
+
 def temporal_pool(pool: DataFrame, every: DataFrame, op: TemporalOp) -> DataFrame:
     """The pool's events that meet the operator; if none does, all events that do."""
     if not op.filters:

@@ -286,8 +286,7 @@ def corrupt_lines(spark, d):
 
 @query(f"WITH {A.EVENTS_SQL} SELECT subject, predicate, id, mention_time FROM ev QUALIFY row_number() OVER (PARTITION BY subject, predicate ORDER BY mention_time DESC, id DESC) = 1")
 def latest_state_per_family(spark, d):
-    best = A.events(spark, d).groupBy("subject", "predicate").agg(F.max(F.struct("mention_time", "id")).alias("b"))
-    return best.select("subject", "predicate", F.col("b.id").alias("id"), F.col("b.mention_time").alias("mention_time"))
+    return retrieval.latest(A.events(spark, d), ["subject", "predicate"], "mention_time", "id")
 
 
 @query(f"WITH {A.EVENTS_SQL}, s AS (SELECT *, CASE WHEN predicate IN ('purchase', 'signup') THEN 'goal_' || predicate ELSE predicate END AS p FROM ev) SELECT id, p AS predicate FROM s QUALIFY p NOT LIKE 'goal_%' OR row_number() OVER (PARTITION BY subject, regexp_extract(p, '^(goal_)', 1) ORDER BY mention_time DESC, value DESC, id) = 1")
@@ -297,11 +296,6 @@ def state_dedup_ranked(spark, d):
     return retrieval.dedup_state(e, [F.desc("value"), F.asc("ins_seq")]).select("id", "predicate")
 
 
-@query(f"WITH {A.BRIDGE_SQL} SELECT entity_id, count(DISTINCT event_id) AS n, min(ins_seq) AS first FROM br GROUP BY entity_id")
-def entity_events_bridge(spark, d):
-    return A.orders_bridge(spark, d).groupBy("entity_id").agg(F.count_distinct("event_id").alias("n"), F.min("ins_seq").alias("first"))
-
-
 def order_events(spark, d) -> DataFrame:
     """orders with their parts as objects and the customer as subject."""
     l = T(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda s: F.concat(F.lit("p"), s["l_partkey"])).alias("object_ids"))
@@ -309,6 +303,25 @@ def order_events(spark, d) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), F.array(F.concat(F.lit("c"), "o_custkey")).alias("subject_ids"), F.coalesce("object_ids", F.expr("cast(array() as array<string>)")).alias("object_ids"), F.col("o_orderpriority").alias("predicate"), F.col("o_orderkey").alias("ins_seq"))
 
 
+@query("""WITH b AS (SELECT 'c' || o_custkey AS entity_id, 'subject' AS role, o_orderkey AS e FROM orders UNION ALL SELECT 'p' || l_partkey, 'object', l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT entity_id, role, count(DISTINCT e) AS n, min(e) AS first FROM b GROUP BY ALL""")
+def entity_events_bridge(spark, d):
+    held = graph.bridge(order_events(spark, d))
+    return held.groupBy("entity_id", "role").agg(F.count_distinct("event_id").alias("n"), F.min("ins_seq").alias("first"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_custkey = 3 OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey = 3)")
+def events_of_entity(spark, d):
+    """Events of a customer and of a part."""
+    e = order_events(spark, d)
+    return graph.events_of(e, "c3").union(graph.events_of(e, "p3")).select("id").distinct()
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS predicate FROM orders WHERE o_orderkey IN (3, 4, 5, 1000000000)")
+def point_lookup(spark, d):
+    return graph.by_ids(T(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("predicate")), [3, 4, 5, 10**9])
+
+
 DEGREE_SQL = "u AS (SELECT 'c' || o_custkey AS entity_id FROM orders UNION ALL SELECT 'p' || l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey), deg AS (SELECT entity_id, count(*) AS degree FROM u GROUP BY entity_id)"
 
 
@@ -324,7 +337,8 @@ def graph_links(spark, d):
 
 @query("SELECT (SELECT count(DISTINCT l_partkey) + count(DISTINCT l_suppkey) FROM lineitem) AS entities, (SELECT count(*) FROM lineitem) AS events, (SELECT min(l_shipdate) FROM lineitem) AS first, (SELECT max(l_shipdate) FROM lineitem) AS last")
 def graph_stats(spark, d):
-    return T(spark, d, "lineitem").agg((F.count_distinct("l_partkey") + F.count_distinct("l_suppkey")).alias("entities"), F.count("*").alias("events"), F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
+    l = T(spark, d, "lineitem")
+    return graph.shape(l.select(F.array(F.concat(F.lit("p"), "l_partkey")).alias("subject_ids"), F.array(F.concat(F.lit("s"), "l_suppkey")).alias("object_ids"), F.col("l_shipdate").alias("mention_time")))
 
 
 @query(f"WITH {DEGREE_SQL}, top AS (SELECT * FROM deg ORDER BY degree DESC, entity_id LIMIT 600) SELECT count(*) AS links, count(DISTINCT o_orderkey) AS events FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE 'c' || o_custkey IN (SELECT entity_id FROM top) AND 'p' || l_partkey IN (SELECT entity_id FROM top)")
@@ -593,16 +607,15 @@ def conflict_slot_order(spark, d):
 
 @query("""WITH b AS (SELECT source, doc_id, length(text) AS n, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents), f AS (SELECT *, max(CASE WHEN used > 20000 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id) AS over FROM b) SELECT source, doc_id, CAST(used AS BIGINT) AS used FROM f WHERE over = 0""")
 def running_budget(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    b = T(spark, d, "documents").select("source", "doc_id", F.length("text").cast("long").alias("n")).withColumn("used", F.sum("n").over(w))
-    return b.where("used <= 20000").select("source", "doc_id", "used")
+    b = T(spark, d, "documents").select("source", "doc_id", F.length("text").cast("long").alias("n"))
+    return retrieval.within_budget(b, "source", "doc_id", "n", 20_000).select("source", "doc_id", "used")
 
 
 @query(f"WITH {A.EVENTS_SQL}, l AS (SELECT id, subject, predicate, lag(predicate) OVER (PARTITION BY subject ORDER BY mention_time, id) AS p FROM ev) SELECT id, subject, predicate FROM l WHERE p IS DISTINCT FROM predicate")
 def lag_dedup(spark, d):
-    w = Window.partitionBy("subject").orderBy("mention_time", "id")
-    e = A.events(spark, d).withColumn("p", F.lag("predicate").over(w))
-    return e.where(~F.col("p").eqNullSafe(F.col("predicate"))).select("id", "subject", "predicate")
+    from ..streaming.progress import changed
+
+    return changed(A.events(spark, d), "subject", ["mention_time", "id"], "predicate").select("id", "subject", "predicate")
 
 
 @query("SELECT p.event_id, s.event_id AS signup FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'signup' GROUP BY user_id, ts) s ON p.user_id = s.user_id AND p.ts >= s.ts")
@@ -618,9 +631,10 @@ def schedule_last_value(spark, d):
 
 @query("SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS digest, count(*) AS turns FROM conversations GROUP BY conv_id")
 def turn_text(spark, d):
-    c = T(spark, d, "conversations").withColumn("line", F.concat("role", F.lit(": "), "text"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda s: s["line"])
-    return c.groupBy("conv_id").agg(F.md5(F.array_join(lines, "\n")).alias("digest"), F.count("*").alias("turns"))
+    from ..sources.sessions import joined_lines
+
+    said = joined_lines(T(spark, d, "conversations"), ["conv_id"], "turn", F.concat("role", F.lit(": "), "text"))
+    return said.select("conv_id", F.md5("text").alias("digest"), F.col("lines").alias("turns"))
 
 
 # ---- jobs -----------------------------------------------------------------
@@ -760,7 +774,7 @@ def positional_zip(spark, d):
 @query("SELECT item_id FROM benchmark WHERE item_id % 5 = 2")
 def strided_sample(spark, d):
     """A sampling operator: every fifth question, from the third."""
-    return T(spark, d, "benchmark").where("item_id % 5 = 2").select("item_id")
+    return evaluation.strided(T(spark, d, "benchmark"), "item_id", 5, 2).select("item_id")
 
 
 GLOBS = [("fast", "econ*"), ("here", "*brand#3*"), ("big", "PROMO/*#1"), ("late", "economy/brand*")]
@@ -839,6 +853,243 @@ def speech_discount(spark, d):
     return A.events(spark, d).select("id", F.round(F.col("value") * retrieval.speech_factor(F.col("speech_act")), 6).alias("score"))
 
 
+# ---- files, names, merges, rounds, injection --------------------------------
+
+
+@query("""WITH a AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS seq FROM events), n AS (SELECT count(*) AS n FROM events),
+d AS (SELECT event_id FROM events WHERE event_id % 7 = 0), r AS (SELECT event_id, (SELECT n FROM n) + (SELECT count(*) FROM d) + row_number() OVER (ORDER BY event_id) - 1 AS seq FROM events WHERE event_id % 35 = 0)
+SELECT CAST(event_id AS VARCHAR) AS id, event_type AS normalized_text, seq AS ins_seq FROM a JOIN events USING (event_id) WHERE event_id % 7 <> 0 UNION ALL SELECT CAST(event_id AS VARCHAR), event_type || ' again', seq FROM r JOIN events USING (event_id)""")
+def journal_files(spark, d):
+    """A journal written as files in three appends, read back in order and replayed."""
+    from ..sources import journal
+
+    path = A.scratch(spark, "journal")
+    e = T(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("normalized_text"), "event_id")
+    again = e.where("event_id % 35 = 0").withColumn("normalized_text", F.concat("normalized_text", F.lit(" again")))
+    for op, rows in (("event.add", e), ("event.delete", e.where("event_id % 7 = 0")), ("event.add", again)):
+        journal.append(graph.records(op, rows).withColumn("seq", F.col("data.id").cast("long")), path)
+    return journal.live(journal.read_journal(spark, path), "event").select("id", "normalized_text", "ins_seq")
+
+
+@query("""WITH e AS (SELECT n_nationkey AS id, n_name FROM nation WHERE n_nationkey % 2 = 0), o AS (SELECT id, c_custkey AS seq, 0 AS pos, upper(n_name) AS a FROM customer JOIN e ON c_nationkey = id UNION ALL SELECT id, c_custkey, 1, '  Alias  ' || c_custkey % 3 FROM customer JOIN e ON c_nationkey = id UNION ALL SELECT id, c_custkey, 2, 'old' FROM customer JOIN e ON c_nationkey = id),
+f AS (SELECT id, lower(regexp_replace(trim(a), '\\s+', ' ', 'g')) AS n, arg_min(regexp_replace(trim(a), '\\s+', ' ', 'g'), (seq, pos)) AS a, min((seq, pos)) AS met FROM o GROUP BY ALL)
+SELECT CAST(id AS VARCHAR) AS id, 'Old,' || string_agg(a, ',' ORDER BY met) AS aliases FROM f JOIN e USING (id) WHERE n <> lower(n_name) AND n <> 'old' GROUP BY id""")
+def alias_accretion(spark, d):
+    """Customers mention their nation by its name and by aliases; every second nation is known."""
+    n = T(spark, d, "nation")
+    known = n.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("canonical_name"), F.lit("CONCEPT").alias("type"), F.array(F.lit("Old")).alias("aliases"), F.col("n_nationkey").cast("long").alias("ins_seq"))
+    c = T(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    mentions = c.select(F.upper("n_name").alias("name"), F.lit("PERSON").alias("type"), F.array(F.concat(F.lit("  Alias  "), F.col("c_custkey") % 3), F.lit("old")).alias("aliases"), F.col("c_custkey").alias("seq"))
+    resolved, _ = graph.resolve_or_create(mentions, known)
+    return graph.accrete(resolved, known).select("id", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS VARCHAR) END AS id, CASE WHEN n_nationkey % 4 = 0 THEN CAST(n_nationkey AS VARCHAR) END AS person FROM nation")
+def lookup_by_name(spark, d):
+    """Nations by their names in another spelling; every second is an entity, every fourth a person."""
+    n = T(spark, d, "nation")
+    e = n.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("canonical_name"), F.when(F.col("n_nationkey") % 4 == 0, "PERSON").otherwise("OBJECT").alias("type"), F.array().cast("array<string>").alias("aliases"), F.col("n_nationkey").cast("long").alias("ins_seq"))
+    asked = n.select("n_nationkey", F.concat(F.lit(" "), F.lower("n_name")).alias("name"))
+    found = graph.find_by_name(asked, "name", e).select("n_nationkey", "id")
+    return found.join(graph.find_by_name(asked, "name", e, "PERSON").select("n_nationkey", F.col("id").alias("person")), "n_nationkey")
+
+
+@query(ORACLE_SQL["merge_blocking_top5"].replace("SELECT mention, id AS entity_id, round(CAST(score AS DOUBLE), 6) AS score, row_number()", "SELECT mention AS name, (SELECT p_name FROM part WHERE p_partkey = id) AS canonical, row_number()").replace("FROM b QUALIFY rank <= 5", "FROM b WHERE length(mention) % 2 = 0 QUALIFY rank = 1"))
+def adjudicated_merges(spark, d):
+    """An adjudicator that is sure of the first candidate of names of even length."""
+    p = T(spark, d, "part")
+    m = p.select(F.concat("p_type", F.lit(" "), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("name")).distinct().withColumns({"type": F.lit("OBJECT"), "sample_fact": F.lit("a part")})
+    e = p.groupBy(F.col("p_name").alias("canonical_name")).agg(F.min("p_partkey").alias("id")).withColumns({"type": F.lit("OBJECT"), "aliases": F.array().cast("array<string>")})
+    return conflict.find_merges(m, e, sure_of_the_first).withColumn("rank", F.lit(1).cast("long"))
+
+
+def sure_of_the_first(lines: list[tuple]) -> str:
+    return "\n".join(f"{i}: 1: {'sure' if len(line[0]) % 2 == 0 else 'unsure'}" for i, line in enumerate(lines, 1))
+
+
+SPLIT_EVENTS = "ev2 AS (SELECT *, predicate || CASE WHEN id % 2 = 0 THEN '_made' ELSE '_done' END AS p2 FROM ev)"
+
+
+@query(f"WITH {A.EVENTS_SQL}, {SPLIT_EVENTS} SELECT n.id AS new_id, count(*) AS n, min(o.id) AS first FROM ev2 n JOIN ev2 o ON n.subject = o.subject AND o.ins_seq < n.ins_seq WHERE NOT o.speech_act AND len(list_intersect(string_split(n.p2, '_'), string_split(o.p2, '_'))) > 0 GROUP BY n.id")
+def widened_predecessors(spark, d):
+    e = A.events(spark, d).withColumn("predicate", F.concat("predicate", F.when(F.col("id") % 2 == 0, "_made").otherwise("_done")))
+    return conflict.widened(e, e).groupBy("new_id").agg(F.count("*").alias("n"), F.min("old_id").alias("first"))
+
+
+RESULT_SQL = f"{FOLD_SQL}, r AS (SELECT session_id, turn, job, failures, turn % 3 = 0 AS ok FROM f)"
+
+
+@query(f"WITH {RESULT_SQL} SELECT CASE WHEN ok THEN 'settled' WHEN failures + 1 >= 3 THEN 'abandoned' ELSE 'failed' END AS kind, session_id, turn, CAST(CASE WHEN NOT ok THEN failures + 1 END AS INTEGER) AS failures, CASE WHEN NOT ok THEN 'down' END AS error FROM r")
+def round_booked(spark, d):
+    """Results of a round of all outstanding jobs; three rounds are the cap."""
+    log = job_log(spark, d)
+    results = jobs.fold(log).select("session_id", "turn", (F.col("turn") % 3 == 0).alias("ok"), F.lit("down").alias("error"))
+    return jobs.booked(log, results, "2026-09-01 12:00:00", cap=3).select("kind", "session_id", "turn", "failures", "error")
+
+
+@query(f"WITH {FOLD_SQL} SELECT CASE WHEN failures >= 2 THEN 'abandoned' ELSE 'pending' END AS kind, session_id, turn, CASE WHEN failures < 2 THEN CAST(job AS VARCHAR) END AS job, CAST(failures AS INTEGER) AS failures FROM f WHERE failures > 0")
+def retry_pass(spark, d):
+    return jobs.requeued(job_log(spark, d), "2026-09-01 12:00:00", cap=2, failed_only=True).select("kind", "session_id", "turn", "job", "failures")
+
+
+@query(f"WITH {FOLD_SQL}, t AS (SELECT DISTINCT conv_id AS session_id, turn FROM conversations) SELECT t.session_id, t.turn FROM t ANTI JOIN f ON f.session_id = t.session_id AND f.turn = t.turn")
+def new_jobs(spark, d):
+    """Turns that aren't outstanding: settled and abandoned ones are free again."""
+    turns = T(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), "turn", F.lit("j").alias("job"))
+    return jobs.enqueued(turns.union(turns), job_log(spark, d)).select("session_id", "turn")
+
+
+@query(f"WITH {FOLD_SQL} SELECT session_id, turn, 3.0 * (row_number() OVER (ORDER BY turn, session_id) - 1) AS start_after FROM f")
+def paced_starts(spark, d):
+    state = jobs.fold(job_log(spark, d)).withColumn("order", F.struct("turn", "session_id"))
+    return jobs.paced(state, "order").select("session_id", "turn", "start_after")
+
+
+MESSAGES_SQL = "m AS (SELECT conv_id AS session_id, turn // 4 AS turn, 1 + turn % 4 // 3 AS step, turn AS pos, CASE WHEN turn % 5 = 4 THEN 'plugin' ELSE role END AS kind, turn % 5 = 4 AND conv_id % 2 = 0 AS own, role = 'user' AS claimed, CASE WHEN turn % 5 = 4 THEN 'block' ELSE text END AS text FROM conversations)"
+
+
+def messages(spark, d) -> DataFrame:
+    """Four rows of a conversation as a turn of two steps; every fifth row is a plugin's,
+    in even conversations this engine's."""
+    c, plugin = T(spark, d, "conversations"), F.col("turn") % 5 == 4
+    return c.select(F.col("conv_id").alias("session_id"), F.floor(F.col("turn") / 4).alias("turn"), (1 + F.floor(F.col("turn") % 4 / 3)).cast("int").alias("step"), F.col("turn").alias("pos"), F.when(plugin, "plugin").otherwise(F.col("role")).alias("kind"), F.when(plugin, F.when(F.col("conv_id") % 2 == 0, "tessera").otherwise("other")).alias("plugin"), (F.col("role") == "user").alias("claimed"), F.when(plugin, "block").otherwise(F.col("text")).alias("text"))
+
+
+@query(f"WITH {MESSAGES_SQL}, q AS (SELECT session_id, turn, arg_max(trim(text), pos) AS raw FROM m WHERE step = 1 AND claimed AND kind = 'user' AND trim(text) <> '' GROUP BY ALL) SELECT session_id, turn, md5(raw) AS query FROM q WHERE length(raw) <= 250")
+def turn_questions(spark, d):
+    """Questions of at most 250 characters; none here has a question mark, so they stay whole."""
+    from ..streaming import inject
+
+    return inject.asked(messages(spark, d), 250).select("session_id", "turn", F.md5("query").alias("query"))
+
+
+@query(f"""WITH {MESSAGES_SQL}, t AS (SELECT session_id, turn, max(CASE WHEN claimed THEN pos END) AS last, bool_or(own) AS has FROM m WHERE step = 1 GROUP BY ALL),
+b AS (SELECT session_id, turn, step, CAST(pos AS DOUBLE) AS pos, kind, text FROM m UNION ALL SELECT session_id, turn, 1, coalesce(last + 0.5, -0.5), 'plugin', 'memories of ' || session_id FROM t WHERE NOT has)
+SELECT session_id, turn, row_number() OVER (PARTITION BY session_id, turn ORDER BY step, pos) - 1 AS pos, kind, md5(text) AS text FROM b""")
+def turn_injection(spark, d):
+    from ..streaming import inject
+
+    m = messages(spark, d)
+    blocks = m.select("session_id", "turn").distinct().withColumn("block", F.concat(F.lit("memories of "), F.col("session_id").cast("string")))
+    return inject.spliced(m, blocks).select("session_id", "turn", F.col("pos").cast("long").alias("pos"), "kind", F.md5("text").alias("text"))
+
+
+@query("""SELECT o_orderstatus AS prompt, count(*) AS turns, CAST(sum(3 + o_orderkey % 2) AS BIGINT) AS events, CAST(sum(3 + o_orderkey % 2) AS BIGINT) AS entities, CAST(sum(2 + o_orderkey % 2) AS BIGINT) AS empty_core, CAST(sum(1 - o_orderkey % 2) AS BIGINT) AS parse_fail_lines, 3 * count(*) AS column_mismatch, CAST(0 AS BIGINT) AS literal_rows, CAST(sum(CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS covered FROM orders GROUP BY o_orderstatus""")
+def quality_by_prompt(spark, d):
+    """Saved replies scored again and summed by prompt; every tenth turn mentions a name."""
+    o = T(spark, d, "orders")
+    outputs = o.select(F.col("o_orderstatus").alias("prompt"), F.col("o_orderkey").alias("turn"), F.expr(REPLY_OF.replace("chr(10)", "'\\n'")).alias("reply"), F.when(F.col("o_orderkey") % 10 == 0, "of Music").otherwise("plain").alias("turn_text"))
+    scored = evaluation.score_outputs(outputs, ["prompt", "turn"], ["Music"])
+    covered = scored.groupBy("prompt").agg(F.count_if(F.col("name_coverage") == 1).alias("covered"))
+    kept = ["events", "entities", "empty_core", "parse_fail_lines", "column_mismatch", "literal_rows"]
+    return evaluation.quality_summary(scored, ["prompt"]).select("prompt", "turns", *kept).join(covered, "prompt")
+
+
+@query("SELECT unnest(string_split(p_name, ' ')) AS category, count(*) AS n FROM part GROUP BY 1")
+def category_histogram(spark, d):
+    return evaluation.histogram(T(spark, d, "part").select(F.split("p_name", " ").alias("words")), "words")
+
+
+@query("SELECT o_orderpriority AS profile, count(*) FILTER (o_orderkey % 3 <> 0) AS merges, count(*) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 5 <> o_orderkey % 3) AS wrong, count(*) FILTER (o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0) AS missed FROM orders GROUP BY ALL")
+def wrong_merge_counts(spark, d):
+    k = F.col("o_orderkey")
+    none = lambda c: F.when(c != 0, c)
+    return evaluation.wrong_merges(T(spark, d, "orders").select(F.col("o_orderpriority").alias("profile"), none(k % 3).alias("target"), none(k % 5).alias("expected")))
+
+
+@query("SELECT count(*) AS events, count(*) FILTER (event_id % 4 <> 0) AS extracted FROM events")
+def query_volume(spark, d):
+    turn = F.when(F.col("event_id") % 4 == 0, F.when(F.col("event_id") % 8 == 0, -1)).otherwise(F.col("event_id"))
+    return evaluation.query_volume(T(spark, d, "events").select(turn.alias("source_turn")))
+
+
+@query(r"SELECT p_partkey, lower(trim(regexp_replace('Where  is the ' || p_name || chr(10) || '?', '\s+', ' ', 'g'))) AS question FROM part")
+def question_unwrap(spark, d):
+    asked = F.concat(F.lit("Where  is the "), "p_name", F.lit("\n?"))
+    wrapped = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Current Date: x, Now Answer the Question:"), asked, F.lit(" Answer: "))).otherwise(asked)
+    return T(spark, d, "part").select("p_partkey", evaluation.unwrapped(wrapped).alias("question"))
+
+
+@query("SELECT o_orderkey AS id FROM orders JOIN customer ON o_custkey = c_custkey WHERE contains(lower(o_orderpriority), 'urgent') OR contains(lower(c_mktsegment), 'urgent') OR contains(lower(c_name), 'urgent')")
+def links_with_text(spark, d):
+    o = T(spark, d, "orders").join(T(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    links = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("predicate"), F.col("c_name").alias("source_name"), F.col("c_mktsegment").alias("target_name"), F.col("o_orderstatus").alias("fact"), F.col("o_orderdate").cast("string").alias("label"))
+    return graph.by_time_label(graph.text_filter(links, "Urgent")).select("id")
+
+
+@query(r"SELECT conv_id, turn, w AS text, CAST(length(w) AS DOUBLE) AS score, 1 AS detector FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM conversations WHERE NOT contains(text, 'z')) WHERE length(w) >= 12")
+def detected_mentions(spark, d):
+    """The first detector answers nothing, the second long words; texts with a z fail in both."""
+    c = T(spark, d, "conversations").select("conv_id", "turn", "text")
+    return models.detect(c, "text", [no_detector, long_words]).select("conv_id", "turn", "text", "score", "detector")
+
+
+def no_detector(text_: str) -> list | None:
+    return None
+
+
+def long_words(text_: str) -> list[tuple]:
+    import re
+
+    if "z" in text_:
+        raise ValueError("z")
+    return [(w, "WORD", float(len(w))) for w in re.findall("[a-z]+", text_) if len(w) >= 12]
+
+
+HEAD = [[((i * 7 + j * 3) % 11 - 5) / 10 for j in range(64)] for i in range(3)]
+
+
+@query("SELECT vec_id, " + ", ".join(f"round(tanh(list_dot_product(embedding::DOUBLE[], [{', '.join(map(str, w))}]::DOUBLE[]) + {0.1 * i}), 6) AS d{i}" for i, w in enumerate(HEAD)) + " FROM embeddings")
+def dense_head(spark, d):
+    got = models.dense(F.col("embedding").cast("array<double>"), HEAD, [0.1 * i for i in range(3)])
+    return T(spark, d, "embeddings").withColumn("d", got).select("vec_id", *[F.round(F.col("d")[i], 6).alias(f"d{i}") for i in range(3)])
+
+
+POOLED_SQL = "CASE WHEN vec_id % 2 = 0 THEN (e[{i}] + e[{i} + 16] + e[{i} + 32]) / 3 ELSE (e[{i}] + e[{i} + 32]) / 2 END"
+
+
+@query(f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), m AS (SELECT vec_id, [{', '.join(POOLED_SQL.format(i=i) for i in range(1, 17))}] AS m FROM v) SELECT vec_id, round(m[1] / sqrt(list_dot_product(m, m)), 5) AS first, round(m[16] / sqrt(list_dot_product(m, m)), 5) AS last FROM m")
+def token_pooling(spark, d):
+    """Three token vectors a row, the second masked in every other."""
+    tokens = F.array(*[F.slice("embedding", 1 + 16 * k, 16) for k in range(3)])
+    mask = F.array(F.lit(1), (1 - F.col("vec_id") % 2).cast("int"), F.lit(1))
+    got = T(spark, d, "embeddings").withColumn("p", models.mean_pool(tokens, mask))
+    return got.select("vec_id", F.round(F.col("p")[0], 5).alias("first"), F.round(F.col("p")[15], 5).alias("last"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: round(x::DOUBLE, 4))), 4) AS total FROM embeddings")
+def rounded_vectors(spark, d):
+    total = F.aggregate(vectors.rounded(F.col("embedding")), F.lit(0.0), lambda s, x: s + x)
+    return T(spark, d, "embeddings").select("vec_id", F.round(total, 4).alias("total"))
+
+
+@query("""WITH a AS (SELECT event_id AS id, row_number() OVER (ORDER BY event_id) AS place FROM events WHERE event_type = 'purchase'), b AS (SELECT event_id AS id, row_number() OVER (ORDER BY value DESC, event_id) AS place FROM events QUALIFY place <= 500)
+SELECT id, min(list) AS list, arg_min(place, list) AS place FROM (SELECT id, 0 AS list, place FROM a UNION ALL SELECT id, 1, place FROM b) GROUP BY id""")
+def candidate_union(spark, d):
+    """All purchases by id, then the 500 events of highest value: an id keeps its first place."""
+    e = T(spark, d, "events").withColumn("id", F.col("event_id"))
+    bought = e.where("event_type = 'purchase'").select("id", F.row_number().over(Window.orderBy("id")).cast("long").alias("place"))
+    best = e.orderBy(F.desc("value"), "id").limit(500).select("id", F.row_number().over(Window.orderBy(F.desc("value"), "id")).cast("long").alias("place"))
+    return retrieval.candidate_union(bought, best).select("id", "place.list", "place.place")
+
+
+@query(f"""{KEYED}, h AS (SELECT m.id, CASE WHEN m.id % 2 = 0 AND e.vec_id IS NOT NULL THEN list_cosine_similarity(e.embedding::DOUBLE[], {VSQL}) ELSE CAST(k AS DOUBLE) END * CASE WHEN m.id % 3 = 0 THEN 0.3 ELSE 1.0 END AS s FROM m LEFT JOIN embeddings e ON e.vec_id = m.id)
+SELECT id, round(s, 6) AS score FROM (SELECT * FROM h ORDER BY s DESC, id LIMIT 60) WHERE s > 0""")
+def mixed_slice(spark, d):
+    """Cosine where a fact has a vector, the raw overlap where it has none, less for speech."""
+    v = T(spark, d, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), "embedding")
+    facts = T(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ins_seq"), F.col("text").alias("event_text"), (F.col("doc_id") % 3 == 0).alias("speech_act"))
+    return retrieval.dense_slice(facts.join(v, "id", "left"), VECTOR, WORDS, 60).select("id", F.round("dense", 6).alias("score"))
+
+
+@query(f"""WITH {A.EVENTS_SQL} SELECT id, round((value / 100 + 2 * (id % 10) / 10.0 + id % 3 + 0.5 * (id % 2) + CASE WHEN id % 4 = 0 THEN 0.5 ELSE 0 END + 0.3 / (1 + {DM} / 30)) * CASE WHEN speech_act THEN 0.3 ELSE 1.0 END * CASE WHEN id % 5 = 0 THEN 0.3 ELSE 1.0 END, 6) AS score FROM ev""")
+def composed_score(spark, d):
+    i = F.col("id")
+    parts = {"dense": F.col("value") / 100, "overlap": (i % 10) / 10.0, "expansion_bonus": i % 3, "descriptor_bonus": 0.5 * (i % 2), "mentioned": i % 4 == 0, "superseded_by": F.when(i % 5 == 0, i)}
+    scored = retrieval.compose(A.events(spark, d).withColumns(parts), temporal.resolve_query("how is it", ANCHOR))
+    return scored.select("id", F.round("score", 6).alias("score"))
+
+
 # ---- order-dependent and streaming operators: tests hold them to plain versions
 
 

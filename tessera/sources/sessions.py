@@ -6,7 +6,7 @@ import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Compressed bytes that are decoded at a time.
@@ -81,6 +81,12 @@ def unzipped(entries: DataFrame, source: str) -> DataFrame:
     return kept.select(F.explode(F.arrays_zip("questions", "answers", ids.alias("ids"), F.col("metadata.question_types").alias("types"))).alias("z")).select(F.col("z.questions").alias("question"), F.col("z.answers").alias("answers"), F.col("z.ids").alias("question_id"), F.col("z.types").alias("question_type"))
 
 
+def joined_lines(rows: DataFrame, keys: list[str], order: str, line: Column, name: str = "text") -> DataFrame:
+    """Lines of each group joined by newlines, in order."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), line.alias("line")))), lambda s: s["line"])
+    return rows.groupBy(*keys).agg(F.array_join(listed, "\n").alias(name), F.count("*").alias("lines"))
+
+
 def turn_text(events: DataFrame, session: str = "session_id") -> DataFrame:
     """Labelled lines of each ended turn: what the user (or a goal or schedule) said
     since the turn's start, and what the assistant answered in that turn."""
@@ -91,5 +97,4 @@ def turn_text(events: DataFrame, session: str = "session_id") -> DataFrame:
     said = F.array_join(F.transform(F.filter(body, lambda b: b["type"] == "text"), lambda b: b["text"]), "\n")
     admitted = F.when((F.col("type") == "user/message") & (F.col("data.source.kind").isin("user", "goal") | (F.col("data.source.plugin") == "schedule")), "user").when(F.col("type") == "assistant/message", "assistant")
     marked = events.withColumns({"_start": start, "_who": admitted, "_said": said}).where("_who IS NOT NULL AND _said <> '' AND (_start IS NULL OR seq >= _start)")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat("_who", F.lit(": "), "_said").alias("line")))), lambda s: s["line"])
-    return marked.groupBy(session, F.col("data.turn").alias("turn")).agg(F.array_join(lines, "\n").alias("turn_text"))
+    return joined_lines(marked.withColumn("turn", F.col("data.turn")), [session, "turn"], "seq", F.concat("_who", F.lit(": "), "_said"), "turn_text").drop("lines")

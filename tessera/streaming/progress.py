@@ -11,7 +11,8 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "session_id string, ins_seq long, predicate string, entity_name string, text string"
@@ -103,6 +104,13 @@ def project(rows: list[tuple], state: tuple[str | None, dict]) -> tuple[list[tup
     return out, (signature, prompts)
 
 
+def changed(rows: DataFrame, key: str, order: list[str], signature: str) -> DataFrame:
+    """Rows of each key whose signature is another than the one before, null included."""
+    before = F.lag(signature).over(Window.partitionBy(key).orderBy(*order))
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1
+    return rows.withColumns({"_before": before, "_first": first}).where(F.col("_first") | ~F.col("_before").eqNullSafe(F.col(signature))).drop("_before", "_first")
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["session_id", "ins_seq", "predicate", "entity_name", "text"])
 
