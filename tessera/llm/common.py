@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import gc
 import hashlib
 import tempfile
@@ -151,6 +153,23 @@ class Memo(dict):
         return value
 
 
+def trimmed(made):
+    """made (a function of batches) that gives memory it no longer uses back to the
+    system when a task ends, as workers stay and other stages need it."""
+
+    @functools.wraps(made)
+    def run(batches):
+        try:
+            yield from made(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library can
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def claim(owner: str) -> None:
     """A worker serves one operator after another: empty what the others remember."""
     for ref in list(_MEMOS):

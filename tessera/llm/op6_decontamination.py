@@ -278,7 +278,7 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
                     columns["body"] = pa.nulls(batch.num_rows, pa.string())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-        state = state.mapInArrow(searched, schema)
+        state = state.mapInArrow(common.trimmed(searched), schema)
     return state.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], "n_words", "spans", "items")
 
 

@@ -115,7 +115,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["code", "n"])
 
-    sums = common.doc_texts(docs).mapInArrow(counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    sums = common.doc_texts(docs).mapInArrow(common.trimmed(counted), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     out = np.zeros(SIZE**3, dtype=np.int64)
     for r in sums.toLocalIterator():
         out[r["code"]] = r["n"]
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
             names = sorted(set(seen[0]) | set(seen[1]))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][f] for f in names], pa.int64()), pa.array([seen[0][f] for f in names], pa.int64())], names=["f", "a", "b"])
 
-    sums = texts.mapInArrow(counted, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sums = texts.mapInArrow(common.trimmed(counted), "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     # pooled two-proportion statistic of the shares of toxic and of other documents that hold the feature
     share = (F.col("a") + F.col("b")) / F.lit(pos + neg)
     spread = F.sqrt(share * (1 - share) * F.lit(1 / pos + 1 / neg))
@@ -256,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
             found = [sorted(at[f] for f in document_features(t or "", restorer, words) if f in at) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "x"])
 
-    got = texts.mapInArrow(marked, "toxic int, x array<int>").collect()
+    got = texts.mapInArrow(common.trimmed(marked), "toxic int, x array<int>").collect()
     x, y = np.zeros((len(got), len(at)), dtype=np.float32), np.array([r["toxic"] for r in got], dtype=np.float64)
     for i, r in enumerate(got):
         x[i, r["x"]] = 1
@@ -282,7 +282,7 @@ def scored(docs: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
                 s += [model.score(t) for t in batch.column(0).slice(start, 500).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())], names=[*batch.schema.names[1:], "score", "predicted"])
 
-    return picked.mapInArrow(made, ", ".join([*[f"c{i} {kinds[c]}" for i, c in enumerate(keep)], "score double, predicted int"]))
+    return picked.mapInArrow(common.trimmed(made), ", ".join([*[f"c{i} {kinds[c]}" for i, c in enumerate(keep)], "score double, predicted int"]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -167,7 +167,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(out, pa.binary())] * keep_ids + others, names=made + [f"c{k}" for k in range(len(kept))])
 
     picked = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[docs[c].alias(f"c{k}") for k, c in enumerate(kept)])
-    out = picked.mapInArrow(encoded, ", ".join([schema, *[f"c{k} {kinds[c]}" for k, c in enumerate(kept)]]))
+    out = picked.mapInArrow(common.trimmed(encoded), ", ".join([schema, *[f"c{k} {kinds[c]}" for k, c in enumerate(kept)]]))
     return out.withColumnsRenamed({f"c{k}": c for k, c in enumerate(kept)})
 
 

@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 names=["doc_id", "n", "fp1", "fp2", "bands"],
             )
 
-    return common.doc_texts(docs).mapInArrow(made, "doc_id long, n long, fp1 long, fp2 long, bands array<long>")
+    return common.doc_texts(docs).mapInArrow(common.trimmed(made), "doc_id long, n long, fp1 long, fp2 long, bands array<long>")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
         for ids, texts in common.rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([z.compress(t) for t in texts], pa.binary())], names=["doc_id", "z"])
 
-    return common.doc_texts(docs).where("doc_id IS NOT NULL").mapInArrow(packed, "doc_id long, z binary")
+    return common.doc_texts(docs).where("doc_id IS NOT NULL").mapInArrow(common.trimmed(packed), "doc_id long, z binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -134,7 +134,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
 
     right = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("z").alias("zv")), "v")
     both = right.join(texts.select(F.col("doc_id").alias("u"), F.col("z").alias("zu")), "u")
-    return both.select("u", "v", "zu", "zv").mapInArrow(checked, "u long, v long")
+    return both.select("u", "v", "zu", "zv").mapInArrow(common.trimmed(checked), "u long, v long")
 
 
 def set_rows(opened: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -151,7 +151,7 @@ def set_rows(opened: DataFrame, texts: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.repeat(comps, n)), pa.array(np.repeat(n, n)), pa.array(s)], names=["id", "component", "n", "s"])
 
     held = opened.join(texts.withColumnRenamed("doc_id", "id"), "id").select("id", "component", "z")
-    return held.mapInArrow(made, "id long, component long, n long, s long")
+    return held.mapInArrow(common.trimmed(made), "id long, component long, n long, s long")
 
 
 def near_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
