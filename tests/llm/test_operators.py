@@ -542,6 +542,35 @@ def test_toxicity_restores_and_scores(spark):
     assert op7_toxicity.accepted(docs, given).columns == docs.columns
 
 
+def test_toxicity_decoder_against_all_paths(spark):
+    """Viterbi finds the best of all readings of short tokens."""
+    model = op7_toxicity.CharacterModel(op7_toxicity.trigram_counts(table(spark, [(1, "you idiot that is a silly little test of letters and idiots " * 20)])))
+
+    def readings(token, at=0, last="", letters="", cost=0.0):
+        if at == len(token):
+            yield letters, cost
+            return
+        sign = token[at]
+        options = [(sign, 0.0)] * (sign in op7_toxicity.SYMBOL) + [(c, op7_toxicity.SUBSTITUTE) for c in op7_toxicity.LOOKALIKE.get(sign, "")]
+        skip = op7_toxicity.SEPARATE if sign in op7_toxicity.SEPARATORS else op7_toxicity.COLLAPSE if sign == last and sign in op7_toxicity.SYMBOL else None
+        if not options and skip is None:
+            skip = op7_toxicity.SUBSTITUTE
+        for c, price in options:
+            yield from readings(token, at + 1, sign, letters + c, cost + price)
+        if skip is not None:
+            yield from readings(token, at + 1, sign, letters, cost + skip)
+
+    def scored(letters, cost):
+        symbols = [0, 0, *(op7_toxicity.SYMBOL[c] for c in letters), 0]
+        return cost + sum(model.log[a][b][c] for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False))
+
+    rng = random.Random(46)
+    for token in ["1d1ot", "i.d.i", "sillly", "t3$t", "l!ttle"] + ["".join(rng.choice("idtse13$!.-l") for _ in range(rng.randrange(1, 8))) for _ in range(300)]:
+        best = max(scored(*r) for r in readings(token))
+        got = model.decode(token)
+        assert abs(max(scored(x, c) for x, c in readings(token) if x == got) - best) < 1e-9
+
+
 def test_toxicity_of_awkward_tables(spark, docs, labels):
     out = op7_toxicity.toxicity(docs, labels)
     assert out.count() == docs.count() and all(0 <= r["score"] <= 1 for r in out.collect())
