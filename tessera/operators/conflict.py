@@ -56,6 +56,14 @@ def widened(new: DataFrame, events: DataFrame) -> DataFrame:
     return asked.join(old, ["subject", "token"]).where("old_ins_seq < ins_seq").select(F.col("id").alias("new_id"), "old_id").distinct()
 
 
+def object_values(events: DataFrame, entities: DataFrame) -> DataFrame:
+    """events with object_value: the first object's canonical name, trimmed, in lower
+    case; null without an object."""
+    named = entities.select(F.col("id").alias("_o"), F.lower(F.trim("canonical_name")).alias("object_value"))
+    first = events.withColumn("_o", F.try_element_at("object_ids", F.lit(1)))
+    return first.join(named, "_o", "left").drop("_o")
+
+
 def contested(pairs: DataFrame, events: DataFrame) -> DataFrame:
     """new_id of events that, with their predecessors, hold exactly two values, one
     of them another than the new one's.  Events: id, object_value, normalized_text."""

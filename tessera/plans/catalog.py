@@ -907,6 +907,13 @@ def sure_of_the_first(lines: list[tuple]) -> str:
     return "\n".join(f"{i}: 1: {'sure' if len(line[0]) % 2 == 0 else 'unsure'}" for i, line in enumerate(lines, 1))
 
 
+@query("SELECT o_orderkey AS id, lower(p_name) AS object_value FROM orders LEFT JOIN (SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS k FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = k")
+def object_value(spark, d):
+    """The name of each order's first part."""
+    entities = T(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.concat(F.lit(" "), F.upper("p_name")).alias("canonical_name"))
+    return conflict.object_values(order_events(spark, d), entities).select("id", "object_value")
+
+
 SPLIT_EVENTS = "ev2 AS (SELECT *, predicate || CASE WHEN id % 2 = 0 THEN '_made' ELSE '_done' END AS p2 FROM ev)"
 
 
