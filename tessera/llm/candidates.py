@@ -84,7 +84,9 @@ def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
     prefix = placed.where(F.expr(f"at <= n - (({percent} * n + 99) div 100) + 1")).select("id", "component", "n", "s", "at")
     prefix = common.materialize(prefix, "prefix")
     owned = prefix.groupBy("s", "component").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("components"))
-    shared = prefix.join(owned.where("components > 1").drop("components"), "s")
+    # written between the joins, so that each has two shuffled sides, whose skewed parts Spark splits
+    owned = common.materialize(owned.where("components > 1").drop("components"), "owned")
+    shared = common.materialize(prefix.join(owned, "s"), "shared")
     left = shared.where("component <> largest").select("s", F.col("id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("at").alias("au"))
     right = shared.select("s", F.col("id").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), F.col("at").alias("av"))
     fits = F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
