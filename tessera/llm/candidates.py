@@ -11,6 +11,8 @@ settled by an exact prefix join over the sets themselves.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -19,6 +21,8 @@ from . import common
 
 #: Members of a group on average; levels of groups, enough for FAN ** LEVELS members.
 FAN, LEVELS = 64, 6
+#: Remainders of elements whose frequencies are told apart.
+CLASSES = 1 << 18
 #: Four orders in which heads are least: a bucket takes one by its key.
 ORDERS = (0, -1, 0x5555555555555555, -0x5555555555555556)
 
@@ -67,22 +71,33 @@ def opened(held: DataFrame, comps: DataFrame) -> DataFrame:
     return labelled.join(split, "key", "left_semi")
 
 
-def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(u, v) with u < v of different components that may reach the similarity, of
-    the elements s of whole sets: rows (id, component, n, s), n the set's size.
-
-    Elements are ordered by how many sets hold them, rarest first; two sets at the
-    threshold must share one of the first n - ceil(percent of n) + 1 of either.
-    What a template's texts share is frequent and stands outside these, and of an
-    element's holders the largest component meets only the others, never itself.
-    Positions and sizes drop pairs that can't reach the overlap.  No pair at the
-    threshold is lost."""
-    held = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    whole = Window.partitionBy("id")
-    # elements of one set alone come first in its order and meet nothing
-    placed = rows.join(held, "s").withColumn("at", F.col("n") - F.count("*").over(whole) + F.row_number().over(whole.orderBy("df", "s")))
-    prefix = placed.where(F.expr(f"at <= n - (({percent} * n + 99) div 100) + 1")).select("id", "component", "n", "s", "at")
-    prefix = common.materialize(prefix, "prefix")
+def frequency_classes(sets: DataFrame) -> bytes:
+    """By the remainder of an element, how many sets hold elements of that remainder, on a
+    scale of sixteenths of a power of two; CLASSES bytes, whatever the sets."""
+    counted = sets.select(F.explode_outer("s").alias("x")).where("x IS NOT NULL").groupBy(F.pmod("x", F.lit(CLASSES)).cast("int").alias("b")).agg(F.count("*").alias("n"))
+    out = bytearray(CLASSES)
+    for r in counted.collect():
+        out[r["b"]] = min(255, int(16 * math.log2(r["n"] + 1)))
+    return bytes(out)
+
+
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v) with u < v of different components that may reach the similarity: sets
+    (id, component, s) of distinct hashed elements.
+
+    Elements are put in one order for all sets, rare ones first, as their classes tell
+    (frequency_classes); two sets at the threshold must share one of the first
+    n - ceil(percent of n) + 1 of either, in whatever order.  What a template's texts
+    share is frequent and stands outside these, and of an element's holders the
+    largest component meets only the others, never itself.  Positions and sizes drop
+    pairs that can't reach the overlap.  No pair at the threshold is lost."""
+    classes = F.lit(frequency_classes(sets))
+    n = F.size("s").cast("long")
+    ranked = F.array_sort(F.transform("s", lambda x: F.struct(F.substring(classes, F.pmod(x, F.lit(CLASSES)).cast("int") + 1, F.lit(1)).alias("c"), x.alias("x"))))
+    first = F.slice(ranked, F.lit(1), (n - F.ceil(n * percent / 100 - 1e-9)).cast("int") + 1)
+    # outer: else Spark would rank every set once more, to drop empty ones
+    prefix = sets.select("id", "component", n.alias("n"), F.posexplode_outer(first).alias("at", "e")).where("e IS NOT NULL")
+    prefix = common.materialize(prefix.select("id", "component", "n", F.col("e.x").alias("s"), (F.col("at") + 1).alias("at")), "prefix")
     owned = prefix.groupBy("s", "component").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("components"))
     # written between the joins, so that each has two shuffled sides, whose skewed parts Spark splits
     owned = common.materialize(owned.where("components > 1").drop("components"), "owned")

@@ -149,9 +149,8 @@ def open_pairs(held: DataFrame, comps: DataFrame, signed: DataFrame, lines: Data
     ids = near.select("id", "component").union(opened.where(f"members > {WHOLE}").select("id", "component")).distinct()
     # written first: else Spark would compute the sets of all lines, to drop empty ones before the join
     texts = common.materialize(lines.join(ids, "id").select("id", "component", "line"), "line-open-texts")
-    sets = common.spread(texts, "id").select("id", "component", shingles(F.col("line")).alias("s")).withColumn("n", F.size("s").cast("long"))
-    rows = common.materialize(sets.select("id", "component", "n", F.explode("s").alias("s")), "line-open")
-    return small.union(candidates.prefix_pairs(rows, percent)).distinct()
+    sets = common.spread(texts, "id").select("id", "component", shingles(F.col("line")).alias("s"))
+    return small.union(candidates.prefix_pairs(sets, percent)).distinct()
 
 
 def bucketed(df: DataFrame, label: str) -> tuple[DataFrame, str, str]:

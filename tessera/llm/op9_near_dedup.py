@@ -137,21 +137,18 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return both.select("u", "v", "zu", "zv").mapInArrow(common.trimmed(checked), "u long, v long")
 
 
-def set_rows(opened: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(id, component, n, s): the shingles of the opened (id, component)."""
+def opened_sets(opened: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(id, component, s): the shingles of the opened (id, component)."""
 
     def made(batches):
         common.claim("op9")
         z = zstandard.ZstdDecompressor()
         for batch in batches:
-            ids, comps = (batch.column(i).to_numpy() for i in range(2))
-            sets = [shingle_set(z.decompress(t), size) for t in batch.column(2).to_pylist()]
-            n = np.array([len(x) for x in sets], dtype=np.int64)
-            s = np.concatenate(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.repeat(comps, n)), pa.array(np.repeat(n, n)), pa.array(s)], names=["id", "component", "n", "s"])
+            sets = [shingle_set(z.decompress(t), size).view(np.int64) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["id", "component", "s"])
 
     held = opened.join(texts.withColumnRenamed("doc_id", "id"), "id").select("id", "component", "z")
-    return held.mapInArrow(common.trimmed(made), "id long, component long, n long, s long")
+    return held.mapInArrow(common.trimmed(made), "id long, component long, s array<long>")
 
 
 def near_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -170,7 +167,7 @@ def near_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     comps = components(links, "near")
     opened = common.materialize(candidates.opened(held, comps).select("id", "component").distinct(), "opened")
     if not opened.isEmpty():
-        sets = common.materialize(set_rows(opened, texts, size), "sets")
+        sets = common.materialize(opened_sets(opened, texts, size), "sets")
         fresh = common.materialize(candidates.prefix_pairs(sets, percent).join(pairs, ["u", "v"], "left_anti"), "fresh")
         found = common.materialize(verify(fresh, texts, size, percent), "found")
         if not found.isEmpty():  # components only grow, so nothing that lies across them is untried now

@@ -183,8 +183,8 @@ def test_prefix_pairs_lose_no_link(spark):
         if i % 3 == 0 and i:
             sets[i] = set(sorted(sets[i - 1])[rng.randrange(12) :]) | {5000 + i}
     comps = {i: i if i % 7 else 0 for i in sets}
-    rows = [(i, comps[i], len(x), s) for i, x in sets.items() for s in x]
-    got = {(r["u"], r["v"]) for r in candidates.prefix_pairs(spark.createDataFrame(rows, "id long, component long, n long, s long"), 80).collect()}
+    rows = [(i, comps[i], list(x)) for i, x in sets.items()] + [(1000, 1000, [])]
+    got = {(r["u"], r["v"]) for r in candidates.prefix_pairs(spark.createDataFrame(rows, "id long, component long, s array<long>"), 80).collect()}
     want = {(a, b) for a in sets for b in sets if a < b and comps[a] != comps[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     assert want <= got and len(want) > 20 and len(got) < 160 * 159 // 4
 
