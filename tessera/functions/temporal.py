@@ -13,6 +13,7 @@ from .timeexpr import MONTHS, shift_month
 
 # Months of the seasons; winter reaches into the next year.
 SEASONS = {"spring": (3, 5), "summer": (6, 8), "fall": (9, 11), "autumn": (9, 11), "winter": (12, 2)}
+# Fixed value: how many of which unit back.
 ORDINAL = re.compile(r"\b(last|previous|recent(?:ly)?|past|this)\s*(\d+)?\s*(time|times|day|days|week|weeks|month|months|year|years)?\b")
 UNIT_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
 VAGUE_DAYS = 180
@@ -91,6 +92,7 @@ def resolve_query(query: str, anchor: datetime) -> TemporalOp:
         return TemporalOp("IN_YEAR", anchor, year=y)
 
     last_week, last_month = span(week - timedelta(days=7), week), span(shift_month(month, -1), month)
+    # Chinese words for spans, in turn.
     chinese = (
         (("去年",), in_year(anchor.year - 1)),
         (("今年",), in_year(anchor.year)),

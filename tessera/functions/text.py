@@ -152,9 +152,12 @@ def query_stems(query: str) -> list[str]:
 
 
 # The openings of a question, and vague nouns, that describe nothing.
+OPENING = r"^(what|when|where|who|why|how|which|would|did|does|is|are|has|have|do)\s+"
+VAGUE = r"\b(kind|type|sort) of\b"
+
+
 def key_descriptors(query: str) -> list[str]:
-    q = re.sub(r"^(what|when|where|who|why|how|which|would|did|does|is|are|has|have|do)\s+", "", query.lower())
-    q = re.sub(r"\b(kind|type|sort) of\b", " ", q)
+    q = re.sub(VAGUE, " ", re.sub(OPENING, "", query.lower()))
     return sorted({stem_word(w) for w in query_words(q) if len(w) > 3 and w not in STOPWORDS and w not in LIGHT_WORDS})
 
 

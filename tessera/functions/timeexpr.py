@@ -120,7 +120,7 @@ def _month_year(m: re.Match, b: datetime) -> Resolved | None:
     return first and (first, "month")
 
 
-#: Whole expressions, Chinese first.
+# Whole expressions, Chinese first.
 EXACT: dict[str, Callable[[datetime], Resolved]] = {
     **{k: (lambda b, n=n: (days(b, n), "day")) for k, n in ZH_DAYS.items()},
     "上周": lambda b: (days(b, -7), "day"),
@@ -140,7 +140,7 @@ EXACT: dict[str, Callable[[datetime], Resolved]] = {
     "last weekend": lambda b: (_back(b, 5), "day"),
     "next weekend": lambda b: (_ahead(b, 5), "day"),
 }
-#: Patterns tried before the exact words, and after; a rule may decline.
+# Patterns tried before the exact words, and after; a rule may decline.
 ZH_RULES = [
     (re.compile(r"^(上|这|本|下)?(?:周|星期)([一二三四五六日天])(?:凌晨|早上|上午|中午|下午|晚上|今晚)?(?:\d{1,2}点(?::?\d{1,2}分?)?|半)?$"), _zh_weekday),
     (re.compile(rf"^(\d+|[{''.join(ZH_NUMBERS)}])个?(天|日|周|星期|个月|月|年)前$"), _zh_ago),

@@ -43,6 +43,7 @@ def goal(data: dict) -> tuple[str, str, str] | None:
     return "goal_update", name, f"目标「{short}」状态更新为 {held.get('phase') or op}。"
 
 
+# The sentences made in todo() and schedule() below.
 def todo(items: Any) -> tuple[str, str] | None:
     """(signature, text) of a whole list."""
     if not isinstance(items, list) or not all(isinstance(t, dict) for t in items):
