@@ -12,6 +12,7 @@ settled by an exact prefix join over the sets themselves.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ def frequency_classes(sets: DataFrame) -> bytes:
     return bytes(out)
 
 
-def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+def prefix_pairs(sets: DataFrame, percent: int, marks: Sequence[str] = (), agree: Column | None = None) -> DataFrame:
     """(u, v) with u < v of different components that may reach the similarity: sets
     (id, component, s) of distinct hashed elements.
 
@@ -90,21 +91,23 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     n - ceil(percent of n) + 1 of either, in whatever order.  What a template's texts
     share is frequent and stands outside these, and of an element's holders the
     largest component meets only the others, never itself.  Positions and sizes drop
-    pairs that can't reach the overlap.  No pair at the threshold is lost."""
+    pairs that can't reach the overlap.  No pair at the threshold is lost, but by agree,
+    a condition on further columns of sets, marks, called a.. on one side and b.. on
+    the other."""
     classes = F.lit(frequency_classes(sets))
     n = F.size("s").cast("long")
     ranked = F.array_sort(F.transform("s", lambda x: F.struct(F.substring(classes, F.pmod(x, F.lit(CLASSES)).cast("int") + 1, F.lit(1)).alias("c"), x.alias("x"))))
     first = F.slice(ranked, F.lit(1), (n - F.ceil(n * percent / 100 - 1e-9)).cast("int") + 1)
     # outer: else Spark would rank every set once more, to drop empty ones
-    prefix = sets.select("id", "component", n.alias("n"), F.posexplode_outer(first).alias("at", "e")).where("e IS NOT NULL")
-    prefix = common.materialize(prefix.select("id", "component", "n", F.col("e.x").alias("s"), (F.col("at") + 1).alias("at")), "prefix")
+    prefix = sets.select("id", "component", *marks, n.alias("n"), F.posexplode_outer(first).alias("at", "e")).where("e IS NOT NULL")
+    prefix = common.materialize(prefix.select("id", "component", *marks, "n", F.col("e.x").alias("s"), (F.col("at") + 1).alias("at")), "prefix")
     owned = prefix.groupBy("s", "component").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("components"))
     # written between the joins, so that each has two shuffled sides, whose skewed parts Spark splits
     owned = common.materialize(owned.where("components > 1").drop("components"), "owned")
     shared = common.materialize(prefix.join(owned, "s"), "shared")
-    left = shared.where("component <> largest").select("s", F.col("id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("at").alias("au"))
-    right = shared.select("s", F.col("id").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), F.col("at").alias("av"))
+    left = shared.where("component <> largest").select("s", F.col("id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("at").alias("au"), *[F.col(m).alias(f"a{m}") for m in marks])
+    right = shared.select("s", F.col("id").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), F.col("at").alias("av"), *[F.col(m).alias(f"b{m}") for m in marks])
     fits = F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
     reaches = F.expr(f"(100 + {percent}) * (least(nu - au, nv - av) + 1) >= {percent} * (nu + nv)")
-    met = left.join(right, "s").where((F.col("cu") != F.col("cv")) & fits & reaches)
+    met = left.join(right, "s").where((F.col("cu") != F.col("cv")) & fits & reaches & (F.lit(True) if agree is None else agree))
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()

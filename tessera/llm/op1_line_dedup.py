@@ -148,9 +148,10 @@ def open_pairs(held: DataFrame, comps: DataFrame, signed: DataFrame, lines: Data
     near = one.where(f"members > {SMALL}").join(two, agree & (F.col("component") != F.col("other")), "left_semi")
     ids = near.select("id", "component").union(opened.where(f"members > {WHOLE}").select("id", "component")).distinct()
     # written first: else Spark would compute the sets of all lines, to drop empty ones before the join
-    texts = common.materialize(lines.join(ids, "id").select("id", "component", "line"), "line-open-texts")
-    sets = common.spread(texts, "id").select("id", "component", shingles(F.col("line")).alias("s"))
-    return small.union(candidates.prefix_pairs(sets, percent)).distinct()
+    texts = common.materialize(lines.join(ids, "id").join(signed.select("id", *WORDS), "id").select("id", "component", "line", *WORDS), "line-open-texts")
+    sets = common.spread(texts, "id").select("id", "component", *WORDS, shingles(F.col("line")).alias("s"))
+    found = candidates.prefix_pairs(sets, percent, WORDS, differing("a", "b") <= FUNCTIONS - LEAST)
+    return small.union(found).distinct()
 
 
 def bucketed(df: DataFrame, label: str) -> tuple[DataFrame, str, str]:
