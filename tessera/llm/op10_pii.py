@@ -243,7 +243,7 @@ def lowest(p: np.ndarray, positive: np.ndarray, count: np.ndarray, precision: fl
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION) -> Redactor:
     docs = common.doc_texts(docs)
     x, y = sampled_candidates(docs, sample_docs, sample_rows)
-    if y.min(initial=1) == y.max(initial=0):
+    if not len(y) or y.min() == y.max():
         return Redactor()
     trees = Boosted().fit(x, y)
     kinds, margins, positive, count = score_histogram(docs, trees).T
