@@ -86,12 +86,14 @@ def detect(texts: DataFrame, column: str, chain: list[Detector]) -> DataFrame:
     return picked.mapInArrow(found, schema).withColumnsRenamed({f"c{k}": c for k, c in enumerate(names)})
 
 
-def mentions(detected: DataFrame, key: str, labels: dict[str, str]) -> DataFrame:
+def mentions(detected: DataFrame, key: str, labels: dict[str, str], order: str | None = None) -> DataFrame:
     """detected (key, text, label, score): the best score of each text, of MIN_SCORE
-    or more, with a known label, the MAX_MENTIONS best of each key."""
+    or more, with a known label, the MAX_MENTIONS best of each key.  Of equal scores
+    the first by order, a column of numbers, gives the label; without it, the last
+    label in code-point order."""
     mapped = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
     known = detected.withColumn("label", F.try_element_at(mapped, F.upper("label"))).where((F.col("score") >= MIN_SCORE) & F.col("label").isNotNull())
-    best = known.groupBy(key, F.lower("text").alias("text")).agg(F.max_by("label", "score").alias("label"), F.max("score").alias("score"))
+    best = known.groupBy(key, F.lower("text").alias("text")).agg(F.max_by("label", F.struct("score", -F.col(order) if order else F.col("label"))).alias("label"), F.max("score").alias("score"))
     order = Window.partitionBy(key).orderBy(F.desc("score"), "text")
     return best.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= MAX_MENTIONS).drop("_n")
 

@@ -821,8 +821,8 @@ SELECT user_id, text, label, round(CAST(score AS DOUBLE), 6) AS score FROM b QUA
 def detector_filter(spark, d):
     i = F.col("event_id")
     label = F.when(i % 4 == 0, "per").when(i % 4 == 1, "prod").when(i % 4 == 2, "misc").otherwise("time")
-    seen = T(spark, d, "events").select("user_id", F.concat("event_type", i % 9).alias("text"), label.alias("label"), (i * 7919 % 100003 / 100003.0).alias("score"))
-    found = models.mentions(seen, "user_id", {"PER": "PERSON", "PROD": "OBJECT", "MISC": "CONCEPT"})
+    seen = T(spark, d, "events").select("event_id", "user_id", F.concat("event_type", i % 9).alias("text"), label.alias("label"), (i * 7919 % 100003 / 100003.0).alias("score"))
+    found = models.mentions(seen, "user_id", {"PER": "PERSON", "PROD": "OBJECT", "MISC": "CONCEPT"}, "event_id")
     return found.select("user_id", "text", "label", F.round("score", 6).alias("score"))
 
 

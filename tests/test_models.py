@@ -35,3 +35,12 @@ def test_page_escapes(spark):
     text = page(nodes, links, 2)
     held = re.search(r'application/json">(.*?)</script>', text)[1]
     assert "<" not in held and [x["target"] for x in json.loads(held)["links"]] == ["b"]
+
+
+def test_mentions_of_equal_scores(spark):
+    rows = [(i, 1, "Ann" if i % 2 else "ann", label, 0.9) for i, label in ((1, "b"), (2, "a"), (3, "c"), (0, "d"))] + [(4, 1, "bob", "b", 0.9), (5, 1, "bob", "a", 0.9), (6, 1, "bob", "c", 0.8)]
+    labels = {"A": "OBJECT", "B": "PERSON", "C": "CONCEPT"}
+    for found in (rows, rows[::-1]):
+        df = spark.createDataFrame(found, "n long, k long, text string, label string, score double").repartition(1)
+        assert {r["text"]: r["label"] for r in models.mentions(df, "k", labels, "n").collect()} == {"ann": "PERSON", "bob": "PERSON"}
+        assert {r["text"]: r["label"] for r in models.mentions(df, "k", labels).collect()} == {"ann": "PERSON", "bob": "PERSON"}
