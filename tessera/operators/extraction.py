@@ -110,7 +110,7 @@ def known_names(entities: DataFrame, texts: DataFrame | None = None, key: str =
         first = shown.orderBy("shown").limit(KNOWN_NAMES).agg(F.array_join(F.array_sort(F.collect_list("shown")), ", ").alias("names"), F.count("*").alias("n"))
         return first.select(F.when(F.col("n") == 0, "(none yet)").otherwise(cut(F.col("names"))).alias("names"))
     asked = texts.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    held = contained(asked, "_t", shown.select(F.col("shown").alias("key"), "name")).withColumnsRenamed({"key": "_shown", "_k": key})
+    held = contained(asked, "_t", shown.select(F.col("shown").alias("key"), "name"), keep=["_k"]).withColumnsRenamed({"key": "_shown", "_k": key})
     nth = F.row_number().over(Window.partitionBy(key).orderBy("_shown"))
     listed = held.select(key, "_shown").distinct().withColumn("_n", nth).where(F.col("_n") <= KNOWN_NAMES).groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("_shown")), ", ").alias("names"))
     none = entities.limit(1).agg((F.count("*") == 0).alias("_none"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +14,8 @@ from ..schema import JOURNAL_OPS, PAYLOAD
 
 #: Names that are sent to the workers at a time.
 NAMES = 200_000
+#: Bytes of rows that a worker makes of a text's copies at a time.
+PIECE = 8 << 20
 
 
 def valid_records(journal: DataFrame) -> DataFrame:
@@ -177,29 +179,41 @@ def _automaton(key: str, block: tuple):
     return found
 
 
-def contained(texts: DataFrame, text: str, named: DataFrame, block: int = NAMES) -> DataFrame:
-    """texts with each key of named (key, name) whose name, in lower case and not
-    empty, the text contains, once a pair.  Names go to the workers in blocks, whatever
-    their number, and a text is searched for a block's names in one pass; texts
-    aren't moved."""
-    kinds, columns = dict(texts.dtypes), texts.columns
+def contained(texts: DataFrame, text: str, named: DataFrame, block: int = NAMES, keep: Sequence[str] | None = None) -> DataFrame:
+    """texts (its columns keep; all, if None) with each key of named (key, name) whose
+    name, in lower case and not empty, the text contains, once a pair.  Names go to the
+    workers in blocks, whatever their number, and a text is searched for a block's names
+    in one pass; texts aren't moved.  What is kept is copied to each of a text's keys, so
+    leave a long text out of keep; copies go out in pieces of PIECE bytes."""
+    kinds, columns = dict(texts.dtypes), texts.columns if keep is None else [*keep]
     key_kind = dict(named.dtypes)["key"]
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), f"key {key_kind}"])
-    lowered = texts.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    lowered = texts.select(*[F.col(f"`{c}`") for c in columns], F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
 
     def searched(part: list) -> DataFrame:
         sent, name = texts.sparkSession.sparkContext.broadcast(tuple(part)), uuid.uuid4().hex
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(name, sent.value) if sent.value else None
-            for b in batches:
-                at, keys = [], []
-                for i, t in enumerate(b.column(b.num_columns - 1).to_pylist() if automaton else ()):
-                    met = {k: None for _, owners in automaton.iter(t) for k in owners}
-                    at += [i] * len(met)
-                    keys += met
-                rows = b.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(keys, kind_of(key_kind))], names=[*columns, "key"])
+            for b in batches if automaton else ():
+                low, kept = b.column(b.num_columns - 1), b.select([*range(b.num_columns - 1)])
+                at, keys, size = [], [], 0
+
+                def piece(kept=kept) -> pa.RecordBatch:
+                    return pa.RecordBatch.from_arrays([*kept.take(pa.array(at, pa.int64())).columns, pa.array(keys, kind_of(key_kind))], names=[*columns, "key"])
+
+                for i in range(b.num_rows):
+                    met = {k: None for _, owners in automaton.iter(low[i].as_py()) for k in owners}
+                    width = kept.slice(i, 1).nbytes + 64 if met else 0
+                    for k in met:
+                        at.append(i)
+                        keys.append(k)
+                        size += width
+                        if size >= PIECE:
+                            yield piece()
+                            at, keys, size = [], [], 0
+                if at:
+                    yield piece()
 
         return lowered.mapInArrow(found, schema)
 

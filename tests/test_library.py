@@ -7,6 +7,7 @@ import random
 from datetime import datetime as D
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,25 @@ def test_contained_against_plain(spark, monkeypatch):
     assert graph.contained(df, "t", named.where("false")).count() == 0
 
 
+def test_contained_copies_in_pieces(spark, monkeypatch):
+    """A long text isn't copied to each of its names at once, nor at all where it isn't kept."""
+    words = [f"w{i:04}" for i in range(500)]
+    df = spark.createDataFrame([(1, " ".join(words) * 20), (2, "w0001")], "i long, t string").repartition(1)
+    named = spark.createDataFrame(list(enumerate(words)), "key long, name string")
+
+    def seen(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["n", "bytes"])
+
+    made = {}
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema, *a, plain=type(df).mapInArrow, **k: made.setdefault("df", plain(self, lambda batches: seen(f(batches)), "n long, bytes long")))
+    for keep, most in ((None, 8 << 20), (["i"], 1 << 20)):
+        made.clear()
+        graph.contained(df, "t", named, keep=keep)
+        sizes = made["df"].collect()
+        assert sum(r["n"] for r in sizes) == 501 and max(r["bytes"] for r in sizes) <= most + (1 << 20)
+
+
 def test_lookup_by_name_and_type(spark):
     e = entities(spark, entity(0, "Ann", aliases=["Annie"]), entity(1, "Tea", "OBJECT"))
     asked = spark.createDataFrame([(" annie ",), ("TEA",), ("x",)], "n string")
