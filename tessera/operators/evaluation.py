@@ -96,9 +96,10 @@ def verifiable(answer: Column) -> Column:
 def answer_support(answers: DataFrame, facts: DataFrame, words: list[str]) -> DataFrame:
     """(answer, strong, weak): facts that contain the answer, with or without a word
     of the question."""
-    held = contained(facts, "fact", answers.select(F.col("answer").alias("key"), F.col("answer").alias("name"))).withColumnRenamed("key", "answer")
     strong = F.arrays_overlap(words_of(F.col("fact")), array_of(words)) if words else F.lit(False)
-    return held.groupBy("answer").agg(F.count_if(strong).alias("strong"), F.count_if(~strong).alias("weak"))
+    named = answers.select(F.col("answer").alias("key"), F.col("answer").alias("name"))
+    held = contained(facts.select("fact", strong.alias("_strong")), "fact", named, keep=["_strong"]).withColumnRenamed("key", "answer")
+    return held.groupBy("answer").agg(F.count_if("_strong").alias("strong"), F.count_if(~F.col("_strong")).alias("weak"))
 
 
 def tool_audit(calls: DataFrame, results: DataFrame) -> DataFrame:
