@@ -65,9 +65,10 @@ def pairs(held: DataFrame) -> DataFrame:
 
 
 def opened(held: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, id, component, members) of the buckets that lie in several components; in
-    one of two members the only pair was tried."""
-    labelled = held.where("members > 2").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), "members")
+    """(key, id, component, members), and what else held has, of the buckets that lie in
+    several components; in one of two members the only pair was tried."""
+    more = [c for c in held.columns if c not in ("key", "id", "members")]
+    labelled = held.where("members > 2").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), "members", *more)
     split = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
     return labelled.join(split, "key", "left_semi")
 
@@ -102,11 +103,12 @@ def prefix_pairs(sets: DataFrame, percent: int, marks: Sequence[str] = (), agree
     prefix = sets.select("id", "component", *marks, n.alias("n"), F.posexplode_outer(first).alias("at", "e")).where("e IS NOT NULL")
     prefix = common.materialize(prefix.select("id", "component", *marks, "n", F.col("e.x").alias("s"), (F.col("at") + 1).alias("at")), "prefix")
     owned = prefix.groupBy("s", "component").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("components"))
-    # written between the joins, so that each has two shuffled sides, whose skewed parts Spark splits
-    owned = common.materialize(owned.where("components > 1").drop("components"), "owned")
-    shared = common.materialize(prefix.join(owned, "s"), "shared")
-    left = shared.where("component <> largest").select("s", F.col("id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("at").alias("au"), *[F.col(m).alias(f"a{m}") for m in marks])
-    right = shared.select("s", F.col("id").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), F.col("at").alias("av"), *[F.col(m).alias(f"b{m}") for m in marks])
+    owned = owned.where("components > 1").select(F.col("s").alias("e"), "largest")
+    # written between the joins, so that each has two shuffled sides, whose skewed parts Spark splits;
+    # holders of the largest component, most of a hot element's, aren't copied here
+    few = common.materialize(prefix.join(common.materialize(owned, "owned"), (F.col("s") == F.col("e")) & (F.col("component") != F.col("largest"))).drop("e", "largest"), "few")
+    left = few.select("s", F.col("id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("at").alias("au"), *[F.col(m).alias(f"a{m}") for m in marks])
+    right = prefix.select("s", F.col("id").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), F.col("at").alias("av"), *[F.col(m).alias(f"b{m}") for m in marks])
     fits = F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
     reaches = F.expr(f"(100 + {percent}) * (least(nu - au, nv - av) + 1) >= {percent} * (nu + nv)")
     met = left.join(right, "s").where((F.col("cu") != F.col("cv")) & fits & reaches & (F.lit(True) if agree is None else agree))

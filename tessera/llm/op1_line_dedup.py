@@ -13,7 +13,9 @@
    that agree in fewer than LEAST of them (3 pairs in 10^6 at the threshold); the
    rest are verified by the exact Jaccard similarity of their shingle sets, and
    verified pairs are joined by a distributed union-find (components).
-4. Buckets whose members still lie in several components are taken up again.  In
+4. Buckets whose members still lie in several components are taken up again.  First
+   neighbours in them that agree most are verified, so that families of near copies
+   become few components (this settles nothing by itself).  Then, in what is open, in
    buckets of at most SMALL members, members of different components that agree often
    enough are verified.  In larger ones a semi-join tells which lines agree with
    any member of another component, without making pairs; those lines, and all
@@ -35,7 +37,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import candidates, common
@@ -45,6 +47,7 @@ SHINGLE, BANDS, ROWS, PERCENT = 8, 14, 3, 80
 FUNCTIONS = BANDS * ROWS
 LANES = 4
 LEAST, SMALL, WHOLE = 21, 64, 4096
+CLOSE, AHEAD = 32, 3
 SHORT = SHINGLE
 LAST = (1 << 63) - 1
 
@@ -136,10 +139,27 @@ def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     return both.where(let(sets, lambda s: F.when(fits(s), reaches(s)).otherwise(F.lit(False)))).select("u", "v")
 
 
+def neighbours(opened: DataFrame) -> DataFrame:
+    """Pairs of lines of different components that stand within AHEAD of each other among
+    a bucket's lines, in the order of one of their words, and agree in CLOSE minima."""
+    turn, by = F.pmod("key", F.lit(len(WORDS))), F.col(WORDS[0])
+    for k, w in enumerate(WORDS[1:], 1):
+        by = F.when(turn == k, F.col(w)).otherwise(by)
+    bucket = Window.partitionBy("key").orderBy(by, "id")
+    line = F.struct(F.col("id").alias("v"), F.col("component").alias("other"), *[F.col(w).alias(f"b{w}") for w in WORDS])
+    ahead = opened.select("id", "component", *[F.col(w).alias(f"a{w}") for w in WORDS], F.array(*[F.lead(line, k).over(bucket) for k in range(1, AHEAD + 1)]).alias("ahead"))
+    met = ahead.select("id", "component", *[f"a{w}" for w in WORDS], F.inline(F.filter("ahead", lambda x: x["other"] != F.col("component"))))
+    return met.where(differing("a", "b") <= FUNCTIONS - CLOSE).select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct()
+
+
+def with_words(opened: DataFrame, signed: DataFrame) -> DataFrame:
+    return opened if WORDS[0] in opened.columns else opened.join(signed.select("id", *WORDS), "id")
+
+
 def open_pairs(held: DataFrame, comps: DataFrame, signed: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of lines of different components that share a bucket."""
-    opened = common.materialize(candidates.opened(held, comps), "line-opened")
-    worded = opened.where(f"members <= {WHOLE}").join(signed.select("id", *WORDS), "id")
+    opened = common.materialize(with_words(candidates.opened(held, comps), signed), "line-opened")
+    worded = opened.where(f"members <= {WHOLE}")
     one = worded.select("key", "members", "id", "component", *[F.col(w).alias(f"a{w}") for w in WORDS])
     two = worded.select(F.col("key").alias("k"), F.col("id").alias("v"), F.col("component").alias("other"), *[F.col(w).alias(f"b{w}") for w in WORDS])
     agree = (F.col("key") == F.col("k")) & (differing("a", "b") <= FUNCTIONS - LEAST)
@@ -176,9 +196,16 @@ def keepers(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = common.materialize(alike(candidates.pairs(held), signed), "line-pairs")
     links = common.materialize(verified(pairs, lines, percent), "line-links")
     comps = components(links, "line-components")
-    fresh = common.materialize(open_pairs(held, comps, signed, lines, percent).join(pairs, ["u", "v"], "left_anti"), "line-open-pairs")
+    opened = common.materialize(with_words(candidates.opened(held, comps), signed), "line-opened")
+    near = common.materialize(neighbours(opened).join(pairs, ["u", "v"], "left_anti"), "line-neighbours")
+    linked = common.materialize(verified(near, lines, percent), "line-neighbour-links")
+    if not linked.isEmpty():  # components only grow, so buckets that aren't open now won't be
+        links = links.union(linked)
+        comps = components(links, "line-components")
+    tried = pairs.union(near)
+    fresh = common.materialize(open_pairs(opened.drop("component"), comps, signed, lines, percent).join(tried, ["u", "v"], "left_anti"), "line-open-pairs")
     found = common.materialize(verified(fresh, lines, percent), "line-open-links")
-    if not found.isEmpty():  # components only grow, so nothing that lies across them is untried now
+    if not found.isEmpty():  # nothing that lies across components is untried now
         comps = components(links.union(found), "line-components")
     placed = lines.select("id", "first", "n").join(comps.withColumnRenamed("node", "id"), "id", "left").where("n > 1 OR component IS NOT NULL")
     placed = placed.select("id", F.coalesce("component", "id").alias("component"), "first")

@@ -173,6 +173,22 @@ def test_line_dedup_verifies_sets_not_lengths(spark):
     assert links == {g for g in line_components(lines) if len(g) > 1} and len(links) == 3
 
 
+def test_prefix_pairs_copy_no_rows_of_the_largest_component(spark, monkeypatch):
+    rows = [(i, 0, [*range(20), 1000 + i]) for i in range(50)] + [(99, 99, [*range(20), 5000])]
+    made, plain = {}, common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, label: made.setdefault(label, plain(df, label)))
+    got = candidates.prefix_pairs(spark.createDataFrame(rows, "id long, component long, s array<long>"), 80)
+    assert {(r["u"], r["v"]) for r in got.collect()} == {(i, 99) for i in range(50)}
+    assert max(d.count() for label, d in made.items() if label != "prefix") <= 5
+
+
+def test_neighbours_of_different_components(spark):
+    words = op1_line_dedup.WORDS
+    rows = [(0, i, 6 if i == 6 else 1, 6, *[0] * len(words)) for i in range(1, 7)] + [(0, 7, 7, 6, *[0x7F7F7F7F7F7F7F] * len(words))]
+    opened = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ("key", "id", "component", "members", *words)))
+    assert {tuple(r) for r in op1_line_dedup.neighbours(opened).collect()} == {(3, 6), (4, 6), (5, 6)}
+
+
 def test_prefix_pairs_lose_no_link(spark):
     """Sets around a template: every pair of different components at the threshold is among the candidates."""
     rng = random.Random(31)
