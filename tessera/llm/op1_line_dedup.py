@@ -46,6 +46,8 @@ from .components import components
 SHINGLE, BANDS, ROWS, PERCENT = 8, 14, 3, 80
 FUNCTIONS = BANDS * ROWS
 LANES = 4
+#: Shingles to a row, whose minima are taken before the aggregate's.
+BLOCK = 8
 LEAST, SMALL, WHOLE = 21, 64, 4096
 CLOSE, AHEAD = 32, 3
 SHORT = SHINGLE
@@ -65,21 +67,26 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def turned(x: Column, lane: int) -> Column:
+    return x if not lane else F.shiftleft(x, 16 * lane).bitwiseOR(F.shiftrightunsigned(x, 64 - 16 * lane))
+
+
 def minima() -> list[Column]:
-    """The functions' minima over the rotations x0 .. x3 of a shingle's hash.  Those
-    of one band are of different rotations."""
+    """The functions' minima over the rotations of the hashes x0 .. of a row's shingles.
+    Those of one band are of different rotations."""
     masks = -(-FUNCTIONS // LANES)
-    return [F.min(F.col(f"x{j % LANES}").bitwiseXOR(F.lit(_signed((j // LANES * (1 << 16) // masks) << 48)))).alias(f"m{j}") for j in range(FUNCTIONS)]
+    value = lambda j, k: turned(F.col(f"x{k}"), j % LANES).bitwiseXOR(F.lit(_signed((j // LANES * (1 << 16) // masks) << 48)))
+    return [F.min(F.least(*[value(j, k) for k in range(BLOCK)])).alias(f"m{j}") for j in range(FUNCTIONS)]
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """(id, keys, w0 ..): the band keys of each distinct line, and its minima, a byte
     each, seven to a number; lines must be partitioned by id."""
     long_enough = lines.where(F.octet_length("line") >= SHORT).select("id", F.col("line").cast("binary").alias("b"))
-    exploded = long_enough.select("id", "b", F.explode(F.expr(f"sequence(1, octet_length(b) - {SHINGLE - 1})")).alias("i"))
-    hashed = exploded.select("id", F.xxhash64(F.expr(f"substring(b, i, {SHINGLE})")).alias("x0"))
-    turned = [F.shiftleft("x0", 16 * k).bitwiseOR(F.shiftrightunsigned("x0", 64 - 16 * k)).alias(f"x{k}") for k in range(1, LANES)]
-    signed = hashed.select("id", "x0", *turned).groupBy("id").agg(*minima())
+    exploded = long_enough.select("id", "b", F.explode(F.expr(f"sequence(1, octet_length(b) - {SHINGLE - 1}, {BLOCK})")).alias("i"))
+    # the last row's places past the end are the last shingle once more
+    hashed = exploded.select("id", *[F.xxhash64(F.expr(f"substring(b, least(i + {k}, octet_length(b) - {SHINGLE - 1}), {SHINGLE})")).alias(f"x{k}") for k in range(BLOCK)])
+    signed = hashed.groupBy("id").agg(*minima())
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
     words = []
     for w in range(0, FUNCTIONS, 7):
@@ -116,27 +123,27 @@ def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return both.where(differing("a", "b") <= FUNCTIONS - LEAST).select("u", "v")
 
 
-def shingles(line: Column) -> Column:
-    """The line's distinct shingles, as numbers: on strings of eight bytes, xxHash64
-    is one to one (each of its steps can be undone), so equal numbers are equal
-    shingles and the similarity is exact."""
-    b = line.cast("binary")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.octet_length(line) - SHINGLE + 1), lambda i: F.xxhash64(F.substring(b, i, F.lit(SHINGLE)))))
-
-
 def let(value: Column, body) -> Column:
     """body of value, which is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def shingles(line: Column) -> Column:
+    """The line's shingles, as numbers: on strings of eight bytes, xxHash64 is one to one
+    (each of its steps can be undone), so equal numbers are equal shingles and the
+    similarity is exact.  The bytes are taken once, not copied for each shingle."""
+    return let(line.cast("binary"), lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b) - SHINGLE + 1), lambda i: F.xxhash64(F.substring(b, i, F.lit(SHINGLE)))))
+
+
 def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets of shingles reach the similarity, as a written table."""
     right = pairs.join(lines.select(F.col("id").alias("v"), F.col("line").alias("lv")), "v")
     both = right.join(lines.select(F.col("id").alias("u"), F.col("line").alias("lu")), "u")
-    a, b = (lambda s: F.size(s["a"])), (lambda s: F.size(s["b"]))
-    fits = lambda s: 100 * F.least(a(s), b(s)) >= percent * F.greatest(a(s), b(s))
-    reaches = lambda s: let(F.size(F.array_intersect(s["a"], s["b"])), lambda n: 100 * n >= percent * (a(s) + b(s) - n))
-    sets = F.struct(shingles(F.col("lu")).alias("a"), shingles(F.col("lv")).alias("b"))
-    return both.where(let(sets, lambda s: F.when(fits(s), reaches(s)).otherwise(F.lit(False)))).select("u", "v")
+    # outside of lambdas these run compiled, on arrays of numbers; sizes are written first, as
+    # a filter on them would go below the arrays and compute each several times
+    arrays = both.select("u", "v", shingles(F.col("lu")).alias("a"), shingles(F.col("lv")).alias("b"))
+    sizes = arrays.select("u", "v", (F.size(F.array_distinct("a")) + F.size(F.array_distinct("b"))).cast("long").alias("sum"), F.size(F.array_union("a", "b")).cast("long").alias("union"))
+    return common.materialize(sizes, "line-verified").where(F.expr(f"100 * (sum - union) >= {percent} * union")).select("u", "v")
 
 
 def neighbours(opened: DataFrame) -> DataFrame:
@@ -169,7 +176,7 @@ def open_pairs(held: DataFrame, comps: DataFrame, signed: DataFrame, lines: Data
     ids = near.select("id", "component").union(opened.where(f"members > {WHOLE}").select("id", "component")).distinct()
     # written first: else Spark would compute the sets of all lines, to drop empty ones before the join
     texts = common.materialize(lines.join(ids, "id").join(signed.select("id", *WORDS), "id").select("id", "component", "line", *WORDS), "line-open-texts")
-    sets = common.spread(texts, "id").select("id", "component", *WORDS, shingles(F.col("line")).alias("s"))
+    sets = common.spread(texts, "id").select("id", "component", *WORDS, F.array_distinct(shingles(F.col("line"))).alias("s"))
     found = candidates.prefix_pairs(sets, percent, WORDS, differing("a", "b") <= FUNCTIONS - LEAST)
     return small.union(found).distinct()
 
@@ -194,17 +201,17 @@ def keepers(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed, *more = bucketed(signatures(lines), "signatures")
     held = common.materialize(candidates.members(signed.select("id", F.explode("keys").alias("key"))), "line-buckets")
     pairs = common.materialize(alike(candidates.pairs(held), signed), "line-pairs")
-    links = common.materialize(verified(pairs, lines, percent), "line-links")
+    links = verified(pairs, lines, percent)
     comps = components(links, "line-components")
     opened = common.materialize(with_words(candidates.opened(held, comps), signed), "line-opened")
     near = common.materialize(neighbours(opened).join(pairs, ["u", "v"], "left_anti"), "line-neighbours")
-    linked = common.materialize(verified(near, lines, percent), "line-neighbour-links")
+    linked = verified(near, lines, percent)
     if not linked.isEmpty():  # components only grow, so buckets that aren't open now won't be
         links = links.union(linked)
         comps = components(links, "line-components")
     tried = pairs.union(near)
     fresh = common.materialize(open_pairs(opened.drop("component"), comps, signed, lines, percent).join(tried, ["u", "v"], "left_anti"), "line-open-pairs")
-    found = common.materialize(verified(fresh, lines, percent), "line-open-links")
+    found = verified(fresh, lines, percent)
     if not found.isEmpty():  # nothing that lies across components is untried now
         comps = components(links.union(found), "line-components")
     placed = lines.select("id", "first", "n").join(comps.withColumnRenamed("node", "id"), "id", "left").where("n > 1 OR component IS NOT NULL")

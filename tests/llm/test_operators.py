@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -164,6 +165,26 @@ def test_line_dedup_bands_find_pairs_at_the_threshold(spark):
     assert sum(not keys[2 * i] & keys[2 * i + 1] for i in range(1200)) == 0
 
 
+def test_line_dedup_signs_alike_in_blocks_of_any_size(spark, monkeypatch):
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("ab cdefgé") for _ in range(n)) for n in [*range(8, 45), 200]]
+    frame = spark.createDataFrame(list(enumerate(lines)), "id long, line string").repartition(2, "id")
+    signed = lambda: sorted(tuple(r) for r in op1_line_dedup.signatures(frame).collect())
+    blocks = signed()
+    monkeypatch.setattr(op1_line_dedup, "BLOCK", 2)
+    assert blocks == signed() and len(blocks) == len(lines)
+
+
+def test_line_dedup_verifies_long_lines_in_linear_time(spark):
+    rng = random.Random(4)
+    line = "".join(rng.choices("abcdefgh ", k=400_000))
+    frame = spark.createDataFrame([(0, line), (1, line[:-9] + "#"), (2, line[: len(line) * 3 // 4])], "id long, line string")
+    tried = spark.createDataFrame([(0, 1), (0, 2)], "u long, v long")
+    began = time.time()
+    links = [tuple(r) for r in op1_line_dedup.verified(tried, frame, 80).collect()]
+    assert links == [(0, 1)] and time.time() - began < 20  # 400,000 copies of a line take longer
+
+
 def test_line_dedup_verifies_sets_not_lengths(spark):
     lines = ["=" * 40, "=" * 100, "ha " * 12, "ha " * 40, "sixteen bytes, 1", "sixteen bytes, ", "a longer line that is alike in nothing"]
     frame = spark.createDataFrame(list(enumerate(lines)), "id long, line string").repartition(2, "id")
