@@ -35,17 +35,20 @@ def small_star(edges: DataFrame) -> DataFrame:
     return kept.union(near.select(F.col("m").alias("u"), F.col("u").alias("v"))).where("u < v").distinct()
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether edges u < v are stars around their smallest nodes, which no further step
+    changes: no v has two u or is one itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(0).alias("n"), F.lit(1).alias("inner")).union(edges.select("v", F.lit(1), F.lit(0)))
+    return ends.groupBy("node").agg(F.sum("n").alias("n"), F.max("inner").alias("inner")).where("n > 1 OR n = 1 AND inner = 1").isEmpty()
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) of every node of edges (u, v): component is the least
     node reachable.  Nodes without edges to others are not returned."""
     now = common.materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), label)
-    digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    last = None
     while True:
-        state = now.agg(F.count("*"), digest).collect()[0]
-        if state[0] == 0 or state == last:
+        if are_stars(now):
             return now.select(F.col("v").alias("node"), F.col("u").alias("component")).union(now.select(F.col("u"), F.col("u")).distinct())
-        last = state
         stepped = common.materialize(small_star(large_star(now)), label)
         common.release(now.sparkSession, now)
         now = stepped

@@ -47,19 +47,23 @@ SHINGLE, BANDS, ROWS, PERCENT = 8, 14, 3, 80
 FUNCTIONS = BANDS * ROWS
 LANES = 4
 #: Shingles to a row, whose minima are taken before the aggregate's.
-BLOCK = 8
+BLOCK = 24
 LEAST, SMALL, WHOLE = 21, 64, 4096
 CLOSE, AHEAD = 32, 3
 SHORT = SHINGLE
 LAST = (1 << 63) - 1
 
 
+def place() -> Column:
+    """doc and line_no as one number."""
+    return (F.col("doc").cast("decimal(20,0)") * F.lit(4294967296).cast("decimal(11,0)") + F.col("line_no").cast("decimal(10,0)")).cast("decimal(38,0)")
+
+
 def line_rows(docs: DataFrame) -> DataFrame:
     """doc, mark (of the text), line_no, line, id and place of every line that isn't blank."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("mark"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    place = F.col("doc").cast("decimal(20,0)") * F.lit(4294967296).cast("decimal(11,0)") + F.col("line_no").cast("decimal(10,0)")
-    return rows.where(F.trim("line") != "").select("doc", "mark", "line_no", "line", F.xxhash64("line").alias("id"), place.cast("decimal(38,0)").alias("place"))
+    return rows.where(F.trim("line") != "").select("doc", "mark", "line_no", "line", F.xxhash64("line").alias("id"), place().alias("place"))
 
 
 def _signed(x: int) -> int:
@@ -140,9 +144,13 @@ def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     right = pairs.join(lines.select(F.col("id").alias("v"), F.col("line").alias("lv")), "v")
     both = right.join(lines.select(F.col("id").alias("u"), F.col("line").alias("lu")), "u")
     # outside of lambdas these run compiled, on arrays of numbers; sizes are written first, as
-    # a filter on them would go below the arrays and compute each several times
+    # a filter on them would go below the arrays and compute each several times.  Sets are no
+    # larger than arrays, so most pairs that fail do so by the size of the union alone
     arrays = both.select("u", "v", shingles(F.col("lu")).alias("a"), shingles(F.col("lv")).alias("b"))
-    sizes = arrays.select("u", "v", (F.size(F.array_distinct("a")) + F.size(F.array_distinct("b"))).cast("long").alias("sum"), F.size(F.array_union("a", "b")).cast("long").alias("union"))
+    union = F.size(F.array_union("a", "b")).cast("long")
+    may = 100 * (F.size("a") + F.size("b") - union) >= percent * union
+    both_sizes = (F.size(F.array_distinct("a")) + F.size(F.array_distinct("b"))).cast("long")
+    sizes = arrays.select("u", "v", F.when(may, both_sizes).alias("sum"), union.alias("union"))
     return common.materialize(sizes, "line-verified").where(F.expr(f"100 * (sum - union) >= {percent} * union")).select("u", "v")
 
 
@@ -227,8 +235,8 @@ def keepers(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc, mark, removed): numbers of the lines that go, per document that loses any."""
     docs = common.doc_texts(docs)
-    rows = line_rows(docs).select("doc", "mark", "line_no", "id", "place")
-    gone = rows.join(keepers(docs, percent), "id").where("place <> keep")
+    rows = line_rows(docs).select("doc", "mark", "line_no", "id")
+    gone = rows.join(keepers(docs, percent), "id").where(place() != F.col("keep"))
     return gone.groupBy("doc", "mark").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 

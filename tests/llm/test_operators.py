@@ -68,6 +68,25 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_take_no_step_that_changes_nothing(spark, monkeypatch):
+    written, plain = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, label: written.append(label) or plain(df, label))
+    for edges, steps in (([(1, 2), (1, 3), (5, 4), (4, 6)], 0), ([(1, 2), (2, 3)], 1), ([(1, 3), (2, 3)], 1)):
+        written.clear()
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        assert got == {n: 4 if n > 3 else 1 for e in edges for n in e} and len(written) == 1 + steps
+
+
+def test_line_dedup_counts_sets_only_of_pairs_that_may_be_alike(spark, monkeypatch):
+    made, plain = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, label: made.append(plain(df, label)) or made[-1])
+    lines = ["a line of some length, of which the end differs", "a line of some length, of which the end differed", "a line of some length, but little else is like it", "ab " * 40, "ab " * 90]
+    tried = spark.createDataFrame([(0, 1), (0, 2), (3, 4)], "u long, v long")
+    links = op1_line_dedup.verified(tried, spark.createDataFrame(list(enumerate(lines)), "id long, line string"), 80)
+    assert {tuple(r) for r in links.collect()} == {(0, 1), (3, 4)}
+    assert {(r["u"], r["v"]): r["sum"] is None for r in made[0].collect()} == {(0, 1): False, (0, 2): True, (3, 4): False}
+
+
 def test_line_dedup(spark, docs):
     out = op1_line_dedup.line_dedup(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
