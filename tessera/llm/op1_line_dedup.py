@@ -142,11 +142,12 @@ def shingles(line: Column) -> Column:
 def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets of shingles reach the similarity, as a written table."""
     right = pairs.join(lines.select(F.col("id").alias("v"), F.col("line").alias("lv")), "v")
-    both = right.join(lines.select(F.col("id").alias("u"), F.col("line").alias("lu")), "u")
+    # a line's array is made once for all pairs that it is the lesser of
+    lesser = lines.join(pairs.select(F.col("u").alias("id")).distinct(), "id").select(F.col("id").alias("u"), shingles(F.col("line")).alias("a"))
     # outside of lambdas these run compiled, on arrays of numbers; sizes are written first, as
     # a filter on them would go below the arrays and compute each several times.  Sets are no
     # larger than arrays, so most pairs that fail do so by the size of the union alone
-    arrays = both.select("u", "v", shingles(F.col("lu")).alias("a"), shingles(F.col("lv")).alias("b"))
+    arrays = right.join(lesser, "u").select("u", "v", "a", shingles(F.col("lv")).alias("b"))
     union = F.size(F.array_union("a", "b")).cast("long")
     may = 100 * (F.size("a") + F.size("b") - union) >= percent * union
     both_sizes = (F.size(F.array_distinct("a")) + F.size(F.array_distinct("b"))).cast("long")
@@ -200,6 +201,13 @@ def bucketed(df: DataFrame, label: str) -> tuple[DataFrame, str, str]:
     return spark.table(name), name, path
 
 
+def sharing(held: DataFrame, signed: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, line, w0 ..) of the lines that share a bucket.  Their ids are the side that is
+    hashed, so that the other lines are passed over without being sorted."""
+    ids = held.select("id").distinct().hint("shuffle_hash")
+    return lines.select("id", "line").join(ids, "id", "left_semi").join(signed.select("id", *WORDS).join(ids, "id", "left_semi"), "id")
+
+
 def keepers(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, keep): the place that stays, for each line with other occurrences or near copies."""
     spark = docs.sparkSession
@@ -208,25 +216,28 @@ def keepers(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines, *table = bucketed(distinct.where("NOT clash").drop("clash"), "lines")
     signed, *more = bucketed(signatures(lines), "signatures")
     held = common.materialize(candidates.members(signed.select("id", F.explode("keys").alias("key"))), "line-buckets")
+    # all that follows is about these lines, a small part of all
+    shared, *third = bucketed(sharing(held, signed, lines), "shared")
+    signed, texts = shared.select("id", *WORDS), shared.select("id", "line")
     pairs = common.materialize(alike(candidates.pairs(held), signed), "line-pairs")
-    links = verified(pairs, lines, percent)
+    links = verified(pairs, texts, percent)
     comps = components(links, "line-components")
     opened = common.materialize(with_words(candidates.opened(held, comps), signed), "line-opened")
     near = common.materialize(neighbours(opened).join(pairs, ["u", "v"], "left_anti"), "line-neighbours")
-    linked = verified(near, lines, percent)
+    linked = verified(near, texts, percent)
     if not linked.isEmpty():  # components only grow, so buckets that aren't open now won't be
         links = links.union(linked)
         comps = components(links, "line-components")
     tried = pairs.union(near)
-    fresh = common.materialize(open_pairs(opened.drop("component"), comps, signed, lines, percent).join(tried, ["u", "v"], "left_anti"), "line-open-pairs")
-    found = verified(fresh, lines, percent)
+    fresh = common.materialize(open_pairs(opened.drop("component"), comps, signed, texts, percent).join(tried, ["u", "v"], "left_anti"), "line-open-pairs")
+    found = verified(fresh, texts, percent)
     if not found.isEmpty():  # nothing that lies across components is untried now
         comps = components(links.union(found), "line-components")
-    placed = lines.select("id", "first", "n").join(comps.withColumnRenamed("node", "id"), "id", "left").where("n > 1 OR component IS NOT NULL")
+    placed = lines.select("id", "first", "n").join(comps.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left").where("n > 1 OR component IS NOT NULL")
     placed = placed.select("id", F.coalesce("component", "id").alias("component"), "first")
     best = placed.groupBy("component").agg(F.min("first").alias("keep"))
     kept = common.materialize(placed.join(best, "component").select("id", "keep"), "line-keepers")
-    for name, path in (table, more):
+    for name, path in (table, more, third):
         spark.sql(f"DROP TABLE {name}")  # an external table: its files are deleted apart
         common.remove(spark, [path])
     return kept

@@ -204,6 +204,17 @@ def test_line_dedup_verifies_long_lines_in_linear_time(spark):
     assert links == [(0, 1)] and time.time() - began < 20  # 400,000 copies of a line take longer
 
 
+def test_line_dedup_reads_on_only_lines_that_share_a_bucket(spark, monkeypatch):
+    seen, plain = [], op1_line_dedup.verified
+    monkeypatch.setattr(op1_line_dedup, "verified", lambda pairs, lines, percent: seen.append({r["line"] for r in lines.collect()}) or plain(pairs, lines, percent))
+    rng = random.Random(5)
+    own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(90)) for _ in range(40)]
+    near = [own[3][:-1] + "#", own[7][:-1] + "#"]
+    kept = op1_line_dedup.keepers(table(spark, list(enumerate([*own, *near, own[9], "short"]))))
+    assert kept.count() == 5  # two pairs of near lines, and one line that stands twice
+    assert len(seen) == 3 and all(x == {own[3], own[7], *near} for x in seen)
+
+
 def test_line_dedup_verifies_sets_not_lengths(spark):
     lines = ["=" * 40, "=" * 100, "ha " * 12, "ha " * 40, "sixteen bytes, 1", "sixteen bytes, ", "a longer line that is alike in nothing"]
     frame = spark.createDataFrame(list(enumerate(lines)), "id long, line string").repartition(2, "id")
