@@ -31,10 +31,8 @@ ORDERS = (0, -1, 0x5555555555555555, -0x5555555555555556)
 def members(bands: DataFrame) -> DataFrame:
     """(key, id, members) of the buckets of two members or more, of bands (key, id)
     without repeated rows."""
-    bucket = Window.partitionBy("key").orderBy("id")
-    held = bands.select("key", "id", F.lag("id").over(bucket).alias("before"), F.lead("id").over(bucket).alias("after"))
-    held = held.where("before IS NOT NULL OR after IS NOT NULL").select("key", "id")
-    return held.withColumn("members", F.count("*").over(Window.partitionBy("key")))
+    # without an order of ids the sort is by one number, which Spark does by radix
+    return bands.select("key", "id", F.count("*").over(Window.partitionBy("key")).alias("members")).where("members > 1")
 
 
 def _order() -> Column:

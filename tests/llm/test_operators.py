@@ -194,6 +194,37 @@ def test_line_dedup_signs_alike_in_blocks_of_any_size(spark, monkeypatch):
     assert blocks == signed() and len(blocks) == len(lines)
 
 
+def test_line_dedup_hashes_each_shingle_once_and_no_band(spark):
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        signed = op1_line_dedup.signatures(spark.createDataFrame([(0, "a line of some length")], "id long, line string").repartition(2, "id"))
+        plan = signed._jdf.queryExecution()
+        debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package")
+        said = debug.codegenString(plan.executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert plan.optimizedPlan().toString().count("xxhash64(") == op1_line_dedup.BLOCK
+    # the JVM leaves methods of over 8000 bytes to its interpreter
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", said)]
+    assert sizes and max(sizes) <= 8000
+
+
+def test_line_dedup_band_keys_differ(spark):
+    # all minima of a line of one shingle are turns of one hash
+    frame = spark.createDataFrame([(i, chr(97 + i) * 9) for i in range(26)], "id long, line string").repartition(2, "id")
+    keys = [r["key"] for r in op1_line_dedup.band_rows(frame).collect()]
+    assert len(set(keys)) == len(keys) == 26 * op1_line_dedup.BANDS
+
+
+def test_members_sort_by_one_number(spark):
+    bands = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, 9), (5, 9), (6, 9)], "id long, key long")
+    held = candidates.members(bands)
+    assert sorted(tuple(r) for r in held.select("key", "id", "members").collect()) == [(7, 1, 2), (7, 2, 2), (9, 4, 3), (9, 5, 3), (9, 6, 3)]
+    sorts = re.findall(r"Sort \[(.*?)\]", held._jdf.queryExecution().toString())
+    assert sorts and all("id#" not in by for by in sorts)  # Spark sorts by radix only if there is one
+
+
 def test_line_dedup_verifies_long_lines_in_linear_time(spark):
     rng = random.Random(4)
     line = "".join(rng.choices("abcdefgh ", k=400_000))
